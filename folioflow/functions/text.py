@@ -102,16 +102,52 @@ def fold(text: Sql) -> Sql:
     return f"lower(replace(replace({text}, {dotted}, {nul}), {kelvin}, {nul}))"
 
 
+def required_word(pattern: str) -> str:
+    """Longest literal run every match of ``pattern`` must contain ('' if unknown)."""
+    runs, run, depth, i = [], "", 0, 0
+    while i < len(pattern):
+        ch, step = pattern[i], 1
+        if ch == "{":
+            step = pattern.index("}", i) - i + 1
+        if ch == "\\":
+            ch, step = pattern[i + 1], 2
+            plain = not ch.isalnum()
+        else:
+            plain = ch not in _META and ch != "|"
+        follow = pattern[i + step : i + step + 1]
+        if ch in "([" and step == 1:
+            depth += 1
+        if ch == "|" and step == 1 and depth == 0:
+            return ""
+        if plain and depth == 0 and follow not in ("?", "*", "{"):
+            run += ch
+        else:
+            runs.append(run)
+            run = ""
+        if follow == "+":
+            runs.append(run)
+            run = ""
+        if ch in ")]" and step == 1:
+            depth -= 1
+        i += step
+    return max([*runs, run], key=len)
+
+
 def hit(folded: Sql, pattern: str) -> Sql:
     """Does a lower-case ``pattern`` occur in folded text?
 
-    Plain words become ``contains`` (no regex engine); only alternatives with
-    metacharacters fall back to ``rlike``.
+    Plain words become ``contains`` (no regex engine). Other alternatives use
+    ``rlike``, tried only where the words they cannot do without are present.
     """
     branches = [pattern] if "(" in pattern or "[" in pattern else pattern.split("|")
-    tests = [
-        f"{folded} rlike {regex(b)}" if _META & set(b) or "|" in b else f"contains({folded}, {lit(b)})" for b in branches
-    ]
+    tests = []
+    for branch in branches:
+        if not _META & set(branch) and "|" not in branch:
+            tests.append(f"contains({folded}, {lit(branch)})")
+            continue
+        word = required_word(branch)
+        gate = f"contains({folded}, {lit(word)}) and " if word else ""
+        tests.append(f"({gate}{folded} rlike {regex(branch)})")
     return f"({' or '.join(tests)})"
 
 

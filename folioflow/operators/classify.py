@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from folioflow.functions.text import Sql, array, each, fold, hit, hits, let, lit, source_text, struct
+from folioflow.operators import bind
 from folioflow.operators import pii as pii_ops
 from folioflow.operators import templates as template_ops
 from folioflow.operators.pii import DETECTORS, Detector
@@ -176,5 +176,4 @@ def intelligence(
 
 def with_intelligence(df: DataFrame, ext: str = "extension", text: str = "text", title: str = "title", subject: str = "subject") -> DataFrame:
     """Append ``analysis``, ``extraction`` and ``pii`` to documents."""
-    record = F.expr(intelligence(ext, text, title, subject))
-    return df.withColumn("_record", record).select(*df.columns, "_record.analysis", "_record.extraction", "_record.pii")
+    return bind(df, "_record", intelligence(ext, text, title, subject)).select(*df.columns, "_record.analysis", "_record.extraction", "_record.pii")

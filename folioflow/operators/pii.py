@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.text import Sql, array, each, fold, hit, let, lit, regex, struct
 from folioflow.functions.validators import is_card, is_routing, is_ssn
+from folioflow.operators import bind
 from folioflow.rules import MAX_EXAMPLES, UNASSIGNED_EIN_PREFIXES
 
 
@@ -305,7 +306,7 @@ def scan_text(text: Sql, detectors: tuple[Detector, ...] = DETECTORS) -> Sql:
 
 def scan(df: DataFrame, text: str, detectors: tuple[Detector, ...] = DETECTORS, out: str = "pii") -> DataFrame:
     """Append the scan of column ``text`` as ``out``."""
-    return df.withColumn(out, F.expr(scan_text(text, detectors)))
+    return bind(df, out, scan_text(text, detectors))
 
 
 def findings_table(scanned: DataFrame, key: str, pii: str = "pii") -> DataFrame:

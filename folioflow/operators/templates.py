@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.text import Sql, any_hit, array, collapse_spaces, each, fold, hit, hits, let, lit, regex, struct
 from folioflow.functions.validators import VALIDATORS
+from folioflow.operators import bind
 from folioflow.rules import ANCHOR_WEIGHT, MAX_VALUE_CHARS, NO_TEMPLATE_SUMMARY, TEMPLATES, FieldRule, Template
 
 FIELD_TYPE = "struct<key:string,label:string,value:string,confidence:int,status:string,validation:string>"
@@ -100,7 +101,7 @@ def extract(df: DataFrame, text: str, templates: tuple[Template, ...] = TEMPLATE
     def of(source: Sql) -> Sql:
         return let(fold(source), lambda low: let(choose(low, templates), lambda c: extraction(source, low, c, templates)))
 
-    return df.withColumn(out, F.expr(let(text, of)))
+    return bind(df, out, let(text, of))
 
 
 def fields_table(extracted: DataFrame, key: str, out: str = "extraction") -> DataFrame:

@@ -44,4 +44,4 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     Large tables already arrive in many splits and pass through untouched.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * 2, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

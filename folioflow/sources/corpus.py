@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import basename, extension, normalize
+from folioflow.operators.routing import inspect
 from folioflow.session import spread
 
 
@@ -119,36 +120,94 @@ CUSTOMER_SQL = (
 FORM_TITLE_SQL = "case when k % 37 = 0 then 'SSN on request' when k % 41 = 0 then 'Passport copy' else '' end"
 
 
-def _document(df: DataFrame) -> DataFrame:
-    """Path, name, extension, size, fingerprint and normalised text of a raw text row."""
-    return df.selectExpr(
+def _documents(raw: DataFrame) -> DataFrame:
+    """Path, name, extension, size, fingerprint and normalised text of raw text rows."""
+    return spread(raw, "path").selectExpr(
         "path", f"{basename('path')} as name", f"{extension('path')} as extension", f"{normalize('raw')} as text",
         "title", "subject", "bigint(octet_length(raw)) as size_bytes", "sha2(raw, 256) as sha256",
     )
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
-    path = F.concat(F.lit("/corpus/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf"))
-    return _document(docs.select(path.alias("path"), F.col("text").alias("raw"), F.lit("").alias("title"), F.lit("").alias("subject")))
+def _raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").selectExpr(
+        "concat('/corpus/', source, '/', doc_id, '.pdf') as path", "text as raw", "'' as title", "'' as subject"
+    )
 
 
-def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
-    orders = spread(orders, "k")
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n"))
-    customers = spread(customers, "k")
-    invoices = orders.select(
-        F.expr("concat('/forms/invoice/', k, '.pdf')").alias("path"), F.expr(INVOICE_SQL).alias("raw"),
-        F.expr(FORM_TITLE_SQL).alias("title"), F.lit("").alias("subject"),
+def _raw_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey as k", "o_custkey as c")
+    customers = table(spark, sf_dir, "customer").selectExpr("c_custkey as k", "c_name as n")
+    invoices = orders.selectExpr(
+        "concat('/forms/invoice/', k, '.pdf') as path", f"{INVOICE_SQL} as raw", f"{FORM_TITLE_SQL} as title", "'' as subject"
     )
-    staff = customers.select(
-        F.expr("concat('/forms/customer/', k, '.pdf')").alias("path"), F.expr(CUSTOMER_SQL).alias("raw"),
-        F.expr(FORM_TITLE_SQL).alias("title"), F.lit("").alias("subject"),
+    staff = customers.selectExpr(
+        "concat('/forms/customer/', k, '.pdf') as path", f"{CUSTOMER_SQL} as raw", f"{FORM_TITLE_SQL} as title", "'' as subject"
     )
-    return _document(invoices.unionByName(staff))
+    return invoices.unionByName(staff)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(_raw_documents(spark, sf_dir))
+
+
+def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(_raw_forms(spark, sf_dir))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and every rendered form, whole text."""
-    return documents(spark, sf_dir).unionByName(forms(spark, sf_dir))
+    return _documents(_raw_documents(spark, sf_dir).unionByName(_raw_forms(spark, sf_dir)))
+
+
+# What upstream text and OCR steps delivered, derived from the keys. ``k`` is the
+# row key, ``raw`` its text; every inspection route occurs.
+FILE_TYPE_SQL = "case k % 16 when 0 then 'png' when 1 then 'jpg' when 2 then 'tif' when 3 then 'docx' when 4 then 'csv' else 'pdf' end"
+DELIVERED_SQL = {
+    "is_file": "k % 41 <> 9",
+    "extra_bytes": "case when k % 29 = 3 then 16777216 else 0 end",
+    "total_pages": "1 + k % 7",
+    "parse_error": "case when k % 37 = 5 then 'Invalid PDF structure' end",
+    "parsed_text": "case when k % 37 = 5 then null when k % 23 = 3 then concat('Scan ', k) else raw end",
+    "ocr_status": "case when k % 4 = 1 then 'Failed' else 'Completed' end",
+    "ocr_text": "case when k % 4 = 1 or k % 8 = 2 then '' else raw end",
+    "ocr_pages": "case when k % 4 = 1 then 0 when k % 7 < 2 then 1 + k % 7 else 3 end",
+    "ocr_confidence": "case when k % 4 = 1 then null else 40 + k % 70 end",
+    "ocr_note": "case when k % 4 = 1 then 'Local OCR failed: engine error' else '' end",
+}
+REVIEW_SQL = {
+    "status": "case k % 5 when 0 then 'Approved' when 1 then 'Needs review' when 2 then 'Rejected' else 'Pending' end",
+    "notes": "case when k % 6 = 0 then concat('checked by desk ', k % 9) else '' end",
+    "reviewed_at": "case when k % 5 < 3 then cast(concat('2026-01-', lpad(concat('', 1 + k % 28), 2, '0'), ' 08:30:00') as timestamp) end",
+}
+
+
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kind, k, raw, title, subject of every document, order form and customer form."""
+    docs = table(spark, sf_dir, "documents").selectExpr("0L as kind", "doc_id as k", "text as raw", "'' as title")
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey as k", "o_custkey as c")
+    staff = table(spark, sf_dir, "customer").selectExpr("c_custkey as k", "c_name as n")
+    return docs.unionByName(
+        orders.selectExpr("1L as kind", "k", f"{INVOICE_SQL} as raw", f"{FORM_TITLE_SQL} as title")
+    ).unionByName(staff.selectExpr("2L as kind", "k", f"{CUSTOMER_SQL} as raw", f"{FORM_TITLE_SQL} as title"))
+
+
+def delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Input of the inspection: one row per requested file."""
+    rows = _keyed(spark, sf_dir).withColumn("path", F.expr(f"concat('/inbox/', kind, '/', k, '.', {FILE_TYPE_SQL})"))
+    d = DELIVERED_SQL
+    return spread(rows, "path").selectExpr(
+        "kind", "k", "k * 3 + kind as seq", "path", f"{d['is_file']} as is_file",
+        f"bigint(octet_length(raw) + {d['extra_bytes']}) as size_bytes",
+        "cast('2026-01-02 03:04:05' as timestamp) as modified_at", "sha2(raw, 256) as sha256",
+        f"int({d['total_pages']}) as total_pages", f"{d['parsed_text']} as parsed_text", f"{d['parse_error']} as parse_error",
+        "title", "'' as author", "'' as creator", "'' as producer", "'' as subject",
+        f"{d['ocr_status']} as ocr_status", f"{d['ocr_text']} as ocr_text", f"int({d['ocr_pages']}) as ocr_pages",
+        f"double({d['ocr_confidence']}) as ocr_confidence", "cast(null as bigint) as ocr_duration_ms", f"{d['ocr_note']} as ocr_note",
+    )
+
+
+def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inspected documents with their review: the working queue."""
+    records = inspect(delivered(spark, sf_dir), keep=("kind", "k", "seq"))
+    review = ", ".join(f"'{name}', {value}" for name, value in REVIEW_SQL.items())
+    return records.withColumn("review", F.expr(f"named_struct({review})"))
