@@ -122,18 +122,28 @@ FORM_TITLE_SQL = "case when k % 37 = 0 then 'SSN on request' when k % 41 = 0 the
 
 def _documents(raw: DataFrame) -> DataFrame:
     """Path, name, extension, size, fingerprint and normalised text of raw text rows."""
-    return spread(raw, "path").selectExpr(
+    rows = raw if raw.isStreaming else spread(raw, "path")
+    return rows.selectExpr(
         "path", f"{basename('path')} as name", f"{extension('path')} as extension", f"{normalize('raw')} as text",
         "title", "subject", "bigint(octet_length(raw)) as size_bytes", "sha2(raw, 256) as sha256",
     )
 
 
-def _raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr(
+def _raw_text(docs: DataFrame) -> DataFrame:
+    return docs.selectExpr(
         "concat('/corpus/', source, '/', doc_id, '.pdf') as path", "text as raw", "'' as title", "'' as subject"
     )
 
 
+def describe_documents(docs: DataFrame) -> DataFrame:
+    """Corpus columns of rows shaped like ``documents``, batch or streaming."""
+    return _documents(_raw_text(docs))
+
+
+def _raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _raw_text(table(spark, sf_dir, "documents"))
+
+
 def _raw_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey as k", "o_custkey as c")
     customers = table(spark, sf_dir, "customer").selectExpr("c_custkey as k", "c_name as n")
@@ -211,3 +221,104 @@ def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = inspect(delivered(spark, sf_dir), keep=("kind", "k", "seq"))
     review = ", ".join(f"'{name}', {value}" for name, value in REVIEW_SQL.items())
     return records.withColumn("review", F.expr(f"named_struct({review})"))
+
+
+# Requests, payloads, pages and saved records derived from the keys, in SQL both
+# the jobs and their checks read.
+REQUEST_SQL = (
+    "case event_id % 9 when 0 then concat('  /in/u', user_id, '.pdf ') when 1 then concat('in/u', user_id, '.pdf')"
+    " when 2 then '   ' when 3 then concat('/in/u', user_id, '.exe') when 4 then '/in/.hidden'"
+    " when 5 then concat('/in/u', user_id, '.') when 6 then concat('/in/v', event_id, '.JPeG')"
+    " else concat('/in/u', user_id, '.docx') end"
+)
+PAYLOAD_SQL = (
+    "concat('# list ', page_id, chr(13), chr(10), url, chr(10), 'file:///inbox/', page_id % 50, '%20a+b.pdf', chr(13), chr(10),"
+    " '  file://localhost/C:/scans/', page_id, '.tif?x=1 ', chr(10), chr(10), 'FILE:/r%C3%A9sum%C3%A9s/', page_id % 7, '.doc#p2')"
+)
+PAGE_STATUS_SQL = "case when (doc_id * 7 + page_no) % 11 = 0 then 'Failed' else 'Completed' end"
+PAGE_TEXT_SQL = "case when (doc_id + page_no) % 6 = 0 then '' else line end"
+PAGE_SCORE_SQL = (
+    "case when (doc_id * 31 + page_no * 17) % 13 = 0 then null"
+    " else cast((doc_id * 31 + page_no * 17) % 108 as double) + cast(doc_id % 2 as double) / 2 end"
+)
+SAVED_SQL = (
+    "case when k % 17 = 0 then '{\"path\":' when k % 19 = 0 then '[1,2]' else concat("
+    "'{\"path\":\"', case when k % 11 = 0 then 'relative/x.pdf' when k % 13 = 0 then concat('/w/', k, '.exe')"
+    " when k % 23 = 0 then concat('/w/', k, '/') else concat('/w/', k, '.pdf') end,"
+    " '\",\"name\":', case when k % 5 = 0 then '5' when k % 5 = 1 then 'null' else concat('\"Doc ', k, '\"') end,"
+    " ',\"fileSizeBytes\":', case k % 4 when 0 then '-3' when 1 then '\"12\"' when 2 then '7.5' else concat('', k * 10) end,"
+    " ',\"status\":\"', case k % 3 when 0 then 'Parsed locally' when 1 then 'Error' else 'Odd' end,"
+    " '\",\"pageCount\":', case when k % 6 = 0 then 'null' else concat('', k % 9) end,"
+    " ',\"review\":', case when k % 7 = 0 then '[]' else concat('{\"status\":\"', case k % 4 when 0 then 'Approved'"
+    " when 1 then 'Rejected' when 2 then 'Bogus' else 'Needs review' end, '\",\"notes\":',"
+    " case when k % 8 = 0 then '7' else '\"ok\"' end, ',\"reviewedAt\":', case when k % 9 = 0 then '12' else '\"2026-01-01T00:00:00.000Z\"' end, '}') end,"
+    " ',\"analysis\":', case when k % 10 = 0 then '\"x\"' else concat('{\"documentClass\":\"Tax form\",\"sensitivity\":\"', case k % 3 when 0 then 'Internal'"
+    " when 1 then 'Secret' else 'Restricted' end, '\",\"confidence\":', case k % 3 when 0 then '140' when 1 then '-3' else '55.5' end,"
+    " ',\"signals\":[\"a\",5,\"b\",null]}') end,"
+    " ',\"extraction\":{\"template\":', case when k % 2 = 0 then 'null' else '\"Invoice\"' end, ',\"fields\":[{\"key\":\"k1\",\"confidence\":200,"
+    "\"status\":\"Extracted\",\"validation\":\"Valid\",\"value\":\"v', k, '\"},7,{\"label\":\"L\",\"status\":\"Odd\"}]}',"
+    " ',\"pii\":{\"riskLevel\":\"High\",\"totalMatches\":2.5,\"findings\":[{\"category\":\"Phone number\",\"count\":3,"
+    "\"examples\":[\"a\",\"b\",\"c\",\"d\"]},{\"category\":\"Unknown\"},null]}',"
+    " ',\"ocr\":', case when k % 3 = 0 then '{}' else '{\"status\":\"Completed\",\"confidence\":88.5,\"pagesProcessed\":-1,\"preprocessing\":\"Scan cleanup\"}' end, '}') end"
+)
+STATE_SQL = (
+    "case when k % 13 = 0 then 'not json' when k % 14 = 0 then '5' else concat('{\"filterValue\":', case when k % 3 = 0 then '9'"
+    " else concat('\"needle ', k % 10, '\"') end, ',\"documents\":[{\"path\":\"/s/', k, '.pdf\"},3,{\"path\":\"bad\"},{\"path\":\"/s/', k, '.png\",\"name\":\"scan\"}]}') end"
+)
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr(f"{REQUEST_SQL} as path", "event_id as seq")
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").selectExpr(f"{PAYLOAD_SQL} as uri_list", "page_id as seq")
+
+
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line of a document as one page of an OCR table."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    lines = docs.withColumn("lines", F.split("text", "\n"))
+    pages = lines.select("doc_id", F.size("lines").alias("total_pages"), F.posexplode("lines").alias("at", "line"))
+    return pages.selectExpr("doc_id", "total_pages", "at + 1 as page_no", "line").selectExpr(
+        "doc_id", "total_pages", "page_no", f"{PAGE_STATUS_SQL} as status", f"{PAGE_TEXT_SQL} as text",
+        f"{PAGE_SCORE_SQL} as confidence", "line",
+    )
+
+
+def review_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review log: status changes, and notes left by viewers."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "concat('/in/u', user_id, '.pdf') as path", "cast(ts as timestamp) as ts", "event_id",
+        "case when event_type <> 'view' then case event_id % 4 when 0 then 'Pending' when 1 then 'Approved'"
+        " when 2 then 'Needs review' else 'Rejected' end end as status",
+        "case when event_type = 'view' then concat('note ', event_id) end as notes",
+    )
+
+
+def light_queue(spark: SparkSession, sf_dir: str, *kinds: int) -> DataFrame:
+    """Queue rows without text: documents (0), order forms (1), customer forms (2)."""
+    review = ", ".join(f"'{name}', {value}" for name, value in REVIEW_SQL.items())
+    sources = {
+        0: table(spark, sf_dir, "documents").selectExpr("0L as kind", "doc_id as k", "bigint(octet_length(text)) as size_bytes"),
+        1: table(spark, sf_dir, "orders").selectExpr("1L as kind", "o_orderkey as k", "500 + o_orderkey % 977 as size_bytes"),
+        2: table(spark, sf_dir, "customer").selectExpr("2L as kind", "c_custkey as k", "300 + c_custkey % 311 as size_bytes"),
+    }
+    rows = None
+    for kind in kinds:
+        rows = sources[kind] if rows is None else rows.unionByName(sources[kind])
+    return rows.selectExpr(
+        "k * 3 + kind as seq", f"concat('/inbox/', kind, '/', k, '.', {FILE_TYPE_SQL}) as path",
+        f"concat(case when k % 2 = 0 then 'Doc' else 'doc' end, k % 100, '_', kind) as name", "size_bytes",
+        "case when k % 6 = 0 then null else int(k % 40) end as page_count", f"named_struct({review}) as review",
+    )
+
+
+def saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One saved JSON record per customer, some malformed."""
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey as k").selectExpr("k", f"{SAVED_SQL} as raw")
+
+
+def saved_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One saved workspace (JSON text) per order, some malformed."""
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey as k").selectExpr("k", f"{STATE_SQL} as raw")
