@@ -228,9 +228,16 @@ def size_label(size: Sql) -> Sql:
 
 
 def duration_label(millis: Sql) -> Sql:
+    """Milliseconds, or seconds with two digits.
+
+    Seconds round as the binary value of ``millis / 1000`` does; only multiples
+    of 125 ms are exact there, and those ties go up.
+    """
+    up = f"string(cast(round(cast({millis} as decimal(20,0)) / 1000, 2) as decimal(20,2)))"
     return (
         f"case when {millis} is null then 'Not available' when {millis} < 1000 then concat({millis}, ' ms')"
-        f" else concat(cast(round(cast({millis} as decimal(20,0)) / 1000, 2) as decimal(20,2)), ' s') end"
+        f" when {millis} % 125 = 0 then concat({up}, ' s')"
+        f" else concat(format_number({millis} / 1000D, '0.00'), ' s') end"
     )
 
 

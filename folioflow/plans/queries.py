@@ -14,7 +14,7 @@ from folioflow.functions import text as t
 from folioflow.functions import validators as v
 from folioflow.operators import bind, classify, dedupe, ocr, pii, queue, report, routing, templates
 from folioflow.rules import TEMPLATES
-from folioflow.session import scratch_dir, spread
+from folioflow.session import scratch_dir, spread, stored
 from folioflow.sources import corpus as src
 from folioflow.sources import images, intake, sinks, workspace
 from folioflow.streaming import intake as stream
@@ -49,6 +49,17 @@ def _folded(spark: SparkSession, sf: str) -> DataFrame:
     return bind(src.corpus(spark, sf).select("path", "extension", "text", "title", "subject"), "low", source)
 
 
+_QUEUES: dict[tuple[str, str], DataFrame] = {}
+
+
+def _queue(spark: SparkSession, sf: str) -> DataFrame:
+    """The inspected queue as a stored table, written once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _QUEUES:
+        _QUEUES[key] = stored(src.queue(spark, sf), "queue")
+    return _QUEUES[key]
+
+
 def findings_text(findings: str) -> str:
     return "array_join(" + t.each(
         "transform", findings, lambda f: f"concat({f}.category, ' x', {f}.count, ': ', array_join({f}.examples, '; '))"
@@ -333,7 +344,7 @@ def queue_topk_pages(spark, sf):
 
 @_query
 def queue_search(spark, sf):
-    return queue.search(src.queue(spark, sf), NEEDLE).selectExpr("path", "status", "review.status as review_status")
+    return queue.search(_queue(spark, sf), NEEDLE).selectExpr("path", "status", "review.status as review_status")
 
 
 @_query
@@ -345,7 +356,7 @@ def review_state(spark, sf):
 
 @_query
 def duplicates(spark, sf):
-    return dedupe.with_copies(src.corpus(spark, sf).select("path", "sha256"))
+    return dedupe.with_copies(stored(src.corpus(spark, sf).select("path", "sha256"), "fingerprints"))
 
 
 @_query
@@ -373,13 +384,13 @@ def class_profile(spark, sf):
 
 @_query
 def queue_csv(spark, sf):
-    return report.csv_lines(src.queue(spark, sf))
+    return report.csv_lines(_queue(spark, sf))
 
 
 @_query
 def report_docs(spark, sf):
     root = scratch_dir(spark, "report")
-    sinks.write_report(src.queue(spark, sf), root, "net 30")
+    sinks.write_report(_queue(spark, sf), root, "net 30")
     schema = (
         "path string, name string, status string, sha256 string, duplicate boolean, duplicate_count bigint, modified_at string,"
         " analysis struct<document_class:string,sensitivity:string>, pii struct<total_matches:bigint>, review struct<status:string>"
@@ -393,7 +404,7 @@ def report_docs(spark, sf):
 @_query
 def csv_sheet(spark, sf):
     root = scratch_dir(spark, "csv")
-    sinks.write_csv(src.queue(spark, sf), root)
+    sinks.write_csv(_queue(spark, sf), root)
     return sinks.read_csv(spark, root).selectExpr(
         "`Path` as path", "`Name` as name", "`Pages` as pages", "`Document class` as document_class", "`Reviewed at` as reviewed_at",
         "`Duplicate` as duplicate", "`SHA-256` as sha256",

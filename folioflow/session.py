@@ -45,3 +45,14 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared scratch folder and read it back.
+
+    Cuts the lineage, so what reads the table several times computes it once and
+    a lost executor costs a re-read, not a recomputation.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import iso_timestamp
@@ -25,10 +25,8 @@ def write_csv(queue: DataFrame, path: str) -> None:
     ).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
-def read_csv(spark, path: str) -> DataFrame:
-    """Read a written sheet back, cell by cell as text."""
-    return (
-        spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("emptyValue", "")
-        .option("nullValue", chr(1)).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Read a written sheet back, cell by cell as text; empty cells are empty text."""
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    sheet = reader.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return sheet.na.fill("")
