@@ -655,5 +655,9 @@ ORACLES: dict[str, str] = {
     "scan_cleanup": _gray(),
     "stream_intake": f"with {DOCS} select path, extension, strlen(raw) as size_bytes, sha256(raw) as sha256 from docs",
     "stream_pii": f"with {DOCS}, {PII} select path, risk_level, total_matches, findings from pii",
+    "stream_queue_merge": (
+        f"select path, n_chars + 1 as n_chars, review_status from (select concat('/inbox/0/', k, '.', {src.FILE_TYPE_SQL}) as path, n_chars,"
+        f" {_R['status']} as review_status from (select doc_id as k, n_chars from documents))"
+    ),
     "stream_duplicates": "select sha256(text) as sha256, count(*) as copies from documents group by 1",
 }

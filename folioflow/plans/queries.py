@@ -505,10 +505,15 @@ def stream_duplicates(spark, sf):
 
 @_query
 def stream_queue_merge(spark, sf):
-    root, schema = _landed(spark, sf, "stream-merge")
-    rows = stream.arriving(spark, f"{root}/landing", schema, 2)
-    # Copies of one text under one source are the same path again: later ones win.
-    docs = rows.selectExpr("concat('/by-text/', sha2(text, 256)) as path", "doc_id as seq", "bigint(n_chars) as n_chars")
-    stream.run_upserts(docs, f"{root}/out", f"{root}/checkpoint")
-    current = stream.current_rows(spark, f"{root}/out", "path", "seq")
+    root = scratch_dir(spark, "stream-merge")
+    docs = src.table(spark, sf, "documents").selectExpr(
+        f"concat('/inbox/0/', doc_id, '.', {src.FILE_TYPE_SQL.replace('k %', 'doc_id %')}) as path", "bigint(n_chars) as n_chars"
+    )
+    # Every document arrives, and later arrives again one character longer.
+    for version in (0, 1):
+        rows = docs.selectExpr("path", f"n_chars + {version} as n_chars", f"{version}L as version")
+        rows.repartition(6, "path").write.mode("append").parquet(f"{root}/landing")
+    arriving = stream.arriving(spark, f"{root}/landing", rows.schema, 6)
+    stream.run_upserts(arriving, f"{root}/out", f"{root}/checkpoint")
+    current = stream.current_rows(spark, f"{root}/out", "path", "version")
     return queue.stage(current, src.light_queue(spark, sf, 0)).selectExpr("path", "n_chars", "review.status as review_status")
