@@ -152,12 +152,12 @@ def hit(folded: Sql, pattern: str) -> Sql:
 
 
 def any_hit(folded: Sql, patterns: tuple[str, ...]) -> Sql:
-    return f"({' or '.join(hit(folded, p) for p in patterns)})"
+    return f"({' or '.join(hit(folded, p) for p in patterns) or 'false'})"
 
 
 def hits(folded: Sql, patterns: tuple[str, ...]) -> Sql:
     """How many of ``patterns`` occur (patterns, not occurrences)."""
-    return "(" + " + ".join(f"int({hit(folded, p)})" for p in patterns) + ")"
+    return "(" + (" + ".join(f"int({hit(folded, p)})" for p in patterns) or "0") + ")"
 
 
 def trim(text: Sql) -> Sql:
@@ -259,7 +259,8 @@ def half_up(number: Sql) -> Sql:
 
 
 def clamp_percent(number: Sql) -> Sql:
-    return f"least(greatest({number}, 0), 100)"
+    """0 to 100; null stays null (``least`` and ``greatest`` skip nulls)."""
+    return f"case when {number} is not null then least(greatest({number}, 0), 100) end"
 
 
 def progress_label(index: Sql, total: Sql, page: Sql, page_limit: Sql) -> Sql:

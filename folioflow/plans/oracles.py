@@ -364,7 +364,7 @@ INSPECTED = (
     " case when route in ('a','b','c') then 'Image OCR' when route in ('f','g','h','i','j','k') then 'PDF OCR fallback' end as ocr_source,"
     f" case route when 'a' then {_IMG} when 'b' then {q(NOTES['image_limit'])} when 'c' then ocr_note when 'f' then {q(NOTES['too_large_ocr'])}"
     f" when 'g' then {q(NOTES['not_required'])} when 'd' then 'OCR not run.' when 'e' then 'OCR not run.' when 'l' then 'OCR not run.' else {_OCR_NOTE} end as ocr_note,"
-    " case when route in ('a','h','i','j') then least(greatest(floor(ocr_confidence + 0.5), 0), 100) end::bigint as ocr_confidence,"
+    " case when route in ('a','h','i','j') and ocr_confidence is not null then least(greatest(floor(ocr_confidence + 0.5), 0), 100) end::bigint as ocr_confidence,"
     " case when route = 'a' then 1 when route in ('c','h','i','j','k') then ocr_pages else 0 end::bigint as ocr_pages,"
     f" case when route in ('a','b','c') then 1 when route in ('h','i','j','k') then least(total_pages, {OCR_PAGE_LIMIT}) end::bigint as ocr_page_limit,"
     " case when route in ('a','h','j') then ocr_body when route in ('g','i') then body else '' end as content,"
@@ -405,7 +405,7 @@ PAGES = (
     "lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as page_no,"
     " len(string_split(text, chr(10))) as total_pages from documents),"
     f" pages_in as (select doc_id, page_no, total_pages, line, {src.PAGE_STATUS_SQL} as status, {norm(src.PAGE_TEXT_SQL)} as text,"
-    f" least(greatest(floor({src.PAGE_SCORE_SQL} + 0.5), 0), 100 + 0 * ({src.PAGE_SCORE_SQL})) as score from lines where page_no <= {OCR_PAGE_LIMIT})"
+    f" case when ({src.PAGE_SCORE_SQL}) is not null then least(greatest(floor({src.PAGE_SCORE_SQL} + 0.5), 0), 100) end as score from lines where page_no <= {OCR_PAGE_LIMIT})"
 )
 
 

@@ -92,7 +92,6 @@ def _ocr(doc: Sql) -> Sql:
         status=c.choice(doc, "ocr.status", ("Completed", "Skipped", "Failed", "Not run"), "Not run"),
         source=c.text(doc, "ocr.source", none, 120),
         engine=c.text(doc, "ocr.engine", none, 120),
-        # least/greatest skip nulls, so an absent confidence needs its own branch.
         confidence=f"case when {c.is_number(c.at(doc, 'ocr.confidence'))} then"
         f" {clamp_percent('double(' + half_up(c.number(doc, 'ocr.confidence')) + ')')} end",
         duration_ms=c.number(doc, "ocr.durationMs", missing),

@@ -19,7 +19,8 @@ def arriving(spark: SparkSession, path: str, schema: StructType, files_per_batch
 
 def arriving_files(spark: SparkSession, path: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """Files themselves (path, modificationTime, length, content) as they land."""
-    return spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch).load(path)
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_batch).load(path)
 
 
 def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> None:

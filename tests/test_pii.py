@@ -43,8 +43,9 @@ CASES = [
     ("000000000", [(ABA, 1, ["*****0000"])], "High"),
     # the label belongs to the span, so the taken number silences the birth date
     ("DOB 536-22-1234 and dob: 4-5-88", [(SSN, 1, ["***-**-1234"]), (BORN, 1, ["**/**/****"])], "High"),
-    # a failing candidate uses up its text
-    ("4111 1111 1111 1112 021000021", [], "None"),
+    # a failing candidate uses up its text for its own detector, but claims nothing
+    ("99 4111111111111111", [], "None"),
+    ("4111 1111 1111 1112 021000021", [(ABA, 1, ["*****0021"])], "High"),
 ]
 
 
