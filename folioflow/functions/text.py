@@ -133,24 +133,72 @@ def required_word(pattern: str) -> str:
     return max([*runs, run], key=len)
 
 
+class Folded(str):
+    """SQL text of a folded text whose keyword tests are already bound to flags."""
+
+    words: dict[str, Sql]
+
+    def __new__(cls, text: Sql, words: dict[str, Sql]):
+        self = super().__new__(cls, text)
+        self.words = words
+        return self
+
+
+def _branches(pattern: str) -> list[tuple[str, bool]]:
+    """Top-level alternatives with whether each is a plain word."""
+    parts = [pattern] if "(" in pattern or "[" in pattern else pattern.split("|")
+    return [(part, not _META & set(part) and "|" not in part) for part in parts]
+
+
+def _contains(folded: Sql, word: str) -> Sql:
+    known = folded.words.get(word) if isinstance(folded, Folded) else None
+    return known or f"contains({folded}, {lit(word)})"
+
+
 def hit(folded: Sql, pattern: str) -> Sql:
     """Does a lower-case ``pattern`` occur in folded text?
 
     Plain words become ``contains`` (no regex engine). Other alternatives use
     ``rlike``, tried only where the words they cannot do without are present.
     """
-    branches = [pattern] if "(" in pattern or "[" in pattern else pattern.split("|")
     tests = []
-    for branch in branches:
-        if not _META & set(branch) and "|" not in branch:
-            tests.append(f"contains({folded}, {lit(branch)})")
+    for branch, plain in _branches(pattern):
+        if plain:
+            tests.append(_contains(folded, branch))
             continue
         word = required_word(branch)
-        gate = f"contains({folded}, {lit(word)}) and " if word else ""
+        gate = f"{_contains(folded, word)} and " if word else ""
         tests.append(f"({gate}{folded} rlike {regex(branch)})")
     return f"({' or '.join(tests)})"
 
 
+def with_words(folded: Sql, patterns: list[str], body: Callable[[Sql], Sql]) -> Sql:
+    """Search each distinct word of ``patterns`` once and bind the answers for ``body``.
+
+    A word that contains a shorter one ("invoice number", "invoice") is searched
+    only where the shorter one was found.
+    """
+    words = sorted({b if plain else required_word(b) for p in patterns for b, plain in _branches(p)} - {""}, key=lambda w: (len(w), w))
+    stems: list[str] = []
+    longer: dict[str, str] = {}
+    for word in words:
+        stem = next((s for s in stems if s in word), None)
+        if stem is None:
+            stems.append(word)
+        else:
+            longer[word] = stem
+
+    def second(first: Sql) -> Sql:
+        flags = {stem: f"{first}.w{i}" for i, stem in enumerate(stems)}
+        more = struct(**{f"w{i}": f"{flags[stem]} and contains({folded}, {lit(w)})" for i, (w, stem) in enumerate(longer.items())})
+        return let(more, lambda m: body(Folded(folded, flags | {w: f"{m}.w{i}" for i, w in enumerate(longer)})))
+
+    first = struct(**{f"w{i}": f"contains({folded}, {lit(stem)})" for i, stem in enumerate(stems)})
+    if not longer:
+        return let(first, lambda f: body(Folded(folded, {s: f"{f}.w{i}" for i, s in enumerate(stems)})))
+    return let(first, second)
+
+
 def any_hit(folded: Sql, patterns: tuple[str, ...]) -> Sql:
     return f"({' or '.join(hit(folded, p) for p in patterns) or 'false'})"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from folioflow.functions.text import Sql, array, each, fold, hit, hits, let, lit, source_text, struct
+from folioflow.functions.text import Sql, array, each, fold, hit, hits, let, lit, source_text, struct, with_words
 from folioflow.operators import bind
 from folioflow.operators import pii as pii_ops
 from folioflow.operators import templates as template_ops
@@ -84,6 +84,19 @@ def classify(
     return struct(document_class=f"case {' '.join(label)} else {general} end", confidence=confidence)
 
 
+def keyword_patterns(templates: tuple[Template, ...], profiles: tuple[Profile, ...], rules: tuple[Signal, ...]) -> list[str]:
+    """Every keyword pattern the record tests against the text."""
+    return [
+        *(p for t in templates for p in (*t.anchors, *t.supports)),
+        *(p for profile in profiles for p in profile.patterns),
+        *(r.pattern for r in rules),
+        RESTRICTED_WORDS,
+        BUSINESS_WORDS,
+        # gate of the labelled birth date
+        "birth|dob",
+    ]
+
+
 def classify_text(ext: Sql, folded: Sql, templates: tuple[Template, ...] = TEMPLATES, profiles: tuple[Profile, ...] = PROFILES) -> Sql:
     def by_choice(choice: Sql) -> Sql:
         profile = f"case when {choice} is null then {best_profile(folded, profiles)} end"
@@ -165,6 +178,9 @@ def intelligence(
 
     def analysed(source: Sql) -> Sql:
         def folded(low: Sql) -> Sql:
+            return with_words(low, keyword_patterns(templates, profiles, rules), known)
+
+        def known(low: Sql) -> Sql:
             parts = struct(pii=pii_ops.scan_of(source, low, detectors), choice=template_ops.choose(low, templates))
             return let(parts, lambda p: assemble(source, low, p))
 

@@ -59,7 +59,7 @@ def _has_at(text: Sql, folded: Sql) -> Sql:
 
 
 def _has_birth_label(text: Sql, folded: Sql) -> Sql:
-    return " or ".join(f"contains({folded}, '{word}')" for word in ("birth", "dob", "d.ob", "do.b", "d.o.b"))
+    return hit(folded, r"birth|dob|d\.o\.?b|do\.b")
 
 
 # Categories, patterns and masks in claim priority order.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import Sql, any_hit, array, collapse_spaces, each, fold, hit, hits, let, lit, regex, struct
+from folioflow.functions.text import Sql, any_hit, array, collapse_spaces, each, fold, hit, hits, let, lit, regex, struct, with_words
 from folioflow.functions.validators import VALIDATORS
 from folioflow.operators import bind
 from folioflow.rules import ANCHOR_WEIGHT, MAX_VALUE_CHARS, NO_TEMPLATE_SUMMARY, TEMPLATES, FieldRule, Template
@@ -99,7 +99,12 @@ def extraction(source: Sql, folded: Sql, choice: Sql, templates: tuple[Template,
 def extract(df: DataFrame, text: str, templates: tuple[Template, ...] = TEMPLATES, out: str = "extraction") -> DataFrame:
     """Append the structured extraction of column ``text`` as ``out``."""
     def of(source: Sql) -> Sql:
-        return let(fold(source), lambda low: let(choose(low, templates), lambda c: extraction(source, low, c, templates)))
+        anchors = [p for t in templates for p in (*t.anchors, *t.supports)]
+
+        def chosen(low: Sql) -> Sql:
+            return let(choose(low, templates), lambda c: extraction(source, low, c, templates))
+
+        return let(fold(source), lambda low: with_words(low, anchors, chosen))
 
     return bind(df, out, let(text, of))
 
