@@ -25,7 +25,9 @@ class Detector:
     """One identifier kind.
 
     ``gate`` is a cheap necessary condition on (text, folded text); ``valid`` and
-    ``mask`` work on the matched string. All are SQL text builders.
+    ``mask`` work on the matched string. Where a pattern also takes characters in
+    front of the identifier, ``core`` gives the identifier, the end of the match.
+    All are SQL text builders.
     """
 
     category: str
@@ -35,6 +37,7 @@ class Detector:
     gate: Callable[[Sql, Sql], Sql]
     valid: Callable[[Sql], Sql] = lambda m: "true"
     ignore_case: bool = False
+    core: Callable[[Sql], Sql] | None = None
 
     @property
     def compiled(self) -> Sql:
@@ -62,6 +65,19 @@ def _has_birth_label(text: Sql, folded: Sql) -> Sql:
     return hit(folded, r"birth|dob|d\.o\.?b|do\.b")
 
 
+# An address is a local part, "@" and a domain of letters-only labels. Written so
+# that any text is searched in linear time and without recursion: a run of local
+# characters is tried once, from its start (or where the last match ended), and
+# only if a domain follows; the address begins at the first word edge in the run.
+_LOCAL = "[a-z0-9._%+-]"
+_DOMAIN = r"@[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z]{2,}+\b)++"
+_ADDRESS = rf"(?:(?<!{_LOCAL})|\G)(?={_LOCAL}*+{_DOMAIN}){_LOCAL}*?\b[a-z0-9]{_LOCAL}*+{_DOMAIN}"
+
+
+def _address(m: Sql) -> Sql:
+    return f"regexp_extract({m}, {regex(chr(92) + 'b[a-z0-9].*', True)}, 0)"
+
+
 # Categories, patterns and masks in claim priority order.
 DETECTORS = (
     Detector(
@@ -105,11 +121,12 @@ DETECTORS = (
     ),
     Detector(
         "Email address",
-        r"\b[a-z0-9][a-z0-9._%+-]*@[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z]{2,})+\b",
+        _ADDRESS,
         lambda m: f"concat(left({m}, 1), '***@', substring_index({m}, '@', -1))",
         high_risk=False,
         gate=_has_at,
         ignore_case=True,
+        core=_address,
     ),
     Detector(
         "Date of birth",
@@ -180,7 +197,14 @@ def _spans(matches: Sql, gaps: Sql) -> Sql:
 
 
 def _placed(detector: Detector, matches: Sql, text: Sql) -> Sql:
-    return _spans(matches, f"split({text}, {detector.compiled}, -1)")
+    spans = _spans(matches, f"split({text}, {detector.compiled}, -1)")
+    if detector.core is None:
+        return spans
+
+    def trimmed(s: Sql) -> Sql:
+        return let(detector.core(f"{s}.text"), lambda c: struct(text=c, start=f"{s}.stop - length({c})", stop=f"{s}.stop"))
+
+    return each("transform", spans, trimmed)
 
 
 def candidates(df: DataFrame, text: str, keep: list[str], detectors: tuple[Detector, ...] = DETECTORS) -> DataFrame:
@@ -274,7 +298,10 @@ def scan_of(body: Sql, folded: Sql, detectors: tuple[Detector, ...] = DETECTORS)
     n = range(len(detectors))
 
     def resolve(found: Sql) -> Sql:
-        valid = struct(**{f"d{i}": each("filter", f"{found}.d{i}", d.valid) for i, d in enumerate(detectors)})
+        def identifiers(i: int, d: Detector) -> Sql:
+            return each("transform", f"{found}.d{i}", d.core) if d.core else f"{found}.d{i}"
+
+        valid = struct(**{f"d{i}": each("filter", identifiers(i, d), d.valid) for i, d in enumerate(detectors)})
 
         def accept(ok: Sql) -> Sql:
             firing = _total([f"int(size({ok}.d{i}) > 0)" for i in n])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import basename, extension, normalize
+from folioflow.functions.text import basename, extension, let, normalize, struct
 from folioflow.operators.routing import inspect
 from folioflow.session import spread
 
@@ -278,9 +278,13 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line of a document as one page of an OCR table."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    lines = docs.withColumn("lines", F.split("text", "\n"))
-    pages = lines.select("doc_id", F.size("lines").alias("total_pages"), F.posexplode("lines").alias("at", "line"))
-    return pages.selectExpr("doc_id", "total_pages", "at + 1 as page_no", "line").selectExpr(
+    # The page count travels inside the exploded element, so no row drags the whole text along.
+    every = let(
+        "split(text, '\\n')",
+        lambda ls: f"transform({ls}, (line, at) -> {struct(page_no='at + 1', line='line', total_pages=f'size({ls})')})",
+    )
+    pages = docs.select("doc_id", F.explode(F.expr(every)).alias("p")).select("doc_id", "p.*")
+    return pages.selectExpr(
         "doc_id", "total_pages", "page_no", f"{PAGE_STATUS_SQL} as status", f"{PAGE_TEXT_SQL} as text",
         f"{PAGE_SCORE_SQL} as confidence", "line",
     )
