@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +30,29 @@ def choose(folded: Sql, templates: tuple[Template, ...] = TEMPLATES) -> Sql:
     return f"array_max({each('transform', qualified, lambda c: struct(score=f'{c}.score', order=f'{c}.order'))})"
 
 
+_FILLER = re.compile(r"((?:\\s\*|\[[^\]]*\]\?|\\\$\?)+)(?=\((?:\\d|\\\(\?\\d|\(\?:19|\(\?:single|\[a-z0-9\]))")
+_REST_OF_LINE = r"[^\n]*?"
+
+
+def linear(pattern: str) -> str:
+    """The same value pattern, searched in linear time in texts of any length.
+
+    White space and separators in front of a value that starts with a digit or a
+    fixed word cannot belong to it, so they are taken without backtracking. Where
+    a value may follow anywhere in the line, the first label of the line covers
+    what later labels could reach, so only that one is tried.
+    """
+    greedy = _FILLER.sub(lambda m: re.sub(r"(\\s\*|\]\?|\\\$\?)", r"\1+", m.group(1)), pattern)
+    greedy = greedy.replace(r"\s*[:\-]?\s*([^\s@]", r"\s*+[:\-]?\s*+([^\s@]")
+    if _REST_OF_LINE not in greedy:
+        return greedy
+    label, rest = greedy.split(_REST_OF_LINE, 1)
+    return rf"(?:(?<=\n)|\A)(?>{_REST_OF_LINE}{label}){_REST_OF_LINE}{rest}"
+
+
 def _usable(rule: FieldRule, pattern: str, source: Sql) -> Sql:
     """First match of one value pattern, or null when it is empty or guarded."""
-    found = f"left({collapse_spaces(f'regexp_extract({source}, {regex(pattern, True)}, 1)')}, {MAX_VALUE_CHARS})"
+    found = f"left({collapse_spaces(f'regexp_extract({source}, {regex(linear(pattern), True)}, 1)')}, {MAX_VALUE_CHARS})"
     guard = (lambda v: f" and not {hit(fold(v), rule.guard)}") if rule.guard else (lambda v: "")
     return let(found, lambda v: f"case when {v} <> ''{guard(v)} then {v} end")
 

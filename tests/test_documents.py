@@ -189,3 +189,22 @@ def test_required_word():
     assert t.required_word(r"insured'?s i\.?d\.? number") == "insured"
     assert t.required_word(r"[^\n]{2,80}ab+c") == "ab"
     assert t.required_word(r"ab|cd") == ""
+
+
+HOSTILE = [
+    "x@a" + ".bb" * 30000 + "1 end",
+    "Invoice Number: A1\nAmount Due: $1" + ",123" * 30000 + ".00\nBill to: x\npayment terms: net 3",
+    "1 " * 100000, "a." * 100000 + "@", "a@" * 30000, "dob " * 30000,
+    "form w-9\n" + "taxpayer identification number " * 5000,
+    "form 1040 u.s. individual income tax return\nyour social security number" + " " * 20000 + "x",
+    "form i-9 employment eligibility verification\nemployee's email address" + " " * 20000 + "x",
+]
+
+
+def test_hostile_texts_neither_crash_nor_hang(spark):
+    df = spark.createDataFrame([(i, "PDF", text, "", "") for i, text in enumerate(HOSTILE)], "id int, extension string, text string, title string, subject string")
+    got = {r.id: r for r in classify.with_intelligence(df).collect()}
+    assert len(got) == len(HOSTILE)
+    assert got[0].pii.total_matches == 1
+    amount = [f.value for f in got[1].extraction.fields if f.key == "amountDue"]
+    assert amount[0].startswith("1,123,123") and len(amount[0]) == 200
