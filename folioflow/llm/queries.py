@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from folioflow.llm import mixing
+from folioflow.llm import mixing, tokens
 from folioflow.llm.common import table
 
 
+def op1_token_sequences(spark, sf_dir):
+    return tokens.token_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark, sf_dir):
     return mixing.mixed_sizes(table(spark, sf_dir, "documents")).drop("copies", "source")
 
 
-QUERIES = {f.__name__: f for f in (op8_mix_sources,)}
+QUERIES = {f.__name__: f for f in (op1_token_sequences, op8_mix_sources)}
