@@ -24,3 +24,15 @@ o as (select u.source, u.k, u.size + 2 * coalesce(sum(u.size) over (partition by
 select d.doc_id, d.size, cast(e.s as bigint) as source_size, e.target, cast(d.size * (e.whole + case when o.extra then 1 else 0 end) as bigint) as taken
 from d join e on d.source is not distinct from e.source join o on d.source is not distinct from o.source and d.k = o.k
 """
+
+ORACLES["op2_exact_topk"] = r"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id,
+         cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 100 = 0),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
+select * from r where rank <= 10
+"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from folioflow.llm import mixing, tokens
+from pyspark.sql import functions as F
+
+from folioflow.llm import mixing, tokens, topk
 from folioflow.llm.common import table
 
 
@@ -10,8 +12,12 @@ def op1_token_sequences(spark, sf_dir):
     return tokens.token_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_exact_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_mix_sources(spark, sf_dir):
     return mixing.mixed_sizes(table(spark, sf_dir, "documents")).drop("copies", "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_sequences, op8_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_token_sequences, op2_exact_topk, op8_mix_sources)}
