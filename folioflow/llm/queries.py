@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioflow.llm import mixing, tokens, topk
+from folioflow.llm import mixing, simhash, tokens, topk
 from folioflow.llm.common import table
 
 
@@ -16,8 +16,12 @@ def op2_exact_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op3_simhash_groups(spark, sf_dir):
+    return simhash.near_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark, sf_dir):
     return mixing.mixed_sizes(table(spark, sf_dir, "documents")).drop("copies", "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_sequences, op2_exact_topk, op8_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_token_sequences, op2_exact_topk, op3_simhash_groups, op8_mix_sources)}
