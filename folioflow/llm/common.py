@@ -38,7 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    """``_key`` (long, unique per distinct doc_id and text, ascending with doc_id), doc_id, text and ``columns``.
+    """The rows of :func:`keyed_documents`."""
+    return keyed_documents(docs, *columns)[0]
+
+
+def keyed_documents(docs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, the same with one row per key): ``_key`` (long, unique per distinct doc_id and text, ascending with doc_id), doc_id, text and ``columns``.
 
     Ids that are whole are the key themselves. Only where some id is null or repeated, rows are
     numbered in the order (doc_id with nulls last, text) and written; rows that repeat both
@@ -48,12 +53,14 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *columns)
     bad = rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1)
     if not bad.take(1):
-        return rows.withColumn("_key", F.col("doc_id").cast("long"))
+        rows = rows.withColumn("_key", F.col("doc_id").cast("long"))
+        return rows, rows
     order = [F.col("doc_id").asc_nulls_last(), F.col("_digest")]
     ids = rows.select("doc_id", F.sha2("text", 256).alias("_digest")).distinct()
     numbered = ids.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_key", F.monotonically_increasing_id())
     numbered = written(numbered, "keys").withColumnRenamed("doc_id", "_id")
     rows = rows.withColumn("_sha", F.sha2("text", 256))
-    return rows.join(numbered, rows["doc_id"].eqNullSafe(numbered["_id"]) & (rows["_sha"] == numbered["_digest"])).drop(
+    rows = rows.join(numbered, rows["doc_id"].eqNullSafe(numbered["_id"]) & (rows["_sha"] == numbered["_digest"])).drop(
         "_id", "_digest", "_sha"
     )
+    return rows, rows.dropDuplicates(["_key"])

@@ -36,3 +36,21 @@ s as (
 r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
 select * from r where rank <= 10
 """
+
+# texts as hex digits, two per byte, so that substrings count bytes
+ORACLES["op10_suffix_dedup"] = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, h, unnest(range(0, cast(length(h) / 2 as bigint) - 99)) as s from d where length(h) >= 200),
+k as (select doc_id, s, substring(h, 2 * s + 1, 200) as c from w),
+r as (select doc_id, s, row_number() over (partition by c order by doc_id, s) > 1 as again from k),
+g as (select doc_id, s, case when s <= max(s + 100) over (partition by doc_id order by s rows between unbounded preceding and 1 preceding) then 0 else 1 end as new
+      from r where again),
+n as (select doc_id, s, sum(new) over (partition by doc_id order by s) as span from g),
+p as (select doc_id, span, min(s) as a, max(s) + 100 as b from n group by doc_id, span),
+x as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from p),
+t as (select doc_id, count(*) as n_spans, sum(b - a) as n_removed, max(b) as last from x group by doc_id),
+y as (select x.doc_id, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' order by a) as kept from x join d using (doc_id) group by x.doc_id)
+select d.doc_id, cast(length(h) / 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+       sha256(from_hex(coalesce(kept, '') || substring(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from d left join t using (doc_id) left join y using (doc_id)
+"""
