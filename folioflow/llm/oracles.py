@@ -54,3 +54,34 @@ select d.doc_id, cast(length(h) / 2 as bigint) as n_bytes, cast(coalesce(n_remov
        sha256(from_hex(coalesce(kept, '') || substring(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
 from d left join t using (doc_id) left join y using (doc_id)
 """
+
+_ASSIGN = (
+    r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))"
+    r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+)
+_KINDS = [("assign", 1, _ASSIGN, 2, 6), ("access", 2, "AKIA[A-Z0-9]+", 0, 20), ("hex", 3, "[0-9a-f]+", 0, 24), ("owned", 4, "[A-Za-z0-9+/_-]{20,}", 0, 20)]
+_MATCHES = " union all ".join(
+    f"""select doc_id, source, '{kind}' as kind, {rank} as rank, {least} as least, generate_subscripts(m, 1) as i, unnest(m) as m, unnest(v) as v,
+        unnest(list_transform(p[1:len(m)], lambda x: length(x))) as before
+        from (select doc_id, source, regexp_extract_all(text, '{regex}', 0) as m, regexp_extract_all(text, '{regex}', {group}) as v,
+                     string_split_regex(text, '{regex}') as p from d)"""
+    for kind, rank, regex, group, least in _KINDS
+)
+ORACLES["op6_secret_spans"] = f"""
+with d as (select doc_id, source, coalesce(text, '') as text from documents),
+x as ({_MATCHES}),
+e as (select *, cast(sum(before + length(m)) over (partition by doc_id, kind order by i) as bigint) as "end" from x),
+c as (select doc_id, source, kind, rank, "end" - length(m) as start, "end", v from e
+      where case when kind = 'owned' then regexp_matches(v, '[0-9]') and regexp_matches(v, '[a-z]') and regexp_matches(v, '[A-Z]') else length(v) >= least end),
+o as (select v, count(distinct coalesce(source, '')) as owners from c group by v),
+j as (select c.*, owners from c join o using (v)),
+k as (select * from j where kind <> 'owned' or owners = 1 and not exists (
+        select 1 from j b where b.doc_id = j.doc_id and b.kind <> 'owned' and b.start < j."end" and b."end" > j.start)),
+g as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+             count(*) filter (kind = 'owned') as n_owned, count(*) filter (owners = 1) as n_single_owner, count(*) filter (owners >= 3) as n_copied,
+             string_agg(kind || ':' || start || ':' || "end", ',' order by start, rank) filter (kind <> 'owned') as base,
+             string_agg(kind || ':' || start || ':' || "end", ',' order by start, rank) as spans from k group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256,
+       coalesce(spans, '') as spans, coalesce(n_owned, 0) as n_owned, coalesce(n_single_owner, 0) as n_single_owner, coalesce(n_copied, 0) as n_copied
+from d left join g using (doc_id)
+"""

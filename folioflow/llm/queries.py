@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioflow.llm import mixing, simhash, suffix_dedup, tokens, topk
+from folioflow.llm import mixing, secrets, simhash, suffix_dedup, tokens, topk
 from folioflow.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_simhash_groups(spark, sf_dir):
     return simhash.near_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_spans(spark, sf_dir):
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark, sf_dir):
     return mixing.mixed_sizes(table(spark, sf_dir, "documents")).drop("copies", "source")
 
@@ -28,4 +32,4 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_sequences, op2_exact_topk, op3_simhash_groups, op8_mix_sources, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_sequences, op2_exact_topk, op3_simhash_groups, op6_secret_spans, op8_mix_sources, op10_suffix_dedup)}
