@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioflow.llm import mixing, secrets, simhash, suffix_dedup, tokens, topk
+from folioflow.llm import line_chunks, mixing, secrets, simhash, suffix_dedup, tokens, topk
 from folioflow.llm.common import table
 
 
@@ -28,8 +28,13 @@ def op8_mix_sources(spark, sf_dir):
     return mixing.mixed_sizes(table(spark, sf_dir, "documents")).drop("copies", "source")
 
 
+def op9_line_chunks(spark, sf_dir):
+    kept = line_chunks.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", "n_chunks_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_sequences, op2_exact_topk, op3_simhash_groups, op6_secret_spans, op8_mix_sources, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_sequences, op2_exact_topk, op3_simhash_groups, op6_secret_spans, op8_mix_sources, op9_line_chunks, op10_suffix_dedup)}
