@@ -31,10 +31,12 @@ from folioflow.llm.common import keyed_documents, written
 THRESHOLD = 100
 #: Length of the strings that anchors are chosen among; windows hold ``threshold - GRAM + 1`` of them.
 GRAM = 37
-#: Bytes of texts that are worked on at a time; a longer text is worked on in overlapping blocks.
-BLOCK = 1 << 20
+#: Bytes of texts that are hashed at a time; a longer text is worked on in overlapping blocks.
+BLOCK = 1 << 18
+#: Rows that a task gathers before it settles equal contents among them.
+HELD = 1 << 18
 #: Low bits of a comparison key that hold the position in a block (twice its size, for overlaps).
-PLACE = 21
+PLACE = 20
 #: Fixed odd multiplier of the rolling hash and its inverse modulo 2^64, and mixing constants.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -157,6 +159,25 @@ def _digit_rows(anchor, contents, key, at, n) -> Iterator[pa.RecordBatch]:
     yield _rows(["anchor", "c1", "c2", "_key", "at", "n"], [anchor, contents[picked, 0], contents[picked, 1], key[picked], at[picked], signed], RUNS)
 
 
+class _Gathered:
+    """Rows of a task, settled among themselves some ``HELD`` at a time."""
+
+    def __init__(self):
+        self.parts: list[tuple] = []
+        self.size = 0
+
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append(columns)
+        self.size += len(columns[0])
+        if self.size >= HELD:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            yield from _digit_rows(*(np.concatenate(c) for c in zip(*self.parts, strict=True)))
+        self.parts, self.size = [], 0
+
+
 REMOVED, OPEN = 0, 1
 
 
@@ -220,27 +241,25 @@ def repeated_spans(texts: DataFrame, threshold: int = THRESHOLD, block: int = BL
 
     def runs(batches):
         roller = Roller(2 * BLOCK)
+        gathered = _Gathered()
         for data, keys, offsets, starts, ends in _blocks(batches, threshold, block):
             at, n, anchor = runs_of(np.frombuffer(data, np.uint8), starts, ends, threshold, roller)
             text = np.searchsorted(ends, at, side="right")
-            yield from _digit_rows(anchor.view(np.int64), _contents(data, at, n + threshold - 1), keys[text], at - starts[text] + offsets[text], n)
+            yield from gathered.add(anchor.view(np.int64), _contents(data, at, n + threshold - 1), keys[text], at - starts[text] + offsets[text], n)
+        yield from gathered.flush()
 
     found = _pass(texts.mapInArrow(runs, RUNS), True, "suffix-runs")
     wanted = found.filter(F.col("kind") == OPEN).groupBy("_key").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
 
     def windows(batches):
-        waiting, held = [], 0
+        gathered = _Gathered()
         for batch in batches:
             for key, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 data = text.as_buffer().to_pybytes()
                 for at in _split(spans.as_py()):
-                    waiting.append((_contents(data, at, np.full(len(at), threshold)), np.full(len(at), key), at))
-                    held += len(at)
-                    if held > BLOCK:
-                        yield from _window_rows(waiting)
-                        waiting, held = [], 0
-        if waiting:
-            yield from _window_rows(waiting)
+                    contents = _contents(data, at, np.full(len(at), threshold))
+                    yield from gathered.add(contents[:, 0], contents, np.full(len(at), key), at, np.ones(len(at), np.int64))
+        yield from gathered.flush()
 
     opened = texts.join(wanted, "_key").select("_key", "text", "runs").mapInArrow(windows, RUNS)
     apart = _pass(opened, False, "suffix-windows")
@@ -253,19 +272,13 @@ def _split(spans: list[dict]) -> Iterator[np.ndarray]:
     for s in spans:
         part.append(np.arange(s["at"], s["at"] + s["n"]))
         size += s["n"]
-        if size > BLOCK // 16:
+        if size > HELD // 4:
             yield np.concatenate(part)
             part, size = [], 0
     if part:
         yield np.concatenate(part)
 
 
-def _window_rows(waiting: list[tuple]) -> Iterator[pa.RecordBatch]:
-    contents = np.concatenate([w[0] for w in waiting])
-    key, at = np.concatenate([w[1] for w in waiting]), np.concatenate([w[2] for w in waiting])
-    yield from _digit_rows(contents[:, 0], contents, key, at, np.ones(len(key), np.int32))
-
-
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 

@@ -15,13 +15,18 @@ committed manifest table count, so a lost executor leaves at most an unlisted fi
 
 from __future__ import annotations
 
+import json
+import os
 import re
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,10 +40,19 @@ SEQUENCE = 2048
 BATCH_SEQUENCES = 64
 #: A shard goes on in a new file after this many sequences.
 FILE_SEQUENCES = 65_536
-#: Entries of a worker's memo of encoded words; it is emptied when full.
-MEMO = 300_000
-#: Characters encoded in one call; longer texts go on in the next call.
-CALL_CHARS = 2_000_000
+#: Entries of a worker's memo of encoded words (some 200 bytes each); in two generations.
+MEMO = 500_000
+#: Characters encoded in one call, or one longer text.
+CALL_CHARS = 1_000_000
+
+#: Punctuation that is cut off a word of letters; letters from this character on are left to the tokenizer.
+ENDINGS, OTHER_SCRIPTS = string.punctuation, "\u0250"
+#: Byte-level alphabet: bytes that are no visible Latin-1 character stand for U+0100 and following, in order.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+BYTE_CHARS = {b: 256 + n for n, b in enumerate(_HIDDEN)}
+BLANK, LINE = chr(BYTE_CHARS[ord(" ")]), chr(BYTE_CHARS[ord("\n")])
+
+OTHER_WHITE = "\n\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _UNSAFE = re.compile(r" \s|\s ")
@@ -57,56 +71,140 @@ class Encoder:
     """Whole texts to packed ids through the tokenizers library, each distinct word encoded once.
 
     A byte-level pre-tokenizer always ends a token at a blank between two characters that are
-    not white space, so the text may be cut there and the pieces encoded on their own.
+    not white space, so the text may be cut there and the pieces encoded on their own. Tokenizers of
+    another kind encode every text in one piece.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
+        setup = json.loads(self.tokenizer.to_str())
+        before = setup["pre_tokenizer"] or {}
+        self.by_word = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"] and not setup["normalizer"] and setup["model"]["type"] == "BPE"
+        # the same model behind a pre-tokenizer that only cuts at blanks
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        self.line = self.tokenizer.token_to_id(LINE)
         self.memo: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-
-    def _learn(self, memo: dict[str, bytes], words: list[str], prefix: str) -> None:
-        """Make sure that the memo has all these words."""
-        new = [w for w in set(words) if w not in memo]
-        if new and len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list(set(words))
-        if new:
-            encoded = self.tokenizer.encode_batch_fast([prefix + w for w in new], add_special_tokens=False)
-            memo.update(zip(new, (np.array(e.ids, self.dtype).tobytes() for e in encoded), strict=True))
-
-    def _spans(self, text: str) -> Iterator[list[str]]:
-        """Pieces between cutting blanks, some ``CALL_CHARS`` characters at a time."""
-        start = 0
-        while len(text) - start > CALL_CHARS:
-            cut = _SAFE.search(text, start + CALL_CHARS)
-            if not cut:
-                break
-            yield self._pieces(text[start : cut.start()])
-            start = cut.end()
-        yield self._pieces(text[start:] if start else text)
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str], prefix: str) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast([prefix + w for w in words], add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
+
+    def _encode_stems(self, stems: list[str]) -> list[bytes]:
+        """Words of letters, each after a blank: one token of the pre-tokenizer each, so the model gets them as they are."""
+        if not stems:
+            return []
+        chars = [BLANK + (w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_CHARS)) for w in stems]
+        ids = self.model.encode_batch_fast([f" {LINE} ".join(chars) + f" {LINE}"], add_special_tokens=False)[0].ids
+        ids = np.array(ids, self.dtype)
+        ends = np.flatnonzero(ids == self.line) * ids.itemsize
+        packed, starts = ids.tobytes(), np.concatenate([[0], ends[:-1] + ids.itemsize])
+        return [packed[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Make sure that the memo has all these words (each after a blank).
+
+        The memo has two generations: when the young one is full it becomes the old one, and words still in
+        use move back.
+        """
+        new = [w for w in words if w not in self.memo]
+        if len(self.memo) + len(new) > MEMO // 2:
+            self.old, self.memo, new = self.memo, {}, words
+        memo, old = self.memo, self.old
+        if old:
+            memo.update((w, old[w]) for w in new if w in old)
+            new = [w for w in new if w not in memo]
+        # a token also ends between a letter and punctuation, so a word's stem is encoded once for all its endings
+        ends, stems, odd = [], set(), []
+        for w in new:
+            stem = w.rstrip(ENDINGS)
+            if stem.isalpha() and max(stem) < OTHER_SCRIPTS:
+                if len(stem) < len(w):
+                    ends.append((w, stem, w[len(stem) :]))
+                if stem not in memo:
+                    stems.add(stem)
+            else:
+                odd.append(w)
+        ordered = list(stems)
+        memo.update(zip(ordered, self._encode_stems(ordered), strict=True))
+        memo.update(zip(odd, self._encode(odd, " "), strict=True))
+        tails = [t for t in {t for _, _, t in ends} if t not in self.tails]
+        self.tails.update(zip(tails, self._encode(tails, ""), strict=True))
+        for w, stem, tail in ends:
+            memo[w] = memo[stem] + self.tails[tail]
 
     @staticmethod
-    def _pieces(text: str) -> list[str]:
-        if _UNSAFE.search(text) or text[:1] == " " or text[-1:] == " ":
-            return _SAFE.split(text)
-        return text.split(" ")
-
-    def __call__(self, text: str) -> bytes:
-        out = []
-        for n, pieces in enumerate(self._spans(text)):
-            if n == 0:
-                head = pieces.pop(0)
-                self._learn(self.first, [head], "")
-                out.append(self.first[head])
-            self._learn(self.memo, pieces, " ")
-            out.append(b"".join(map(self.memo.__getitem__, pieces)))
-        out.append(self.end)
-        return b"".join(out)
+    def _pieces(text: str) -> str | list[str]:
+        """The text itself if every blank may cut it, else its pieces."""
+        if text.isascii():
+            unsafe = text[:1] == " " or text[-1:] == " " or "  " in text or any(" " + c in text or c + " " in text for c in OTHER_WHITE if c in text)
+        else:
+            unsafe = text[:1] == " " or text[-1:] == " " or _UNSAFE.search(text)
+        return _SAFE.split(text) if unsafe else text
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text, with the end id."""
+        if not self.by_word:
+            return [ids + self.end for ids in self._encode(texts, "")]
+        heads, rests = [], []
+        for text in texts:
+            pieces = self._pieces(text)
+            if isinstance(pieces, str):
+                head, blank, rest = pieces.partition(" ")
+                rests.append(pc.split_pattern(pa.array([rest]), " ") if blank else [])
+            else:
+                head, rest = pieces[0], pieces[1:]
+                rests.append(rest)
+            heads.append(head)
+        lists = pa.concat_arrays([r if isinstance(r, pa.Array) else pa.array([r], pa.list_(pa.string())) for r in rests])
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self._learn(words)
+        table = list(map(self.memo.__getitem__, words))
+        ids = np.frombuffer(b"".join(table), self.dtype)
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // self.dtype.itemsize
+        which = coded.indices.to_numpy()
+        each = sizes[which]
+        stops = np.concatenate([[0], np.cumsum(each)])
+        shift = ((np.cumsum(sizes) - sizes)[which] - stops[:-1]).astype(np.int32)
+        gathered = ids[np.arange(stops[-1], dtype=np.int32) + np.repeat(shift, each)] if len(which) else ids
+        bounds = (stops[lists.offsets.to_numpy()] * self.dtype.itemsize).tolist()
+        packed = gathered.tobytes()
+        return [h + packed[a:b] + self.end for h, a, b in zip(self._encode(heads, ""), bounds[:-1], bounds[1:], strict=True)]
+
+
+@cache
+def worker_encoder(path: str, end_id: int) -> Encoder:
+    """One encoder per Python worker, so that the memo lasts over its tasks."""
+    return Encoder(path, end_id)
+
+
+def _groups(batches) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Ids and texts of an input's rows, some ``CALL_CHARS`` characters at a time."""
+    for batch in batches:
+        ids, texts, size = [], [], 0
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids.append(doc_id)
+            texts.append(text.as_py())
+            size += len(texts[-1])
+            if size > CALL_CHARS:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+        yield ids, texts
+
+
+@cache
+def worker_encoder(path: str, end_id: int) -> Encoder:
+    """One encoder per Python worker, so that the memo lasts over its tasks."""
+    return Encoder(path, end_id)
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -202,12 +300,12 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int =
         raise ValueError("length must be a multiple of 8")
 
     def pack(batches):
-        encoder = Encoder(tokenizer, end_id)
+        encoder = worker_encoder(tokenizer, end_id)
         shard = TaskContext.get().partitionId()
         writer = _ShardWriter(folder, encoder.dtype, length)
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                writer.add(doc_id.as_py(), encoder(text.as_py()))
+        for ids, texts in _groups(batches):
+            for doc_id, packed in zip(ids, encoder(texts), strict=True):
+                writer.add(doc_id, packed)
         writer.close()
         for part, file, n_docs, n_tokens in writer.rows:
             yield pa.RecordBatch.from_pylist(
@@ -248,7 +346,7 @@ def _file_documents(file: str, first: int) -> Iterator[pa.RecordBatch]:
         for i in range(reader.num_record_batches):
             batch = reader.get_batch(i)
             ids = batch.column("ids").flatten().to_numpy()
-            ids = ids[: pa.compute.sum(batch.column("mask").flatten()).as_py()].astype("<u4")
+            ids = ids[: pc.sum(batch.column("mask").flatten()).as_py()].astype("<u4")
             lists = batch.column("docs")
             begun = lists.flatten()
             length = batch.schema.field("ids").type.list_size

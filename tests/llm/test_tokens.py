@@ -37,13 +37,22 @@ def test_matches_plain_encoding(spark, rows):
         assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == brute(rows)
 
 
-def test_long_text_is_cut_at_safe_blanks(monkeypatch):
-    monkeypatch.setattr(tokens, "CALL_CHARS", 50)
+def test_memo_keeps_to_its_bound(monkeypatch):
     monkeypatch.setattr(tokens, "MEMO", 7)
     encoder, tokenizer = tokens.Encoder(tokens.default_tokenizer(), 2), Tokenizer.from_file(tokens.default_tokenizer())
-    for text in [*ODD, "The quick  brown fox\n\n jumps over it's lazy dog. " * 40]:
-        ids = np.frombuffer(encoder(text), encoder.dtype).tolist()
-        assert ids == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    texts = [*ODD, "The quick  brown fox\n\n jumps over it's lazy dog. " * 40, "one\ntwo three", "ab.\u2028 cd x\u00b2. <|endoftext|> f"]
+    for part in ([t] for t in texts):
+        assert np.frombuffer(encoder(part)[0], encoder.dtype).tolist() == [*tokenizer.encode(part[0], add_special_tokens=False).ids, 2]
+    for ids, text in zip(encoder(texts), texts, strict=True):
+        assert np.frombuffer(ids, encoder.dtype).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, tokenizer = tokens.Encoder(path, 2), Tokenizer.from_file(path)
+    assert np.frombuffer(encoder(["Two  words, here."])[0], encoder.dtype).tolist() == [*tokenizer.encode("Two  words, here.", add_special_tokens=False).ids, 2]
 
 
 def test_empty_table(spark):
