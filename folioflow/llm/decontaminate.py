@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import written
+from folioflow.llm.common import words_of, written
 
 #: Words per seed, seeds per item (all that tie with the last are seeds too), least similarity of a copy.
 GRAM, SEEDS, SIMILARITY = 3, 48, 0.5
@@ -28,14 +28,6 @@ BLOCK_WORDS = 500_000
 
 LINKS = "doc_id long, item_id long, similarity double, first_word int, last_word int"
 
-#: Bytes of words stay (letters and digits of ASCII, every byte of other characters), all others part words.
-_TABLE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-
-
-def words_of(text: str) -> list[bytes]:
-    """Words in lower case; punctuation parts them and does not count."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_TABLE).split()
-
 
 class Items:
     """A block of test items as word numbers, and its n-grams."""

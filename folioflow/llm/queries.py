@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioflow.llm import decontaminate, line_chunks, mixing, secrets, simhash, suffix_dedup, tokens, topk
+from folioflow.llm import decontaminate, line_chunks, mixing, secrets, simhash, suffix_dedup, tokens, topk, toxicity
 from folioflow.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op3_simhash_groups(spark, sf_dir):
     return simhash.near_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_secret_spans(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -41,4 +46,4 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_sequences, op2_exact_topk, op3_simhash_groups, op6_secret_spans, op7_benchmark_leaks, op8_mix_sources, op9_line_chunks, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_sequences, op2_exact_topk, op3_simhash_groups, op4_toxicity_scores, op6_secret_spans, op7_benchmark_leaks, op8_mix_sources, op9_line_chunks, op10_suffix_dedup)}
