@@ -11,7 +11,7 @@ from folioflow.session import scratch_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of words stay (letters and digits of ASCII, every byte of other characters), all others part words.
-_TABLE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+WORD_TABLE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -71,4 +71,4 @@ def keyed_documents(docs: DataFrame, *columns: str) -> tuple[DataFrame, DataFram
 
 def words_of(text: str) -> list[bytes]:
     """Words in lower case; punctuation parts them and does not count."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_TABLE).split()
+    return text.lower().encode("utf-8", "surrogatepass").translate(WORD_TABLE).split()

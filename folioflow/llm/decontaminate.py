@@ -11,20 +11,23 @@ Texts are never shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import words_of, written
+from folioflow.llm.common import WORD_TABLE, words_of, written
 
 #: Words per seed, seeds per item (all that tie with the last are seeds too), least similarity of a copy.
 GRAM, SEEDS, SIMILARITY = 3, 48, 0.5
 #: Alignment scores: equal words, unequal words, a word left out on either side.
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 500_000
+#: Characters of texts that are worked on at a time, or one longer text.
+GROUP_CHARS = 1_000_000
 
 LINKS = "doc_id long, item_id long, similarity double, first_word int, last_word int"
 
@@ -45,6 +48,9 @@ class Items:
         self.codes = np.unique(grams)
         self.at = [self._grams(w)[0] for w in self.words]
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
+
     def _grams(self, numbers: np.ndarray, learn: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(codes, positions) of the n-grams without unknown words that the items have; codes count from 0 at each length."""
         at = np.flatnonzero(numbers)
@@ -64,12 +70,24 @@ class Items:
             at, code = at[found], place[found]
         return code, at
 
-    def numbers(self, text: str) -> np.ndarray:
-        words = words_of(text)
-        return np.fromiter(map(self.number.get, words, [0] * len(words)), np.int64, len(words))
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of some texts one after another, 0 for unknown words and between texts; where each text starts, and the end."""
+        data = b" \1 ".join([t.lower().encode("utf-8", "surrogatepass").translate(WORD_TABLE) for t in texts])
+        words = data.split()
+        out = np.fromiter(map(self.known.get, words, repeat(0)), np.int64, len(words))
+        between = np.flatnonzero(out < 0)
+        out[between] = 0
+        return out, np.concatenate([[0], between + 1, [len(out) + 1]])
+
+    def grams_of(self, texts: list[str]) -> np.ndarray:
+        """Codes of the n-grams in some texts, each once per text that has it."""
+        numbers, bounds = self.numbers(texts)
+        code, at = self._grams(numbers)
+        return np.unique(np.searchsorted(bounds, at, side="right") * (len(self.codes) + 1) + code) % (len(self.codes) + 1)
 
-    def grams_of(self, text: str) -> np.ndarray:
-        return np.unique(self._grams(self.numbers(text))[0])
+    @cached_property
+    def known(self) -> dict[bytes, int]:
+        return {**self.number, b"\1": -1}
 
 
 class Matcher:
@@ -84,24 +102,27 @@ class Matcher:
                 limit = known[min(seeds, len(known)) - 1]
                 entries += [(c, n, p) for p, c in enumerate(codes.tolist()) if frequency[c] <= limit]
         entries.sort()
+        self.present = np.zeros(items.base, bool)
         self.code, self.item, self.place = (np.array([e[k] for e in entries], np.int64) for k in range(3))
 
-    def __call__(self, text: str) -> list[tuple[int, float, int, int]]:
-        """(item_id, similarity, first word, last word) of each item's best copy in the text."""
-        numbers = self.items.numbers(text)
+    def __call__(self, texts: list[str]) -> list[tuple[int, int, float, int, int]]:
+        """(text, item_id, similarity, first word, last word) of each item's best copy in each text."""
+        numbers, bounds = self.items.numbers(texts)
         code, at = self.items._grams(numbers)
         low, high = np.searchsorted(self.code, code), np.searchsorted(self.code, code, side="right")
         hit = np.repeat(np.arange(len(code)), high - low)
-        if not len(hit):
-            return []
         entry = np.arange(len(hit)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[hit]
-        items, start = self.item[entry], at[hit] - self.place[entry]
+        text = np.searchsorted(bounds, at[hit], side="right") - 1
+        item, start = self.item[entry], at[hit] - self.place[entry] - bounds[text]
+        order = np.lexsort((start, item, text))
+        text, item, start = text[order], item[order], start[order]
+        new = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]))) if len(order) else []
         out = []
-        for n in np.unique(items).tolist():
-            words = self.items.words[n]
-            best = max(self._around(numbers, words, np.unique(start[items == n])))
+        for a, b in zip(new, [*new[1:], len(order)], strict=True):
+            t, n = int(text[a]), int(item[a])
+            best = max(self._around(numbers[bounds[t] : bounds[t + 1] - 1], self.items.words[n], np.unique(start[a:b])), default=(0.0, 0, 0))
             if best[0] >= self.similarity:
-                out.append((self.items.ids[n], *best))
+                out.append((t, self.items.ids[n], *best))
         return out
 
     def _around(self, numbers: np.ndarray, words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[float, int, int]]:
@@ -111,10 +132,28 @@ class Matcher:
         breaks = np.flatnonzero(lows[1:] > highs[:-1]) + 1
         for first, stop in zip(np.append(0, breaks), np.append(breaks, len(starts)), strict=True):
             low, high = int(lows[first]), int(highs[stop - 1])
-            score, a, b = align(numbers[low:high], words)
+            region = numbers[low:high]
+            self.present[region] = True
+            shared = int(self.present[words].sum())
+            self.present[region] = False
+            if shared < self.similarity * len(words):
+                continue  # no alignment scores above its shared words
+            score, a, b = align(region, words)
             yield score / (MATCH * len(words)), low + a, low + b
 
 
+def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first, texts), some ``GROUP_CHARS`` characters at a time."""
+    first, size = 0, 0
+    for n, text in enumerate(texts):
+        size += len(text)
+        if size >= GROUP_CHARS:
+            yield first, texts[first : n + 1]
+            first, size = n + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
+
+
 def align(text: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     """(score, first, last) of the best local alignment; first and last are positions in ``text``.
 
@@ -166,7 +205,7 @@ def frequencies(docs: DataFrame, items: Items) -> np.ndarray:
 
     def count(batches):
         for batch in batches:
-            found = [sent.value.grams_of(t) for t in batch.column(0).to_pylist()]
+            found = [sent.value.grams_of(texts) for _, texts in _groups(batch.column(0).to_pylist())]
             codes, n = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], names=["code", "n"])
 
@@ -198,7 +237,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, seeds: i
         def scan(batches, sent=sent):
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
             for batch in batches:
-                out = [(d, *link) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for link in sent.value(t)]
+                ids = batch.column(0).to_pylist()
+                out = [(ids[n + k], *link) for n, texts in _groups(batch.column(1).to_pylist()) for k, *link in sent.value(texts)]
                 columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in LINKS.split(", ")]
@@ -217,7 +257,9 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, seeds: i
 
         def clean(batches, sent=sent):
             for batch in batches:
-                yield batch.filter(pa.array([not sent.value(t or "") for t in batch.column(place).to_pylist()], pa.bool_()))
+                texts = [t or "" for t in batch.column(place).to_pylist()]
+                leaking = {n + k for n, part in _groups(texts) for k, *_ in sent.value(part)}
+                yield batch.filter(pa.array([k not in leaking for k in range(len(texts))], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs
