@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioflow.llm import decontaminate, line_chunks, mixing, secrets, simhash, suffix_dedup, tokens, topk, toxicity
+from folioflow.llm import decontaminate, html_crf, line_chunks, mixing, secrets, simhash, suffix_dedup, tokens, topk, toxicity
 from folioflow.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_toxicity_scores(spark, sf_dir):
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_main_text(spark, sf_dir):
+    return html_crf.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_secret_spans(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -46,4 +50,18 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_sequences, op2_exact_topk, op3_simhash_groups, op4_toxicity_scores, op6_secret_spans, op7_benchmark_leaks, op8_mix_sources, op9_line_chunks, op10_suffix_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_sequences,
+        op2_exact_topk,
+        op3_simhash_groups,
+        op4_toxicity_scores,
+        op5_main_text,
+        op6_secret_spans,
+        op7_benchmark_leaks,
+        op8_mix_sources,
+        op9_line_chunks,
+        op10_suffix_dedup,
+    )
+}
