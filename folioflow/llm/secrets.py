@@ -40,7 +40,7 @@ def _found(text: str, pattern: str, group: int) -> Column:
     values = F.regexp_extract_all(text, regex, F.lit(group)) if group else matches
     zipped = F.transform(
         matches,
-        lambda m, i: F.struct(pieces.getItem(i).alias("before"), F.length(m).alias("length"), values.getItem(i).alias("value"), i.alias("i")),
+        lambda m, i: F.struct(pieces[i].alias("before"), F.length(m).alias("length"), values[i].alias("value"), i.alias("i")),
     )
     return F.when(F.col(text).rlike(pattern), zipped)
 
