@@ -17,30 +17,42 @@ from folioflow.llm.common import keyed_documents, written
 WINDOW, SPREAD, MIN_LINES = 2, 4, 2
 
 
-def _chunks(lines: Column, window: int, spread: int) -> Column:
-    """Arrays of consecutive lines. A chunk ends after line i where the hash of lines i - window + 1 .. i says so, and at the end."""
-    hashes = F.transform(lines, lambda x: F.xxhash64(x))
-
-    def ends(i):
-        near = F.slice(hashes, F.greatest(i - window + 2, F.lit(1)), F.least(i + 1, F.lit(window)))
-        return (F.pmod(F.xxhash64(F.array_join(F.transform(near, lambda h: h.cast("string")), " ")), F.lit(spread)) == 0) | (i == F.size(lines) - 1)
-
-    marks = F.filter(F.transform(lines, lambda _, i: F.when(ends(i), i + 1)), lambda m: m.isNotNull())
-    return F.transform(
-        marks,
-        lambda m, k: F.struct(
-            F.when(k == 0, F.lit(0)).otherwise(F.element_at(marks, F.greatest(k, F.lit(1)))).alias("first"), m.alias("stop"), k.alias("chunk")
-        ),
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often lambdas inside refer to it."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, body)
+
+
+def _chunks(text: Column, window: int, spread: int) -> Column:
+    """Array of a text's chunks. A chunk ends after line i where the hash of lines i - window + 1 .. i says so, and at the end."""
+
+    def marks(lines, hashes):
+        def ends(i):
+            near = F.slice(hashes, F.greatest(i - window + 2, F.lit(1)), F.least(i + 1, F.lit(window)))
+            return (F.pmod(F.xxhash64(F.array_join(F.transform(near, lambda h: h.cast("string")), " ")), F.lit(spread)) == 0) | (i == F.size(lines) - 1)
+
+        return F.filter(F.transform(lines, lambda _, i: F.when(ends(i), i + 1)), lambda m: m.isNotNull())
+
+    def cut(lines, stops):
+        def chunk(stop, k):
+            first = F.when(k == 0, F.lit(0)).otherwise(F.element_at(stops, F.greatest(k, F.lit(1))))
+            return _let(
+                first,
+                lambda at: F.struct(
+                    k.alias("chunk"), at.alias("first"), (stop - at).alias("n_lines"), F.array_join(F.slice(lines, at + 1, stop - at), "\n").alias("content")
+                ),
+            )
+
+        return F.transform(stops, chunk)
+
+    return _let(
+        F.split(text, "\n", -1),
+        lambda lines: _let(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: _let(marks(lines, hashes), lambda stops: cut(lines, stops))),
     )
 
 
 def chunk_table(texts: DataFrame, window: int = WINDOW, spread: int = SPREAD) -> DataFrame:
     """(_key, chunk, first, n_lines, content) of every chunk of ``texts`` (_key, text); a text's lines end at line feeds."""
-    rows = texts.select("_key", F.split("text", "\n", -1).alias("lines"))
-    rows = rows.select("_key", "lines", F.explode(_chunks(F.col("lines"), window, spread)).alias("c"))
-    size = F.col("c.stop") - F.col("c.first")
-    content = F.array_join(F.slice("lines", F.col("c.first") + 1, size), "\n")
-    return rows.select("_key", F.col("c.chunk").alias("chunk"), F.col("c.first").alias("first"), size.alias("n_lines"), content.alias("content"))
+    return texts.select("_key", F.inline(_chunks(F.col("text"), window, spread)))
 
 
 def repeated_chunks(texts: DataFrame, window: int = WINDOW, spread: int = SPREAD, min_lines: int = MIN_LINES) -> DataFrame:
@@ -67,22 +79,25 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, spread: int = SPREAD, min
     texts, single = keyed_documents(docs)
     gone = repeated_chunks(single.select("_key", "text"), window, spread, min_lines)
     gone = written(gone.groupBy(F.col("_key").alias("_gone_key")).agg(F.collect_list(F.struct("first", "n_lines")).alias("gone")), "chunk-removals")
-    rows = texts.join(gone, texts["_key"] == gone["_gone_key"], "left").withColumn("lines", F.split("text", "\n", -1))
-    # the removed line numbers, in order; a set lookup per line would cost lines times chunks
-    spans = F.array_sort(F.col("gone"))
-    between = F.transform(
-        F.sequence(F.lit(0), F.size(spans)),
-        lambda k: F.struct(
-            F.when(k == 0, F.lit(0)).otherwise(F.element_at(spans, F.greatest(k, F.lit(1)))["first"] + F.element_at(spans, F.greatest(k, F.lit(1)))["n_lines"]).alias("a"),
-            F.when(k == F.size(spans), F.size("lines")).otherwise(F.element_at(spans, F.least(k + 1, F.size(spans)))["first"]).alias("b"),
-        ),
-    )
-    kept = F.flatten(F.transform(between, lambda s: F.slice(F.col("lines"), s["a"] + 1, s["b"] - s["a"])))
+    rows = texts.join(gone, texts["_key"] == gone["_gone_key"], "left")
+
+    def kept(lines, spans):
+        """Lines between the removed spans, which are in order and do not meet inside a chunk."""
+
+        def between(k):
+            before, after = F.element_at(spans, F.greatest(k, F.lit(1))), F.element_at(spans, F.least(k + 1, F.size(spans)))
+            start = F.when(k == 0, F.lit(0)).otherwise(before["first"] + before["n_lines"])
+            stop = F.when(k == F.size(spans), F.size(lines)).otherwise(after["first"])
+            return F.slice(lines, start + 1, stop - start)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), between))
+
+    rest = _let(F.split("text", "\n", -1), lambda lines: _let(F.array_sort("gone"), lambda spans: F.array_join(kept(lines, spans), "\n")))
     removed = F.aggregate("gone", F.lit(0), lambda s, x: s + x["n_lines"])
     return rows.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.size("lines").cast("long").alias("n_lines"),
+        (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_chunks_removed"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("n_chunks_removed"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest).alias("text"),
     )
