@@ -99,15 +99,17 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
 
     def _encode_stems(self, stems: list[str]) -> list[bytes]:
-        """Words of letters, each after a blank: one token of the pre-tokenizer each, so the model gets them as they are."""
+        """Words of letters, after a blank or a line feed: one token of the pre-tokenizer each, so the model gets them as they are."""
         if not stems:
             return []
-        chars = [BLANK + (w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_CHARS)) for w in stems]
+        chars = [w[1:] if w[0] == "\n" else " " + w for w in stems]
+        chars = [w.replace(" ", BLANK) if w.isascii() else w.encode().decode("latin-1").translate(BYTE_CHARS) for w in chars]
         ids = self.model.encode_batch_fast([f" {LINE} ".join(chars) + f" {LINE}"], add_special_tokens=False)[0].ids
         ids = np.array(ids, self.dtype)
         ends = np.flatnonzero(ids == self.line) * ids.itemsize
         packed, starts = ids.tobytes(), np.concatenate([[0], ends[:-1] + ids.itemsize])
-        return [packed[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        feed = np.array([self.line], self.dtype).tobytes()
+        return [(feed if w[0] == "\n" else b"") + packed[a:b] for w, a, b in zip(stems, starts.tolist(), ends.tolist(), strict=True)]
 
     def _learn(self, words: list[str]) -> None:
         """Make sure that the memo has all these words (each after a blank).
@@ -122,24 +124,41 @@ class Encoder:
         if old:
             memo.update((w, old[w]) for w in new if w in old)
             new = [w for w in new if w not in memo]
-        # a token also ends between a letter and punctuation, so a word's stem is encoded once for all its endings
-        ends, stems, odd = [], set(), []
-        for w in new:
+        # a token also ends around a single line feed and between a letter and punctuation, so lines are
+        # taken apart and a word's stem is encoded once for all its endings
+        ends, lines, stems, odd = {}, {}, set(), set()
+
+        def place(w: str) -> bool:
             stem = w.rstrip(ENDINGS)
-            if stem.isalpha() and max(stem) < OTHER_SCRIPTS:
-                if len(stem) < len(w):
-                    ends.append((w, stem, w[len(stem) :]))
-                if stem not in memo:
-                    stems.add(stem)
-            else:
-                odd.append(w)
+            bare = stem[1:] if stem[:1] == "\n" else stem
+            if not (bare.isalpha() and (bare.isascii() or max(bare) < OTHER_SCRIPTS)):
+                return False
+            if len(stem) < len(w):
+                ends[w] = stem, w[len(stem) :]
+            if stem not in memo:
+                stems.add(stem)
+            return True
+
+        for w in new:
+            if "\n" in w:
+                first, *rest = w.split("\n")
+                parts = [first, *("\n" + r for r in rest)]
+                if all(p in memo or place(p) for p in parts):
+                    lines[w] = parts
+                else:
+                    odd.add(w)
+            elif not place(w):
+                odd.add(w)
         ordered = list(stems)
         memo.update(zip(ordered, self._encode_stems(ordered), strict=True))
-        memo.update(zip(odd, self._encode(odd, " "), strict=True))
-        tails = [t for t in {t for _, _, t in ends} if t not in self.tails]
+        ordered = list(odd)
+        memo.update(zip(ordered, self._encode(ordered, " "), strict=True))
+        tails = [t for t in {t for _, t in ends.values()} if t not in self.tails]
         self.tails.update(zip(tails, self._encode(tails, ""), strict=True))
-        for w, stem, tail in ends:
+        for w, (stem, tail) in ends.items():
             memo[w] = memo[stem] + self.tails[tail]
+        for w, parts in lines.items():
+            memo[w] = b"".join(map(memo.__getitem__, parts))
 
     @staticmethod
     def _pieces(text: str) -> str | list[str]:
@@ -154,31 +173,30 @@ class Encoder:
         """The packed ids of each text, with the end id."""
         if not self.by_word:
             return [ids + self.end for ids in self._encode(texts, "")]
-        heads, rests = [], []
-        for text in texts:
+        heads, plain, odd = [], [], []
+        for n, text in enumerate(texts):
             pieces = self._pieces(text)
             if isinstance(pieces, str):
                 head, blank, rest = pieces.partition(" ")
-                rests.append(pc.split_pattern(pa.array([rest]), " ") if blank else [])
+                plain.append((n, rest if blank else None))
             else:
-                head, rest = pieces[0], pieces[1:]
-                rests.append(rest)
+                head = pieces[0]
+                odd.append((n, pieces[1:]))
             heads.append(head)
-        lists = pa.concat_arrays([r if isinstance(r, pa.Array) else pa.array([r], pa.list_(pa.string())) for r in rests])
+        split = pc.split_pattern(pa.array([r for _, r in plain], pa.string()), " ")
+        lists = pa.concat_arrays([split, pa.array([r for _, r in odd], pa.list_(pa.string()))])
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         self._learn(words)
-        table = list(map(self.memo.__getitem__, words))
-        ids = np.frombuffer(b"".join(table), self.dtype)
-        sizes = np.fromiter(map(len, table), np.int64, len(table)) // self.dtype.itemsize
-        which = coded.indices.to_numpy()
-        each = sizes[which]
-        stops = np.concatenate([[0], np.cumsum(each)])
-        shift = ((np.cumsum(sizes) - sizes)[which] - stops[:-1]).astype(np.int32)
-        gathered = ids[np.arange(stops[-1], dtype=np.int32) + np.repeat(shift, each)] if len(which) else ids
-        bounds = (stops[lists.offsets.to_numpy()] * self.dtype.itemsize).tolist()
-        packed = gathered.tobytes()
-        return [h + packed[a:b] + self.end for h, a, b in zip(self._encode(heads, ""), bounds[:-1], bounds[1:], strict=True)]
+        table = pa.array(list(map(self.memo.__getitem__, words)), pa.large_binary())
+        packed = table.take(coded.indices)
+        stops = np.frombuffer(packed.buffers()[1], np.int64, len(packed) + 1) if len(packed) else np.zeros(1, np.int64)
+        data = memoryview(packed.buffers()[2] or b"") if len(packed) else memoryview(b"")
+        bounds = stops[lists.offsets.to_numpy()].tolist()
+        heads, out = self._encode(heads, ""), [b""] * len(texts)
+        for (n, _), a, b in zip([*plain, *odd], bounds[:-1], bounds[1:], strict=True):
+            out[n] = b"".join((heads[n], data[a:b], self.end))
+        return out
 
 
 @cache

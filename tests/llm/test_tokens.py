@@ -40,7 +40,7 @@ def test_matches_plain_encoding(spark, rows):
 def test_memo_keeps_to_its_bound(monkeypatch):
     monkeypatch.setattr(tokens, "MEMO", 7)
     encoder, tokenizer = tokens.Encoder(tokens.default_tokenizer(), 2), Tokenizer.from_file(tokens.default_tokenizer())
-    texts = [*ODD, "The quick  brown fox\n\n jumps over it's lazy dog. " * 40, "one\ntwo three", "ab.\u2028 cd x\u00b2. <|endoftext|> f"]
+    texts = [*ODD, "The quick  brown fox\n\n jumps over it's lazy dog. " * 40, "one\ntwo three", "ab\n\ncd. e\nÉf!! g\nh.\nij \nk l\n m\n", "don't\ncan't stop'\n's x'", "ab.\u2028 cd x\u00b2. <|endoftext|> f"]
     for part in ([t] for t in texts):
         assert np.frombuffer(encoder(part)[0], encoder.dtype).tolist() == [*tokenizer.encode(part[0], add_special_tokens=False).ids, 2]
     for ids, text in zip(encoder(texts), texts, strict=True):
