@@ -111,6 +111,8 @@ class Matcher:
         code, at = self.items._grams(numbers)
         low, high = np.searchsorted(self.code, code), np.searchsorted(self.code, code, side="right")
         hit = np.repeat(np.arange(len(code)), high - low)
+        if not len(hit):
+            return []
         entry = np.arange(len(hit)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[hit]
         text = np.searchsorted(bounds, at[hit], side="right") - 1
         item, start = self.item[entry], at[hit] - self.place[entry] - bounds[text]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import words_of
 
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_WORDS = 4_000, 8_000, 400
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_WORDS = 2_500, 5_000, 400
 WINDOW = 24
 TOXIC_BYTES, ORDINARY_BYTES = 4_096, 65_536
 #: A word is toxic text's own if this share of toxic texts hold it, relatively that many times more than

@@ -96,6 +96,13 @@ def test_blocks_of_items(spark, tables, monkeypatch):
     assert len(blocks) > 2 and sum(len(b.ids) for b in blocks) == len(items)
 
 
+def test_texts_without_any_seed(spark):
+    items = spark.createDataFrame([(1, "some words of an item", "")], ITEMS)
+    docs = spark.createDataFrame([(1, "nothing in common at all", "", ""), (2, "", "", "")], DOCS)
+    assert dc.find_leaks(docs, items).collect() == []
+    assert dc.drop_leaks(docs, items).count() == 2
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     assert dc.find_leaks(docs, items).collect() == []
