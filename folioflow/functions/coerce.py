@@ -25,9 +25,9 @@ def is_number(value: Sql) -> Sql:
     return f"coalesce({kind(value)} rlike '^(BIGINT|DOUBLE|DECIMAL)', false)"
 
 
-def text(value: Sql, key: str, default: Sql = "''", limit: int = 2000) -> Sql:
+def text(value: Sql, key: str, default: Sql = "''") -> Sql:
     field = at(value, key)
-    return f"case when {is_string(field)} then left(variant_get({value}, '$.{key}', 'string'), {limit}) else {default} end"
+    return f"case when {is_string(field)} then variant_get({value}, '$.{key}', 'string') else {default} end"
 
 
 def number(value: Sql, key: str, default: Sql = "0D") -> Sql:
@@ -46,6 +46,6 @@ def elements(value: Sql, key: str) -> Sql:
     return f"coalesce(try_variant_get({value}, '$.{key}', 'array<variant>'), cast(array() as array<variant>))"
 
 
-def texts(value: Sql, key: str, items: int = 16, limit: int = 180) -> Sql:
+def texts(value: Sql, key: str) -> Sql:
     strings = each("filter", elements(value, key), is_string)
-    return each("transform", f"slice({strings}, 1, {items})", lambda v: f"left(variant_get({v}, '$', 'string'), {limit})")
+    return each("transform", strings, lambda v: f"variant_get({v}, '$', 'string')")

@@ -290,8 +290,8 @@ def duration_label(millis: Sql) -> Sql:
 
 
 def iso_timestamp(ts: Sql) -> Sql:
-    """ISO-8601 with milliseconds, the text form timestamps take at every sink."""
-    return f"date_format({ts}, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")"
+    """ISO-8601 with milliseconds in UTC, whatever the session's time zone: the text form timestamps take at every sink."""
+    return f"date_format(to_utc_timestamp({ts}, current_timezone()), \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")"
 
 
 def date_label(raw: Sql) -> Sql:

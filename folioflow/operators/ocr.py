@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import array, clamp_percent, each, half_up, let, normalize, preview, struct, trim
+from folioflow.functions.text import clamp_percent, each, half_up, let, normalize, preview, struct, trim
 from folioflow.operators.routing import page_budget
-from folioflow.rules import OCR_PAGE_LIMIT, PREVIEW_PAGES
+from folioflow.rules import PREVIEW_PAGES
 
 
 def _page_columns(pages: DataFrame, limit: int, value: str) -> list:
@@ -15,29 +15,29 @@ def _page_columns(pages: DataFrame, limit: int, value: str) -> list:
     return [F.max(F.expr(f"case when page_no = {i} then {value} end")).alias(f"p{i}") for i in range(1, limit + 1)]
 
 
-def roll_up(pages: DataFrame, key: str = "doc_id", limit: int = OCR_PAGE_LIMIT) -> DataFrame:
+def roll_up(pages: DataFrame, key: str = "doc_id", limit: int | None = None) -> DataFrame:
     """Pages (total_pages, page_no, status, text, confidence) to one OCR result per document.
 
-    Reading stops at the first page that did not complete. If no text came before
-    it, the failure is the result; otherwise the pages before it are.
+    Reading stops at the first page that did not complete, a page without a status included. If no text came
+    before it, the failure is the result; otherwise the pages before it are. ``limit`` is an optional page budget.
     """
-    page = struct(status="status", text=normalize("coalesce(text, '')"), confidence=clamp_percent(half_up("confidence")))
-    wide = pages.filter(F.col("page_no") <= limit).groupBy(key).agg(
-        F.max("total_pages").alias("total_pages"), *_page_columns(pages, limit, page)
+    read = pages if limit is None else pages.filter(F.col("page_no") <= limit)
+    complete = F.col("status").eqNullSafe("Completed")
+    page = struct(n="page_no", text=normalize("coalesce(text, '')"), confidence=clamp_percent(half_up("confidence")))
+    within = F.expr(f"page_no <= {page_budget('total_pages', limit)}")
+    wide = read.filter(within).groupBy(key).agg(
+        F.max("total_pages").alias("total_pages"),
+        F.min(F.when(~complete, F.struct(F.col("page_no").alias("n"), "status"))).alias("stop"),
+        # one document's own pages, in order
+        F.array_sort(F.collect_list(F.when(complete, F.expr(page)))).alias("pages"),
     )
-    numbered = array([struct(n=str(i), page=f"p{i}") for i in range(1, limit + 1)])
-    in_budget = each("filter", numbered, lambda p: f"{p}.n <= {page_budget('total_pages', limit)} and {p}.page is not null")
-    wide = wide.select(key, "total_pages", F.expr(in_budget).alias("pages"))
-
-    bad = each("filter", "pages", lambda p: f"{p}.page.status <> 'Completed'")
-    wide = wide.withColumn("stop", F.expr(let(bad, lambda b: f"get({b}, 0)")))
     done = each("filter", "pages", lambda p: f"stop is null or {p}.n < stop.n")
     wide = wide.withColumn("done", F.expr(done))
-    wide = wide.withColumn("texts", F.expr(each("filter", "done", lambda p: f"{p}.page.text <> ''")))
-    headed = each("transform", "texts", lambda p: f"concat('Page ', {p}.n, '\\n', {p}.page.text)")
+    wide = wide.withColumn("texts", F.expr(each("filter", "done", lambda p: f"{p}.text <> ''")))
+    headed = each("transform", "texts", lambda p: f"concat('Page ', {p}.n, '\\n', {p}.text)")
     failed = "stop is not null and size(texts) = 0"
     scores = each(
-        "transform", each("filter", "done", lambda p: f"{p}.page.confidence is not null"), lambda p: f"double({p}.page.confidence)"
+        "transform", each("filter", "done", lambda p: f"{p}.confidence is not null"), lambda p: f"double({p}.confidence)"
     )
     joined = trim(f"array_join({headed}, '\\n\\n')")
     mean = let(scores, lambda s: f"case when size({s}) > 0 then {half_up(f'aggregate({s}, 0D, (a, c) -> a + c) / size({s})')} end")
@@ -45,7 +45,7 @@ def roll_up(pages: DataFrame, key: str = "doc_id", limit: int = OCR_PAGE_LIMIT)
         key, "total_pages",
         F.expr(f"int({page_budget('total_pages', limit)})").alias("page_limit"),
         F.expr("int(size(done))").alias("pages_processed"),
-        F.expr(f"case when {failed} then stop.page.status else 'Completed' end").alias("status"),
+        F.expr(f"case when {failed} then stop.status else 'Completed' end").alias("status"),
         F.expr(f"case when {failed} then '' else {joined} end").alias("text"),
         F.expr(f"case when not ({failed}) then int({mean}) end").alias("confidence"),
     )

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.text import Sql, array, each, fold, hit, let, lit, regex, struct
 from folioflow.functions.validators import is_card, is_routing, is_ssn
 from folioflow.operators import bind
-from folioflow.rules import MAX_EXAMPLES, UNASSIGNED_EIN_PREFIXES
+from folioflow.rules import UNASSIGNED_EIN_PREFIXES
 
 
 @dataclass(frozen=True)
@@ -260,14 +260,14 @@ def _claims(detectors: tuple[Detector, ...], spans: Sql) -> Sql:
 
 
 def _roll_up(detectors: tuple[Detector, ...], accepted: Sql) -> Sql:
-    """Findings sorted by count, ties in detector order; the first distinct masks as examples."""
+    """Findings sorted by count, ties in detector order; the distinct masks as examples, in text order."""
     per_detector = [
         struct(
             order_by=f"-size({accepted}.d{i})",
             rank=str(i),
             category=lit(d.category),
             count=f"bigint(size({accepted}.d{i}))",
-            examples=f"slice(array_distinct({each('transform', f'{accepted}.d{i}', d.mask)}), 1, {MAX_EXAMPLES})",
+            examples=f"array_distinct({each('transform', f'{accepted}.d{i}', d.mask)})",
         )
         for i, d in enumerate(detectors)
     ]

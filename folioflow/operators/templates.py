@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.text import Sql, any_hit, array, collapse_spaces, each, fold, hit, hits, let, lit, regex, struct, with_words
 from folioflow.functions.validators import VALIDATORS
 from folioflow.operators import bind
-from folioflow.rules import ANCHOR_WEIGHT, MAX_VALUE_CHARS, NO_TEMPLATE_SUMMARY, TEMPLATES, FieldRule, Template
+from folioflow.rules import ANCHOR_WEIGHT, NO_TEMPLATE_SUMMARY, TEMPLATES, FieldRule, Template
 
 FIELD_TYPE = "struct<key:string,label:string,value:string,confidence:int,status:string,validation:string>"
 
@@ -52,7 +52,7 @@ def linear(pattern: str) -> str:
 
 def _usable(rule: FieldRule, pattern: str, source: Sql) -> Sql:
     """First match of one value pattern, or null when it is empty or guarded."""
-    found = f"left({collapse_spaces(f'regexp_extract({source}, {regex(linear(pattern), True)}, 1)')}, {MAX_VALUE_CHARS})"
+    found = collapse_spaces(f'regexp_extract({source}, {regex(linear(pattern), True)}, 1)')
     guard = (lambda v: f" and not {hit(fold(v), rule.guard)}") if rule.guard else (lambda v: "")
     return let(found, lambda v: f"case when {v} <> ''{guard(v)} then {v} end")
 

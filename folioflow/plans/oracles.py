@@ -16,13 +16,8 @@ from folioflow.operators.routing import NOTES
 from folioflow.rules import (
     ANCHOR_WEIGHT,
     BUSINESS_WORDS,
-    MAX_EXAMPLES,
-    MAX_IMAGE_BYTES,
-    MAX_PDF_BYTES,
-    MAX_VALUE_CHARS,
     NO_TEMPLATE_SUMMARY,
     OCR_ENGINE,
-    OCR_PAGE_LIMIT,
     PDF_PARSER,
     PROFILES,
     RESTRICTED_WORDS,
@@ -180,7 +175,7 @@ def _pii() -> str:
         "ex as (select path, rank, list(masked order by first_at) as examples from (select path, rank, masked, min(start_at) as first_at"
         " from a6 group by all) group by all),"
         " found as materialized (select path, rank, category, n, examples, row_number() over (partition by path order by n desc, rank) - 1 as position"
-        f" from (select a.path, a.rank, category, count(*) as n, any_value(e.examples)[1:{MAX_EXAMPLES}] as examples"
+        f" from (select a.path, a.rank, category, count(*) as n, any_value(e.examples) as examples"
         " from a6 a join ex e on a.path = e.path and a.rank = e.rank group by all)),"
         " pii as materialized (select s.path, case when bool_or(rank in (0, 1, 2, 6)) then 'High' when count(rank) > 0 then 'Low' else 'None' end as risk_level,"
         " coalesce(sum(n), 0)::bigint as total_matches, coalesce(string_agg(category || ' x' || n || ': ' || array_to_string(examples, '; '), ' | ' order by position), '') as findings,"
@@ -244,7 +239,7 @@ def _fields() -> str:
             options = []
             for pattern in f.values:
                 raw = f"regexp_extract(t, {rx(pattern)}, 1)"
-                clean = f"left(trim(regexp_replace({raw}, {q('[' + SPACE_CHARS + ']+')}, ' ', 'g'), {q(SPACE_CHARS)}), {MAX_VALUE_CHARS})"
+                clean = f"trim(regexp_replace({raw}, {q('[' + SPACE_CHARS + ']+')}, ' ', 'g'), {q(SPACE_CHARS)})"
                 guard = f" and not {has(clean, f.guard)}" if f.guard else ""
                 options.append(f"case when {clean} <> ''{guard} then {clean} end")
             labelled = " or ".join(has("t", p) for p in f.labels)
@@ -314,9 +309,9 @@ DELIVERED = (
     f" {_R['status']} as review_status, {_R['notes']} as notes, {_R['reviewed_at']} as reviewed_at from keyed),"
     f" got1 as (select *, {ext('path')} as extension, {norm('coalesce(parsed_text, ' + q('') + ')')} as body, {norm('ocr_text')} as ocr_body from got0),"
     " got as materialized (select *, case when not is_file then 'l' when extension in ('PNG', 'JPG', 'JPEG') then"
-    f" case when size_bytes > {MAX_IMAGE_BYTES} then 'b' when ocr_status = 'Completed' then 'a' else 'c' end"
+    " case when ocr_status = 'Completed' then 'a' when ocr_status = 'Failed' then 'c' else 'b' end"
     " when extension in ('TIF', 'TIFF') then 'd' when extension <> 'PDF' then 'e'"
-    f" when size_bytes > {MAX_PDF_BYTES} then 'f' when parse_error is not null then case when ocr_body <> '' then 'j' else 'k' end"
+    " when parse_error is not null then case when ocr_body <> '' then 'j' else 'k' end"
     f" when {_SIGNAL} >= {MIN_SIGNAL_CHARS} then 'g' when ocr_body <> '' then 'h' else 'i' end as route from got1),"
     " docs as materialized (select path, extension, case when route in ('a', 'h', 'j') then ocr_body when route in ('g', 'i') then body else '' end as body,"
     " case when route in ('g', 'h', 'i') then title else '' end as title from got),"
@@ -348,7 +343,7 @@ INSPECTED = (
     " case when route in ('a','g','h','i','j') then 'Parsed locally' when route in ('c','k','l') then 'Error' else 'Metadata only' end as status,"
     f" case when route in ('a','b','c','j') then {q(OCR_ENGINE)} when route = 'g' or (route = 'i' and ocr_status = 'Failed') then {q(PDF_PARSER)}"
     f" when route in ('h','i','k') then {q(PDF_PARSER + ' + ' + OCR_ENGINE)} else 'Filesystem only' end as parser,"
-    f" case route when 'a' then {_IMG} when 'b' then {q(NOTES['image_limit'])} when 'c' then ocr_note when 'd' then {q(NOTES['tiff'])}"
+    f" case route when 'a' then {_IMG} when 'b' then coalesce(ocr_note, 'OCR not run.') when 'c' then ocr_note when 'd' then {q(NOTES['tiff'])}"
     f" when 'e' then {q(NOTES['default'])} when 'f' then 'PDF exceeds the local parse limit of 15.00 MB. Metadata only was captured.'"
     f" when 'g' then {_FIRST} when 'j' then concat('Primary PDF text parsing failed, but OCR fallback recovered text from ', ocr_pages,"
     " ' page(s). Original parser error: ', parse_error)"
@@ -362,11 +357,11 @@ INSPECTED = (
     " when route = 'h' then greatest(length(parsed_text), length(ocr_body)) else 0 end::bigint as extracted_characters,"
     " case when route in ('a','c','h','i','j','k') then ocr_status when route in ('b','f','g') then 'Skipped' else 'Not run' end as ocr_status,"
     " case when route in ('a','b','c') then 'Image OCR' when route in ('f','g','h','i','j','k') then 'PDF OCR fallback' end as ocr_source,"
-    f" case route when 'a' then {_IMG} when 'b' then {q(NOTES['image_limit'])} when 'c' then ocr_note when 'f' then {q(NOTES['too_large_ocr'])}"
+    f" case route when 'a' then {_IMG} when 'b' then coalesce(ocr_note, 'OCR not run.') when 'c' then ocr_note when 'f' then {q(NOTES['too_large_ocr'])}"
     f" when 'g' then {q(NOTES['not_required'])} when 'd' then 'OCR not run.' when 'e' then 'OCR not run.' when 'l' then 'OCR not run.' else {_OCR_NOTE} end as ocr_note,"
-    " case when route in ('a','h','i','j') and ocr_confidence is not null then least(greatest(floor(ocr_confidence + 0.5), 0), 100) end::bigint as ocr_confidence,"
+    " case when route in ('a','h','i','j','k') and ocr_confidence is not null then least(greatest(floor(ocr_confidence + 0.5), 0), 100) end::bigint as ocr_confidence,"
     " case when route = 'a' then 1 when route in ('c','h','i','j','k') then ocr_pages else 0 end::bigint as ocr_pages,"
-    f" case when route in ('a','b','c') then 1 when route in ('h','i','j','k') then least(total_pages, {OCR_PAGE_LIMIT}) end::bigint as ocr_page_limit,"
+    " case when route in ('a','b','c') then 1 when route in ('h','i','j','k') then greatest(1, total_pages) end::bigint as ocr_page_limit,"
     " case when route in ('a','h','j') then ocr_body when route in ('g','i') then body else '' end as content,"
     " case when route in ('a','h','i','j') then left(ocr_body, " + str(PREVIEW_CHARS) + ") else '' end as ocr_preview,"
     f" coalesce(r.document_class, case route when 'c' then 'Image OCR failure' when 'f' then 'PDF over parse limit' when 'k' then 'PDF parse failure'"
@@ -405,12 +400,12 @@ PAGES = (
     "lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as page_no,"
     " len(string_split(text, chr(10))) as total_pages from documents),"
     f" pages_in as (select doc_id, page_no, total_pages, line, {src.PAGE_STATUS_SQL} as status, {norm(src.PAGE_TEXT_SQL)} as text,"
-    f" case when ({src.PAGE_SCORE_SQL}) is not null then least(greatest(floor({src.PAGE_SCORE_SQL} + 0.5), 0), 100) end as score from lines where page_no <= {OCR_PAGE_LIMIT})"
+    f" case when ({src.PAGE_SCORE_SQL}) is not null then least(greatest(floor({src.PAGE_SCORE_SQL} + 0.5), 0), 100) end as score from lines)"
 )
 
 
-def _json_text(doc: str, path: str, default: str, limit: int = 2000) -> str:
-    return f"case when json_type({doc}, '$.{path}') = 'VARCHAR' then left(json_extract_string({doc}, '$.{path}'), {limit}) else {default} end"
+def _json_text(doc: str, path: str, default: str) -> str:
+    return f"case when json_type({doc}, '$.{path}') = 'VARCHAR' then json_extract_string({doc}, '$.{path}') else {default} end"
 
 
 def _json_number(doc: str, path: str, default: str = "0") -> str:
@@ -430,31 +425,31 @@ def _percent(x: str) -> str:
 def _workspace() -> str:
     t, n, c = _json_text, _json_number, _json_choice
     field = "concat_ws('/', " + ", ".join([
-        t("f", "key", "'field'", 80), t("f", "label", "'Field'", 120), t("f", "value", "''", 200), f"{_percent(n('f', 'confidence'))}::varchar",
+        t("f", "key", "'field'"), t("f", "label", "'Field'"), t("f", "value", "''"), f"{_percent(n('f', 'confidence'))}::varchar",
         c("f", "status", ("Extracted", "Detected label", "Missing"), "Missing"), c("f", "validation", ("Valid", "Suspect"), "Not checked"),
     ]) + ")"
     items = "coalesce(json_extract(d, '$.{}')::json[], []::json[])"
-    fields = f"list_transform(list_filter({items.format('extraction.fields')}, lambda f: json_type(f) = 'OBJECT')[1:24], lambda f: {field})"
-    examples = "list_transform(list_filter(json_extract(f, '$.examples')::json[], lambda e: json_type(e) = 'VARCHAR')[1:3], lambda e: left(e->>'$', 80))"
+    fields = f"list_transform(list_filter({items.format('extraction.fields')}, lambda f: json_type(f) = 'OBJECT'), lambda f: {field})"
+    examples = "list_transform(list_filter(json_extract(f, '$.examples')::json[], lambda e: json_type(e) = 'VARCHAR'), lambda e: e->>'$')"
     known = any_of(("Credit card number", "Bank routing number", "Social Security number", "Employer identification number", "Phone number", "Email address", "Date of birth"))
     finding = f"concat({t('f', 'category', q(''))}, ' x', greatest(0, floor({n('f', 'count')} + 0.5))::double::varchar, ': ', array_to_string({examples}, '; '))"
     findings = (
-        f"list_transform(list_filter({items.format('pii.findings')}, lambda f: json_type(f) = 'OBJECT' and {t('f', 'category', q(''))} in {known})[1:16],"
+        f"list_transform(list_filter({items.format('pii.findings')}, lambda f: json_type(f) = 'OBJECT' and {t('f', 'category', q(''))} in {known}),"
         f" lambda f: {finding})"
     )
-    signals = f"list_transform(list_filter(case when json_type(d, '$.analysis.signals') = 'ARRAY' then {items.format('analysis.signals')} else []::json[] end, lambda e: json_type(e) = 'VARCHAR')[1:16], lambda e: left(e->>'$', 180))"
+    signals = f"list_transform(list_filter(case when json_type(d, '$.analysis.signals') = 'ARRAY' then {items.format('analysis.signals')} else []::json[] end, lambda e: json_type(e) = 'VARCHAR'), lambda e: e->>'$')"
     return (
         f"with j as (select k, try_cast(raw as json) as d from (select k, {src.SAVED_SQL} as raw from (select c_custkey as k from customer)) where json_valid(raw)),"
         f" o as (select k, d, {t('d', 'path', q(''))} as path from j where json_type(d) = 'OBJECT'),"
         f" p as (select k, d, path, regexp_extract(rtrim(path, '/'), '[^/]*$') as b, {ext('rtrim(path, ' + q('/') + ')')} as extension from o where path[1] = '/')"
-        f" select k, {t('d', 'id', 'path', 400)} as id, path, {t('d', 'name', 'b', 240)} as name, extension, greatest(0, {n('d', 'fileSizeBytes')})::double as size_bytes,"
+        f" select k, {t('d', 'id', 'path')} as id, path, {t('d', 'name', 'b')} as name, extension, greatest(0, {n('d', 'fileSizeBytes')})::double as size_bytes,"
         f" ({n('d', 'pageCount', 'null')})::double as page_count, {c('d', 'status', ('Parsed locally', 'Metadata only', 'Error'), 'Metadata only')} as status,"
-        f" {t('d', 'parser', q('Filesystem only'), 120)} as parser, {c('d', 'review.status', ('Approved', 'Needs review', 'Rejected'), 'Pending')} as review_status,"
-        f" {t('d', 'review.notes', q(''), 5000)} as notes, {t('d', 'review.reviewedAt', 'null')} as reviewed_at,"
-        f" {t('d', 'analysis.documentClass', q('Unavailable'), 120)} as document_class,"
+        f" {t('d', 'parser', q('Filesystem only'))} as parser, {c('d', 'review.status', ('Approved', 'Needs review', 'Rejected'), 'Pending')} as review_status,"
+        f" {t('d', 'review.notes', q(''))} as notes, {t('d', 'review.reviewedAt', 'null')} as reviewed_at,"
+        f" {t('d', 'analysis.documentClass', q('Unavailable'))} as document_class,"
         f" {c('d', 'analysis.sensitivity', ('Restricted', 'Internal', 'Standard'), 'Unknown')} as sensitivity, {_percent(n('d', 'analysis.confidence'))} as confidence,"
-        f" {t('d', 'analysis.summary', q('No local analysis was available for this document.'), 600)} as summary, array_to_string({signals}, ',') as signals,"
-        f" {t('d', 'extraction.template', 'null', 120)} as template, array_to_string({fields}, ' | ') as fields,"
+        f" {t('d', 'analysis.summary', q('No local analysis was available for this document.'))} as summary, array_to_string({signals}, ',') as signals,"
+        f" {t('d', 'extraction.template', 'null')} as template, array_to_string({fields}, ' | ') as fields,"
         f" {c('d', 'pii.riskLevel', ('High', 'Low'), 'None')} as risk_level, greatest(0, floor({n('d', 'pii.totalMatches')} + 0.5))::double as total_matches,"
         f" array_to_string({findings}, ' | ') as findings, {c('d', 'ocr.status', ('Completed', 'Skipped', 'Failed', 'Not run'), 'Not run')} as ocr_status,"
         f" case when json_type(d, '$.ocr.confidence') is null then null else {_percent('floor(' + n('d', 'ocr.confidence') + ' + 0.5)')} end as ocr_confidence,"
@@ -464,14 +459,14 @@ def _workspace() -> str:
 
 
 def _rolled() -> str:
-    bad = f"(select doc_id, min(page_no) as stop from pages_in where status <> 'Completed' and page_no <= least(greatest(total_pages, 1), {OCR_PAGE_LIMIT}) group by doc_id)"
+    bad = f"(select doc_id, min(page_no) as stop from pages_in where status <> 'Completed' and page_no <= greatest(total_pages, 1) group by doc_id)"
     return (
         f"with {PAGES}, budget as (select p.*, b.stop from pages_in p left join {bad} b using (doc_id)),"
         " rolled as (select doc_id, max(total_pages) as total_pages, any_value(stop) as stop, count_if(stop is null or page_no < stop) as done,"
         " string_agg(case when (stop is null or page_no < stop) and text <> '' then concat('Page ', page_no, chr(10), text) end, chr(10) || chr(10) order by page_no) as joined,"
         " avg(case when stop is null or page_no < stop then score end) as mean from budget group by doc_id),"
         " final as (select *, stop is not null and joined is null as failed from rolled)"
-        f" select doc_id, total_pages::bigint as total_pages, least(greatest(total_pages, 1), {OCR_PAGE_LIMIT})::bigint as page_limit, done as pages_processed,"
+        f" select doc_id, total_pages::bigint as total_pages, greatest(total_pages, 1)::bigint as page_limit, done as pages_processed,"
         " case when failed then 'Failed' else 'Completed' end as status, case when failed then '' else trim(coalesce(joined, ''), " + q(SPACE_CHARS) + ") end as text,"
         " case when not failed then floor(mean + 0.5) end::bigint as confidence,"
         " length(case when failed then '' else trim(coalesce(joined, ''), " + q(SPACE_CHARS) + ") end)::bigint as extracted_characters from final"
@@ -602,10 +597,10 @@ ORACLES: dict[str, str] = {
     "queue_reinspect": f"select * replace ({iso('reviewed_at')} as reviewed_at, size_bytes + 5 as size_bytes) from {light(0, 1)}",
     "queue_review_filter": f"select {_FLAT} from {light(0, 1, 2)} where review_status = 'Needs review'",
     "queue_remove": f"select {_FLAT} from {light(1)}",
-    "queue_sorted": f"{_MERGE} select path, seq from ({_STAGED}) order by batch_rank desc, seq",
+    "queue_sorted": f"{_MERGE} select path, seq, row_number() over (order by batch_rank desc, seq) as position from ({_STAGED})",
     "queue_sort_name": f"select name, path from {light(0, 1, 2)}",
-    "queue_topk_size": f"select {_FLAT} from {light(0, 1, 2)} order by size_bytes desc, seq limit 100",
-    "queue_topk_pages": f"select {_FLAT} from {light(0, 1, 2)} order by coalesce(page_count, 0) desc, seq limit 100",
+    "queue_sort_size": f"select {_FLAT}, row_number() over (order by size_bytes desc, seq) as position from {light(0, 1, 2)}",
+    "queue_sort_pages": f"select {_FLAT}, row_number() over (order by coalesce(page_count, 0) desc, seq) as position from {light(0, 1, 2)}",
     "queue_search": (
         f"with {INSPECTED}, ft as (select path, string_agg(concat(label, ' ', value, ' ', status, ' ', validation), ' ' order by ord) as ftext from fields group by path),"
         " ct as (select path, string_agg(category, ' ' order by position) as ctext from found group by path)"
@@ -645,10 +640,10 @@ ORACLES: dict[str, str] = {
     "workspace_sanitize": _workspace(),
     "workspace_load": (
         f"with j as (select k, try_cast(raw as json) as s from (select k, {src.STATE_SQL} as raw from (select o_orderkey as k from orders)) where json_valid(raw)),"
-        f" o as (select k, {_json_text('s', 'filterValue', q(''), 240)} as filter_value, json_extract(s, '$.documents')::json[] as ds from j where json_type(s) = 'OBJECT'),"
+        f" o as (select k, {_json_text('s', 'filterValue', q(''))} as filter_value, json_extract(s, '$.documents')::json[] as ds from j where json_type(s) = 'OBJECT'),"
         f" d as (select k, filter_value, unnest(ds) as d, generate_subscripts(ds, 1) - 1 as position from o),"
         f" p as (select *, {_json_text('d', 'path', q(''))} as path from d where json_type(d) = 'OBJECT')"
-        f" select k, filter_value, position, path, {_json_text('d', 'name', base('path'), 240)} as name, {ext('path')} as extension, 'Metadata only' as status from p where path[1] = '/'"
+        f" select k, filter_value, position, path, {_json_text('d', 'name', base('path'))} as name, {ext('path')} as extension, 'Metadata only' as status from p where path[1] = '/'"
     ),
     "workspace_roundtrip": f"select {_FLAT} from {light(0, 1, 2)}",
     "ocr_rollup": _rolled(),

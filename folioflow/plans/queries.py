@@ -20,7 +20,6 @@ from folioflow.sources import images, intake, sinks, workspace
 from folioflow.streaming import intake as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
-TOP = 100
 NEEDLE = "  Net 30 "
 QUERIES: dict[str, Query] = {}
 
@@ -279,10 +278,10 @@ def inspection_routing(spark, sf):
     )
 
 
-def _flat_queue(rows: DataFrame) -> DataFrame:
+def _flat_queue(rows: DataFrame, *more: str) -> DataFrame:
     return rows.selectExpr(
         "path", "name", "seq", "size_bytes", "bigint(page_count) as page_count", "review.status as review_status",
-        "review.notes as notes", f"{t.iso_timestamp('review.reviewed_at')} as reviewed_at",
+        "review.notes as notes", f"{t.iso_timestamp('review.reviewed_at')} as reviewed_at", *more,
     )
 
 
@@ -324,7 +323,7 @@ def queue_remove(spark, sf):
 
 @_query
 def queue_sorted(spark, sf):
-    return queue.ordered(queue.merge(*_merged(spark, sf)), "added").select("path", "seq")
+    return queue.positions(queue.merge(*_merged(spark, sf)), "added").select("path", "seq", "position")
 
 
 @_query
@@ -333,13 +332,13 @@ def queue_sort_name(spark, sf):
 
 
 @_query
-def queue_topk_size(spark, sf):
-    return _flat_queue(queue.ordered(src.light_queue(spark, sf, 0, 1, 2), "size").limit(TOP))
+def queue_sort_size(spark, sf):
+    return _flat_queue(queue.positions(src.light_queue(spark, sf, 0, 1, 2), "size"), "position")
 
 
 @_query
-def queue_topk_pages(spark, sf):
-    return _flat_queue(queue.ordered(src.light_queue(spark, sf, 0, 1, 2), "pages").limit(TOP))
+def queue_sort_pages(spark, sf):
+    return _flat_queue(queue.positions(src.light_queue(spark, sf, 0, 1, 2), "pages"), "position")
 
 
 @_query

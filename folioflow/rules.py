@@ -50,18 +50,13 @@ class Signal:
 # ---------------------------------------------------------------------------
 
 ANCHOR_WEIGHT = 3
-MAX_VALUE_CHARS = 200
-MAX_EXAMPLES = 3
 
 SUPPORTED_EXTENSIONS = ("PDF", "DOC", "DOCX", "XLS", "XLSX", "CSV", "PNG", "JPG", "JPEG", "TIF", "TIFF")
 TEXT_EXTENSIONS = ("PDF", "PNG", "JPG", "JPEG", "TIF", "TIFF")
 IMAGE_EXTENSIONS = ("PNG", "JPG", "JPEG")
 REVIEW_STATUSES = ("Pending", "Approved", "Needs review", "Rejected")
 
-MAX_PDF_BYTES = 15 * 1024 * 1024
-MAX_IMAGE_BYTES = 10 * 1024 * 1024
 PREVIEW_PAGES = 2
-OCR_PAGE_LIMIT = 3
 
 PDF_PARSER = "pdf-parse 2.4.5"
 OCR_ENGINE = "tesseract.js 7.0.0"

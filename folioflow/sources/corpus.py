@@ -37,7 +37,7 @@ INVOICE_SQL = _lines(
     " else concat('Payment Terms: Net ', 15 + 15 * (k % 3)) end",
     "case when k % 31 = 0 then concat('Bill To:', chr(10), 'Remit To: Lockbox ', k) else concat('Bill To: Customer ', c) end",
     "concat('Subtotal: $', 100 + k % 9000, '.00')",
-    "case when k % 23 = 0 then concat('Questions: billing', k % 50, '@example.com or (415) 555-',"
+    "case when k % 23 = 0 then concat('Questions: billing', k % 50, '@example.com or (628) 555-',"
     " lpad(concat('', k % 10000), 4, '0')) else 'Thank you' end",
     f"case when k % 11 = 0 then 'Amount Due:' else concat('Amount Due: $', {_CENTS}) end",
 )
@@ -63,11 +63,11 @@ FORM_1040_SQL = _lines(
     "case when k % 4 = 0 then 'Tax year: 1901' when k % 4 = 1 then 'For the year 2024' else 'Taxable income' end",
     "concat('Filing status: ', case when k % 3 = 0 then 'Married filing jointly'"
     " when k % 3 = 1 then 'Single' else 'Undecided' end)",
-    "concat('Your first name and middle initial: Pat ', case when k % 2 = 0 then 'A' else 'B' end)",
+    "concat('Your first name and middle initial: Robin ', case when k % 2 = 0 then 'A' else 'B' end)",
     "concat('Last name: Person ', k)",
     "concat('Your social security number: ', case when k % 6 = 0 then '123-456789'"
-    " else concat('536-22-', lpad(concat('', k % 10000), 4, '0')) end)",
-    "concat('Home address (number and street): ', k, ' Elm Street')",
+    " else concat('417-38-', lpad(concat('', k % 10000), 4, '0')) end)",
+    "concat('Home address (number and street): ', k, ' Quarry Lane')",
     "'Standard deduction'",
     "'Adjusted gross income'",
 )
@@ -77,39 +77,39 @@ I9_SQL = _lines(
     "'Employment Eligibility Verification'",
     "'Department of Homeland Security'",
     "'U.S. Citizenship and Immigration Services'",
-    "concat('Last Name (Family Name): Rivera', k)",
-    "case when k % 3 = 0 then 'First Name (Given Name)' else 'First Name (Given Name): Ana' end",
+    "concat('Last Name (Family Name): Okafor', k)",
+    "case when k % 3 = 0 then 'First Name (Given Name)' else 'First Name (Given Name): Lena' end",
     "case when k % 4 = 1 then 'Date of birth unknown' else concat('Date of Birth (mm/dd/yyyy): ',"
-    f" case when k % 4 = 0 then '04/99' else {_MD} end, '/1988') end",
-    "concat('U.S. Social Security Number: 536-', lpad(concat('', k % 100), 2, '0'), '-', lpad(concat('', k % 10000), 4, '0'))",
-    "concat('Employee''s E-mail Address: ana.rivera', k, '@example.com')",
+    f" case when k % 4 = 0 then '04/99' else {_MD} end, '/1961') end",
+    "concat('U.S. Social Security Number: 417-', lpad(concat('', k % 100), 2, '0'), '-', lpad(concat('', k % 10000), 4, '0'))",
+    "concat('Employee''s E-mail Address: lena.okafor', k, '@example.com')",
     "case when k % 7 = 0 then 'Employee''s Telephone Number: 555-12' else"
-    " concat('Employee''s Telephone Number: (415) 555-', lpad(concat('', k % 10000), 4, '0')) end",
+    " concat('Employee''s Telephone Number: (628) 555-', lpad(concat('', k % 10000), 4, '0')) end",
 )
 
 CMS_SQL = _lines(
     "'Health Insurance Claim Form'",
     "'CMS-1500'",
     "'Medicare Medicaid Tricare'",
-    "concat('Patient''s Name (Last Name, First Name, Middle Initial): Doe', k, ', John, A')",
+    "concat('Patient''s Name (Last Name, First Name, Middle Initial): Brandt', k, ', Milo, R')",
     f"concat('Patient''s Birth Date: ', case when k % 5 = 3 and k % 4 = 0 then '13 45' else {_MD} end, ' 1975')",
-    "concat('Insured''s Name (Last Name, First Name, Middle Initial): Doe', k, ', Jane')",
-    "concat('Insured''s I.D. Number: XQV-', 440000 + k % 9999)",
+    "concat('Insured''s Name (Last Name, First Name, Middle Initial): Brandt', k, ', Ilse')",
+    "concat('Insured''s I.D. Number: KT7-', 310000 + k % 9999)",
     "case when k % 6 = 0 then 'Diagnosis or Nature of Illness or Injury: U07.1'"
-    " else concat('Diagnosis or Nature of Illness or Injury: E11.', k % 100) end",
+    " else concat('Diagnosis or Nature of Illness or Injury: J45.', k % 100) end",
     f"case when k % 9 = 0 then 'Total Charge:' else concat('Total Charge: $', {_CENTS}) end",
 )
 
 MEMO_SQL = _lines(
     "concat('Internal memo ', k)",
-    "concat('Card on file: 4111 1111 1111 111', case when k % 2 = 0 then '1' else '2' end,"
-    " case when k % 3 = 0 then ' 021000021' else '' end)",
-    "concat('Routing number ', case when k % 3 = 0 then '021000022' else '021000021' end, ' for the account')",
-    "concat('Identifiers ', case when k % 4 = 0 then '900-12-3456' else '536-22-1234' end,"
-    " case when k % 7 = 0 then ' 536-22-2345 536 22 3456 536-22-4567 536-22-4567' else '' end)",
-    "concat('EIN: ', case when k % 5 = 4 and k % 2 = 1 then '07' else '12' end, '-3456789')",
-    "case when k % 9 = 4 then 'D.O.B. is 04/12/1988' when k % 9 = 5 then 'DOB 536-22-1234 or dob: 4-5-88' else 'No date given' end",
-    "case when k % 11 = 4 then 'Reach j.doe+x@mail.example.co.uk, +1 (415) 555-0123' else"
+    "concat('Card on file: 4532 7718 0946 235', case when k % 2 = 0 then '6' else '7' end,"
+    " case when k % 3 = 0 then ' 314077266' else '' end)",
+    "concat('Routing number ', case when k % 3 = 0 then '314077267' else '314077266' end, ' for the account')",
+    "concat('Identifiers ', case when k % 4 = 0 then '900-12-3456' else '417-38-6120' end,"
+    " case when k % 7 = 0 then ' 417-38-7719 417 38 9052 417-38-5083 417-38-5083' else '' end)",
+    "concat('EIN: ', case when k % 5 = 4 and k % 2 = 1 then '07' else '46' end, '-7041966')",
+    "case when k % 9 = 4 then 'D.O.B. is 09/27/1961' when k % 9 = 5 then 'DOB 417-38-6120 or dob: 4-5-88' else 'No date given' end",
+    "case when k % 11 = 4 then 'Reach r.lindt+x@post.example.co.uk, +1 (628) 555-0147' else"
     " concat('Agreement of the party, governing law', chr(13), chr(10)) end",
 )
 

@@ -41,10 +41,13 @@ def dropped_paths(payloads: DataFrame, uri_list: str = "uri_list", seq: str = "s
 
 
 def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Name, extension, size, time and fingerprint of files; bytes stay on the executors."""
+    """Name, extension, size, time and fingerprint of files; bytes stay on the executors.
+
+    Local files come without their scheme, in the form in which paths are requested.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
-    return files.selectExpr(
+    return files.withColumn("path", F.expr("regexp_replace(path, '^file:/+', '/')")).selectExpr(
         "path", f"{basename('path')} as name", f"{extension('path')} as extension", "length as size_bytes",
         "modificationTime as modified_at", "sha2(content, 256) as sha256",
     )

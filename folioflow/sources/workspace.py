@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -12,8 +13,6 @@ from folioflow.operators.classify import in_list
 from folioflow.operators.pii import DETECTORS
 from folioflow.rules import REVIEW_STATUSES, SUPPORTED_EXTENSIONS
 
-# Limits of a saved record.
-MAX_FIELDS, MAX_FINDINGS, MAX_EXAMPLES = 24, 16, 3
 VERSION = 1
 NO_ANALYSIS = "No local analysis was available for this document."
 NO_EXTRACTION = "No structured extraction was available for this document."
@@ -31,17 +30,17 @@ def _review(doc: Sql) -> Sql:
     v = c.at(doc, "review")
     return struct(
         status=c.choice(doc, "review.status", REVIEW_STATUSES, "Pending"),
-        notes=_when_object(v, c.text(doc, "review.notes", "''", 5000), "''"),
+        notes=_when_object(v, c.text(doc, "review.notes", "''"), "''"),
         reviewed_at=c.text(doc, "review.reviewedAt", "cast(null as string)"),
     )
 
 
 def _analysis(doc: Sql) -> Sql:
     return struct(
-        document_class=c.text(doc, "analysis.documentClass", "'Unavailable'", 120),
+        document_class=c.text(doc, "analysis.documentClass", "'Unavailable'"),
         sensitivity=c.choice(doc, "analysis.sensitivity", ("Restricted", "Internal", "Standard"), "Unknown"),
         confidence=clamp_percent(c.number(doc, "analysis.confidence")),
-        summary=c.text(doc, "analysis.summary", lit(NO_ANALYSIS), 600),
+        summary=c.text(doc, "analysis.summary", lit(NO_ANALYSIS)),
         signals=c.texts(doc, "analysis.signals"),
     )
 
@@ -50,19 +49,19 @@ def _extraction(doc: Sql) -> Sql:
     records = each("filter", c.elements(doc, "extraction.fields"), c.is_object)
     fields = each(
         "transform",
-        f"slice({records}, 1, {MAX_FIELDS})",
+        records,
         lambda f: struct(
-            key=c.text(f, "key", "'field'", 80),
-            label=c.text(f, "label", "'Field'", 120),
-            value=c.text(f, "value", "''", 200),
+            key=c.text(f, "key", "'field'"),
+            label=c.text(f, "label", "'Field'"),
+            value=c.text(f, "value", "''"),
             confidence=clamp_percent(c.number(f, "confidence")),
             status=c.choice(f, "status", ("Extracted", "Detected label", "Missing"), "Missing"),
             validation=c.choice(f, "validation", ("Valid", "Suspect"), "Not checked"),
         ),
     )
     return struct(
-        template=c.text(doc, "extraction.template", "cast(null as string)", 120),
-        summary=c.text(doc, "extraction.summary", lit(NO_EXTRACTION), 600),
+        template=c.text(doc, "extraction.template", "cast(null as string)"),
+        summary=c.text(doc, "extraction.summary", lit(NO_EXTRACTION)),
         fields=fields,
     )
 
@@ -72,11 +71,11 @@ def _pii(doc: Sql) -> Sql:
     records = each("filter", c.elements(doc, "pii.findings"), lambda f: f"{c.is_object(f)} and {in_list(c.text(f, 'category'), known)}")
     findings = each(
         "transform",
-        f"slice({records}, 1, {MAX_FINDINGS})",
+        records,
         lambda f: struct(
             category=c.text(f, "category"),
             count=_positive(f"double({half_up(c.number(f, 'count'))})"),
-            examples=c.texts(f, "examples", MAX_EXAMPLES, 80),
+            examples=c.texts(f, "examples"),
         ),
     )
     return struct(
@@ -90,8 +89,8 @@ def _ocr(doc: Sql) -> Sql:
     none, missing = "cast(null as string)", "cast(null as double)"
     return struct(
         status=c.choice(doc, "ocr.status", ("Completed", "Skipped", "Failed", "Not run"), "Not run"),
-        source=c.text(doc, "ocr.source", none, 120),
-        engine=c.text(doc, "ocr.engine", none, 120),
+        source=c.text(doc, "ocr.source", none),
+        engine=c.text(doc, "ocr.engine", none),
         confidence=f"case when {c.is_number(c.at(doc, 'ocr.confidence'))} then"
         f" {clamp_percent('double(' + half_up(c.number(doc, 'ocr.confidence')) + ')')} end",
         duration_ms=c.number(doc, "ocr.durationMs", missing),
@@ -99,8 +98,8 @@ def _ocr(doc: Sql) -> Sql:
         page_limit=c.number(doc, "ocr.pageLimit", missing),
         preprocessing=c.choice(doc, "ocr.preprocessing", ("Scan cleanup",), "None"),
         extracted_characters=_positive(c.number(doc, "ocr.extractedCharacters")),
-        text_preview=c.text(doc, "ocr.textPreview", "''", 5000),
-        note=c.text(doc, "ocr.note", "'OCR not run.'", 1000),
+        text_preview=c.text(doc, "ocr.textPreview", "''"),
+        note=c.text(doc, "ocr.note", "'OCR not run.'"),
     )
 
 
@@ -114,20 +113,20 @@ def sanitize_documents(df: DataFrame, doc: str, keep: tuple[str, ...] = ()) -> D
     valid = f"{c.is_object(doc)} and startswith(_path, '/') and {in_list(extension('_path'), SUPPORTED_EXTENSIONS)}"
     return staged.filter(F.expr(valid)).selectExpr(
         *keep,
-        f"{c.text(doc, 'id', '_path', 400)} as id",
-        f"{c.text(doc, 'name', basename('_path'), 240)} as name",
+        f"{c.text(doc, 'id', '_path')} as id",
+        f"{c.text(doc, 'name', basename('_path'))} as name",
         "_path as path",
         f"{extension('_path')} as extension",
         f"{_positive(c.number(doc, 'fileSizeBytes'))} as size_bytes",
-        f"{c.text(doc, 'modifiedAt', lit(''), 80)} as modified_at",
-        f"{c.text(doc, 'sha256', lit(''), 128)} as sha256",
-        f"{c.text(doc, 'parser', lit('Filesystem only'), 120)} as parser",
+        f"{c.text(doc, 'modifiedAt', lit(''))} as modified_at",
+        f"{c.text(doc, 'sha256', lit(''))} as sha256",
+        f"{c.text(doc, 'parser', lit('Filesystem only'))} as parser",
         f"{c.number(doc, 'pageCount', 'cast(null as double)')} as page_count",
-        f"{c.text(doc, 'previewText', lit(''), 5000)} as preview_text",
+        f"{c.text(doc, 'previewText', lit(''))} as preview_text",
         f"{_positive(c.number(doc, 'previewPages'))} as preview_pages",
         f"{_positive(c.number(doc, 'extractedCharacters'))} as extracted_characters",
         f"{c.choice(doc, 'status', ('Parsed locally', 'Metadata only', 'Error'), 'Metadata only')} as status",
-        f"{c.text(doc, 'note', lit(''), 1000)} as note",
+        f"{c.text(doc, 'note', lit(''))} as note",
         f"{_ocr(doc)} as ocr",
         struct(**{k: c.text(doc, f"metadata.{k}") for k in ("title", "author", "creator", "producer", "subject")}) + " as metadata",
         f"{_analysis(doc)} as analysis",
@@ -144,7 +143,7 @@ def parse_states(df: DataFrame, raw: str, keep: tuple[str, ...] = ()) -> DataFra
     """
     parsed = df.select(*keep, F.expr(f"try_parse_json({raw})").alias("_state")).filter(F.expr(c.is_object("_state")))
     return parsed.selectExpr(
-        *keep, f"{VERSION} as version", f"{c.text('_state', 'filterValue', lit(''), 240)} as filter_value",
+        *keep, f"{VERSION} as version", f"{c.text('_state', 'filterValue', lit(''))} as filter_value",
         f"{c.elements('_state', 'documents')} as documents",
     )
 
@@ -156,8 +155,8 @@ def load_documents(df: DataFrame, raw: str, keep: tuple[str, ...], cap: int | No
     clean = sanitize_documents(rows, "doc", (*keep, "filter_value", "position"))
     if cap is None:
         return clean
-    kept = clean.groupBy(*keep).agg(F.array_sort(F.collect_set("position")).alias("_p"))
-    return clean.join(kept, list(keep)).filter(F.expr(f"array_contains(slice(_p, 1, {cap}), position)")).drop("_p")
+    place = F.row_number().over(W.partitionBy(*keep).orderBy("position"))
+    return clean.withColumn("_place", place).filter(F.col("_place") <= cap).drop("_place")
 
 
 def write_snapshot(documents: DataFrame, root: str, snapshot: int, filter_value: str = "") -> None:

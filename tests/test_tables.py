@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as t
-from folioflow.operators import dedupe, ocr, queue, report
+from folioflow.operators import dedupe, ocr, queue, report, routing
 from folioflow.operators.routing import page_budget
 from folioflow.plans.queries import QUERIES
 from folioflow.sources import corpus, images, intake, sinks, workspace
@@ -37,7 +37,8 @@ def test_file_scan(spark, tmp_path):
 
 def test_every_route_occurs(spark, sf):
     got = {r.route: r.n for r in QUERIES["inspection_routing"](spark, sf).groupBy("route").agg(F.count("*").alias("n")).collect()}
-    assert sorted(got) == list("abcdefghijkl")
+    # b and f occur only with size limits
+    assert sorted(got) == list("acdeghijkl")
 
 
 def test_forms_exercise_every_rule(spark, sf):
@@ -116,7 +117,7 @@ def test_saved_records_are_coerced(spark):
     got = workspace.sanitize_documents(df, "doc", ("k",)).collect()
     assert [r.k for r in got] == [0]
     r = got[0]
-    assert (r["name"], r.size_bytes, r.analysis.confidence, len(r.analysis.signals), len(r.extraction.fields)) == ("x.pdf", 0, 100, 16, 24)
+    assert (r["name"], r.size_bytes, r.analysis.confidence, len(r.analysis.signals), len(r.extraction.fields)) == ("x.pdf", 0, 100, 31, 30)
     assert (r.pii.findings[0].examples, r.review.status, r.review.notes) == (["a"] * 3, "Pending", "")
 
 
@@ -137,9 +138,9 @@ def test_snapshots(spark, tmp_path):
     assert workspace.read_snapshot(spark, root).count() == 5
 
 
-@pytest.mark.parametrize(("total", "expected"), [(0, 1), (1, 1), (2, 2), (8, 3)])
-def test_page_budget(spark, total, expected):
-    assert spark.range(1).selectExpr(f"{page_budget(str(total))} as x").first().x == expected
+@pytest.mark.parametrize(("total", "limit", "expected"), [(0, 3, 1), (1, 3, 1), (2, 3, 2), (8, 3, 3), (8, None, 8), (0, None, 1)])
+def test_page_budget(spark, total, limit, expected):
+    assert spark.range(1).selectExpr(f"{page_budget(str(total), limit)} as x").first().x == expected
 
 
 def test_ocr_roll_up(spark):
@@ -148,6 +149,8 @@ def test_ocr_roll_up(spark):
         ("empty then fail", 3, 1, "Completed", "", 80.0), ("empty then fail", 3, 2, "Failed", "", None),
         ("third fails", 3, 1, "Completed", "a", 70.5), ("third fails", 3, 2, "Completed", " \n", None), ("third fails", 3, 3, "Failed", "", None),
         *[("five pages", 5, i, "Completed", f"p{i}", float(i)) for i in range(1, 6)],
+        ("late", 9, 7, "Completed", "seven", None),
+        ("no status", 2, 1, "Completed", "one", None), ("no status", 2, 2, None, "two", None),
     ]
     df = spark.createDataFrame(pages, "doc_id string, total_pages int, page_no int, status string, text string, confidence double")
     got = {r.doc_id: (r.status, r.pages_processed, r.text, r.confidence) for r in ocr.roll_up(df).collect()}
@@ -155,9 +158,11 @@ def test_ocr_roll_up(spark):
         "first fails": ("Failed", 0, "", None),
         "empty then fail": ("Failed", 1, "", None),
         "third fails": ("Completed", 2, "Page 1\na", 71),
-        "five pages": ("Completed", 3, "Page 1\np1\n\nPage 2\np2\n\nPage 3\np3", 2),
+        "five pages": ("Completed", 5, "\n\n".join(f"Page {i}\np{i}" for i in range(1, 6)), 3),
+        "late": ("Completed", 1, "Page 7\nseven", None),
+        "no status": ("Completed", 1, "Page 1\none", None),
     }
-    assert ocr.roll_up(df, limit=5).filter("doc_id = 'five pages'").first().pages_processed == 5
+    assert ocr.roll_up(df, limit=3).filter("doc_id = 'five pages'").first().pages_processed == 3
 
 
 def test_scan_cleanup(spark):
@@ -193,3 +198,67 @@ def test_binary_stream(spark, tmp_path):
     out = str(tmp_path / "out")
     stream.run_to_table(files, out, str(tmp_path / "ck"))
     assert spark.read.parquet(out).count() == 5
+
+
+def delivered(spark, *rows):
+    values = [{"is_file": True, "sha256": "x", "total_pages": 1, **row} for row in rows]
+    return spark.createDataFrame(values, routing.DELIVERED)
+
+
+def test_large_files_are_read_unless_limited(spark):
+    big = {"path": "/a.pdf", "size_bytes": 20 << 20, "parsed_text": "Payroll keeps 417-38-6120 for this hire. " * 5}
+    image = {"path": "/b.png", "size_bytes": 12 << 20, "ocr_status": "Completed", "ocr_text": "Payroll keeps 417-38-6120", "ocr_pages": 1}
+    df = delivered(spark, big, image)
+    assert {r.path: r.pii.risk_level for r in routing.inspect(df).collect()} == {"/a.pdf": "High", "/b.png": "High"}
+    limited = {r.path: (r.route, r.status) for r in routing.inspect(df, max_pdf_bytes=15 << 20, max_image_bytes=10 << 20).collect()}
+    assert limited == {"/a.pdf": ("f", "Metadata only"), "/b.png": ("b", "Metadata only")}
+
+
+def test_unread_images_and_empty_ocr_keep_what_was_said(spark):
+    df = delivered(
+        spark,
+        {"path": "/a.png", "size_bytes": 9, "ocr_status": "Not run", "ocr_note": "No engine."},
+        {"path": "/b.pdf", "size_bytes": 9, "parse_error": "broken", "ocr_status": "Completed", "ocr_text": " ", "ocr_pages": 1, "ocr_confidence": 41.6},
+    )
+    got = {r.path: r for r in routing.inspect(df).collect()}
+    assert (got["/a.png"].route, got["/a.png"].note) == ("b", "No engine.")
+    assert (got["/b.pdf"].route, got["/b.pdf"].ocr.confidence) == ("k", 42)
+
+
+def test_refresh_keeps_vanished_paths_as_errors(spark):
+    inspected = routing.inspect(delivered(spark, {"path": "/a.pdf", "size_bytes": 9, "parsed_text": "some words"}))
+    saved = inspected.unionByName(routing.missing(spark.createDataFrame([("/gone.pdf",)], "path string")))
+    review = "named_struct('status', 'Approved', 'notes', 'n', 'reviewed_at', cast(null as timestamp))"
+    got = {r.path: r for r in queue.refresh(saved.withColumn("review", F.expr(review)), inspected).collect()}
+    assert {p: (r.status, r.review.status) for p, r in got.items()} == {"/a.pdf": ("Parsed locally", "Approved"), "/gone.pdf": ("Error", "Approved")}
+
+
+def test_a_real_folder(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/with blank.pdf").write_bytes(b"abc")
+    (tmp_path / "in/folder.pdf").mkdir()
+    wanted = [f"{tmp_path}/in/{n}" for n in ("with blank.pdf", "folder.pdf", "absent.pdf")]
+    requests = intake.accept_paths(spark.createDataFrame(list(enumerate(wanted)), "seq long, path string"))
+    got = {r.path: (r.is_file, r.size_bytes, r.sha256) for r in intake.with_missing(requests, intake.scan_files(spark, f"{tmp_path}/in")).collect()}
+    assert got == {wanted[0]: (True, 3, hashlib.sha256(b"abc").hexdigest()), wanted[1]: (False, 0, ""), wanted[2]: (False, 0, "")}
+
+
+def test_timestamps_are_utc_in_any_session(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert spark.range(1).selectExpr(f"{t.iso_timestamp('timestamp_seconds(0)')} as x").first().x == "1970-01-01T00:00:00.000Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_counts_tell_a_null_status_from_all(spark):
+    df = spark.createDataFrame([("Pending",), (None,)], "status string").selectExpr("named_struct('status', status) as review")
+    assert sorted(map(tuple, queue.status_counts(df).collect()), key=str) == [("All", 2), ("Pending", 1), (None, 1)]
+
+
+def test_positions_number_the_whole_queue(spark):
+    df = spark.range(1000).selectExpr("id as seq", "id * 7 % 97 as size_bytes", "string(id) as path")
+    got = [r.path for r in queue.positions(df, "size").orderBy("position").collect()]
+    assert got == [str(i) for i in sorted(range(1000), key=lambda i: (-(i * 7 % 97), i))]
+    assert sorted(r.position for r in queue.positions(df, "size").collect()) == list(range(1, 1001))
