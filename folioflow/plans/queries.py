@@ -48,15 +48,9 @@ def _folded(spark: SparkSession, sf: str) -> DataFrame:
     return bind(src.corpus(spark, sf).select("path", "extension", "text", "title", "subject"), "low", source)
 
 
-_QUEUES: dict[tuple[str, str], DataFrame] = {}
-
-
 def _queue(spark: SparkSession, sf: str) -> DataFrame:
-    """The inspected queue as a stored table, written once per application and folder."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _QUEUES:
-        _QUEUES[key] = stored(src.queue(spark, sf), "queue")
-    return _QUEUES[key]
+    """The inspected queue as a stored table: what reads it several times inspects once."""
+    return stored(src.queue(spark, sf), "queue")
 
 
 def findings_text(findings: str) -> str:

@@ -29,12 +29,22 @@ def accept_paths(requests: DataFrame, path: str = "path", seq: str = "seq", cap:
 
 
 def dropped_paths(payloads: DataFrame, uri_list: str = "uri_list", seq: str = "seq") -> DataFrame:
-    """Local paths of ``text/uri-list`` payloads: file URIs only, comments skipped, decoded."""
+    """Local paths of ``text/uri-list`` payloads: file URIs only, comments skipped, decoded and normalised.
+
+    Backslashes count as slashes, ``.`` and ``..`` are resolved; an entry with invalid escapes names no path.
+    """
     lines = payloads.select(F.col(seq).alias("payload"), F.posexplode(F.split(uri_list, "\n")).alias("line", "entry"))
     lines = lines.withColumn("entry", F.expr(trim("entry"))).filter("entry rlike '(?i)^file:'")
     # '+' is an ordinary character in a path; the decoder would read it as a blank.
     decoded = f"try_url_decode(replace(concat('/', regexp_extract(entry, {_FILE_URI}, 1)), '+', '%2B'))"
-    paths = lines.withColumn("path", F.expr(decoded)).filter("path is not null")
+    paths = lines.withColumn("path", F.expr(decoded)).filter(F.col("path").isNotNull() & ~F.col("path").contains("\ufffd"))
+    steps = F.split(F.translate("path", "\\", "/"), "/")
+    resolved = F.aggregate(
+        F.filter(steps, lambda s: (s != "") & (s != ".")),
+        F.array().cast("array<string>"),
+        lambda kept, s: F.when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(s))),
+    )
+    paths = paths.withColumn("path", F.concat(F.lit("/"), F.array_join(resolved, "/")))
     paths = paths.withColumn("path", F.expr("case when path rlike '^/[A-Za-z]:' then substring(path, 2) else path end"))
     order = F.struct("payload", "line")
     return paths.groupBy("path").agg(F.min(order).alias("at")).selectExpr("path", "at.payload as payload", "int(at.line) as line")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -162,8 +162,11 @@ def load_documents(df: DataFrame, raw: str, keep: tuple[str, ...], cap: int | No
 def write_snapshot(documents: DataFrame, root: str, snapshot: int, filter_value: str = "") -> None:
     """Write a snapshot table, then publish it by appending one pointer row.
 
-    Readers only follow published pointers, so a failed write is never visible.
+    Readers only follow published pointers, so a failed write is never visible. A published number is taken for good.
     """
+    pointers = _published(documents.sparkSession, root)
+    if pointers is not None and pointers.filter(F.col("snapshot") == snapshot).take(1):
+        raise ValueError(f"snapshot {snapshot} is published already")
     documents.write.mode("overwrite").parquet(f"{root}/snapshots/{snapshot:012d}")
     spark = documents.sparkSession
     pointer = spark.range(1).select(
@@ -175,9 +178,20 @@ def write_snapshot(documents: DataFrame, root: str, snapshot: int, filter_value:
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
     """Documents of the newest published snapshot, None when nothing was saved."""
+    newest = newest_snapshot(spark, root)
+    return None if newest is None else spark.read.parquet(f"{root}/snapshots/{newest.snapshot:012d}")
+
+
+def newest_snapshot(spark: SparkSession, root: str) -> Row | None:
+    """Pointer of the newest published snapshot: snapshot, version, filter_value, saved_at."""
+    pointers = _published(spark, root)
+    return None if pointers is None else pointers.orderBy(F.desc("snapshot")).first()
+
+
+def _published(spark: SparkSession, root: str) -> DataFrame | None:
     try:
-        published = spark.read.parquet(f"{root}/published")
-    except AnalysisException:
+        return spark.read.parquet(f"{root}/published")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    newest = published.agg(F.max("snapshot").alias("s")).first()["s"]
-    return spark.read.parquet(f"{root}/snapshots/{newest:012d}")

@@ -29,6 +29,23 @@ def test_dropped_uris(spark):
     assert [r.path for r in got] == ["/a b+c.pdf", "C:/x.pdf"]
 
 
+def test_dropped_uris_are_plain_paths(spark):
+    body = "file:///a/../b.pdf\nfile:///c/./d/e/../../f.pdf\nfile:///g%5Ch.pdf\nfile:///bad%E9.pdf\nfile:///../../i.pdf"
+    got = intake.dropped_paths(spark.createDataFrame([(1, body)], "seq long, uri_list string")).orderBy("line").collect()
+    assert [r.path for r in got] == ["/b.pdf", "/c/f.pdf", "/g/h.pdf", "/i.pdf"]
+
+
+def test_a_snapshot_keeps_its_filter_and_is_not_overwritten(spark, tmp_path):
+    root = str(tmp_path / "w")
+    assert workspace.newest_snapshot(spark, root) is None and workspace.read_snapshot(spark, root) is None
+    workspace.write_snapshot(spark.range(3).toDF("n"), root, 1, "net 30")
+    newest = workspace.newest_snapshot(spark, root)
+    assert (newest.snapshot, newest.filter_value) == (1, "net 30") and newest.saved_at is not None
+    with pytest.raises(ValueError):
+        workspace.write_snapshot(spark.range(5).toDF("n"), root, 1)
+    assert workspace.read_snapshot(spark, root).count() == 3
+
+
 def test_file_scan(spark, tmp_path):
     (tmp_path / "x.PDF").write_bytes(b"hello")
     row = intake.scan_files(spark, str(tmp_path)).first()
@@ -118,7 +135,7 @@ def test_saved_records_are_coerced(spark):
     assert [r.k for r in got] == [0]
     r = got[0]
     assert (r["name"], r.size_bytes, r.analysis.confidence, len(r.analysis.signals), len(r.extraction.fields)) == ("x.pdf", 0, 100, 31, 30)
-    assert (r.pii.findings[0].examples, r.review.status, r.review.notes) == (["a"] * 3, "Pending", "")
+    assert (r.pii.findings[0].examples, r.review.status, r.review.notes) == (["a"] * 5, "Pending", "")
 
 
 def test_saved_state_cap(spark):
