@@ -41,7 +41,7 @@ BATCH_SEQUENCES = 64
 #: A shard goes on in a new file after this many sequences.
 FILE_SEQUENCES = 65_536
 #: Entries of a worker's memo of encoded words (some 200 bytes each); in two generations.
-MEMO = 500_000
+MEMO = 1_000_000
 #: Characters encoded in one call, or one longer text.
 CALL_CHARS = 1_000_000
 
