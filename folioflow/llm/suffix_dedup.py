@@ -236,8 +236,8 @@ def _pass(rows: DataFrame, with_open: bool, label: str) -> DataFrame:
 
 def repeated_spans(texts: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(_key, at, n): runs of ``n`` windows from byte ``at`` on that all also start earlier; ``texts`` is (_key, text)."""
-    if threshold <= GRAM:
-        raise ValueError(f"threshold must be over {GRAM}")
+    if threshold <= GRAM or block + threshold > 1 << PLACE:
+        raise ValueError(f"threshold must be over {GRAM}, block and threshold within {1 << PLACE}")
 
     def runs(batches):
         roller = Roller(2 * BLOCK)
