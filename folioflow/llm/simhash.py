@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import keyed, written
+from folioflow.llm.common import keyed_documents, written
 from folioflow.llm.graph import components
 
 BITS = 64
@@ -144,9 +144,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, count: int = 4, max_bits: in
     bucket is verified against the bucket's first and last one on all bits: their share of differing
     bits estimates the angle of the two shingle vectors, and a pair links if that angle is within the one
     that equals a Jaccard similarity of ``similarity`` (vectors of equally many shingles). ``_key`` is
-    that of :func:`folioflow.llm.common.keyed`.
+    that of :func:`folioflow.llm.common.keyed_documents`.
     """
-    prints = written(fingerprints(keyed(docs), size, count, "_key"), "simhash-all")
+    return _groups(keyed_documents(docs)[1], size, count, max_bits, similarity)
+
+
+def _groups(single: DataFrame, size: int, count: int, max_bits: int, similarity: float) -> DataFrame:
+    prints = written(fingerprints(single, size, count, "_key"), "simhash-all")
     columns = [f"f{n}" for n in range(count)]
     nodes = written(prints.groupBy(*columns).agg(F.min("_key").alias("node")), "simhash-all-nodes")
     found = []
@@ -171,13 +175,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, count: int = 4, max_bits: in
 def drop_near_duplicates(docs: DataFrame, size: int = 5, count: int = 4, max_bits: int = 5, similarity: float = 0.8) -> DataFrame:
     """The first document (smallest doc_id) of every group, with the columns of ``docs``; parameters as above.
 
-    Texts without words are no copies of one another and all stay, except exact repeats of id and text.
+    Rows that repeat both id and text are one document and leave one row. Texts without words, null ones
+    included, are no copies of one another and all stay. An empty table gives no rows.
     """
-    columns = docs.columns
-    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs["doc_id"], docs["text"])
-    rows = keyed(rows, "row")
-    groups = near_duplicates(docs, size, count, max_bits, similarity)
-    gone = groups.filter("_key <> root").select("_key")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"], docs["text"])
+    single = keyed_documents(rows, "row")[1]
+    gone = _groups(single, size, count, max_bits, similarity).filter("_key <> root").select("_key", F.lit(True).alias("_gone"))
     wordless = ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    kept = rows.join(gone.withColumn("_gone", F.lit(True)), "_key", "left").filter(F.col("_gone").isNull() | wordless)
-    return kept.select("row.*")
+    return single.join(gone, "_key", "left").filter(F.col("_gone").isNull() | wordless).select("row.*")
