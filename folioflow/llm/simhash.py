@@ -137,29 +137,57 @@ def near_fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return prints.join(placed, prints["f0"] == placed["value"]).select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, count: int = 4, max_bits: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(_key, root) of the documents that are in a group of near-duplicates, root being the group's first document.
-
-    ``count`` fingerprints per document over ``size``-word shingles are indexed by variants. A document of a
-    bucket is verified against the bucket's first and last one on all bits: their share of differing
-    bits estimates the angle of the two shingle vectors, and a pair links if that angle is within the one
-    that equals a Jaccard similarity of ``similarity`` (vectors of equally many shingles). ``_key`` is
-    that of :func:`folioflow.llm.common.keyed_documents`.
+def near_duplicates(docs: DataFrame, size: int = 5, count: int = 8, max_bits: int = 3, similarity: float = 0.8) -> DataFrame:
+    """(_key, root) of every document, root being the first document of its group of near-duplicates.
+
+    ``count`` fingerprints per document over ``size``-word shingles are cut into segments. Documents with an equal
+    segment are verified against the first and last of them, and these against the first and last
+    of every segment value that differs in one bit; such values share a variant, two at most. Verification counts
+    all bits: their share of differing bits estimates the angle of the two shingle vectors, and a pair links
+    if that angle is within the one that equals a Jaccard similarity of ``similarity`` (vectors of equally many
+    shingles). ``_key`` is that of :func:`folioflow.llm.common.keyed_documents`.
     """
     return _groups(keyed_documents(docs)[1], size, count, max_bits, similarity)
 
 
+def _segments(value: Column, segments: int) -> Column:
+    """A fingerprint's segments, each as one long of its number and bits."""
+    cuts = [round(BITS * s / segments) for s in range(segments + 1)]
+    return F.array(
+        *[
+            F.shiftrightunsigned(value, a).bitwiseAND(F.lit((1 << b - a) - 1)).bitwiseOR(F.lit(s << 58)).cast("long")
+            for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))
+        ]
+    )
+
+
+def _without_bit(part: Column, width: int) -> Column:
+    """A segment's one-bit-out variants; the position goes above the bits."""
+    out = [part.bitwiseAND(F.lit(~(1 << p))).bitwiseOR(F.lit(p << 52)) for p in range(width)]
+    return F.array(*[x.cast("long") for x in out])
+
+
 def _groups(single: DataFrame, size: int, count: int, max_bits: int, similarity: float) -> DataFrame:
     prints = written(fingerprints(single, size, count, "_key"), "simhash-all")
     columns = [f"f{n}" for n in range(count)]
     nodes = written(prints.groupBy(*columns).agg(F.min("_key").alias("node")), "simhash-all-nodes")
+    segments = max_bits // 2 + 1
+    width = max(round(BITS * (s + 1) / segments) - round(BITS * s / segments) for s in range(segments))
     found = []
     for column in columns:
-        index = _index(nodes.select("node", F.col(column).alias("value")), max_bits // 2 + 1)
-        buckets = _buckets(index)
-        pairs = buckets.select(F.col("hi").alias("a"), F.col("lo").alias("b"))
-        more = index.join(buckets.filter("size > 2"), "variant").select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))
-        found.append(written(pairs.unionByName(more.filter("a <> b")).distinct(), "simhash-pairs"))
+        parts = nodes.select("node", F.explode(_segments(F.col(column), segments)).alias("part"))
+        sums = parts.groupBy("part").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+        values = written(sums, "simhash-segments")
+        pairs = values.filter("size = 2").select(F.col("hi").alias("a"), F.col("lo").alias("b"))
+        more = parts.join(values.filter("size > 2"), "part").select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))
+        near = values.select("part", F.explode(_without_bit(F.col("part"), width)).alias("variant"))
+        near = near.groupBy("variant").agg(F.count("*").alias("size"), F.min("part").alias("one"), F.max("part").alias("other"))
+        near = written(near.filter("size > 1").select("one", "other"), "simhash-buckets")
+        ends = values.select("part", F.array_distinct(F.array("lo", "hi")).alias("ends"))
+        near = near.join(ends.select(F.col("part").alias("one"), F.col("ends").alias("e1")), "one")
+        near = near.join(ends.select(F.col("part").alias("other"), F.col("ends").alias("e2")), "other")
+        near = near.select(F.explode("e1").alias("a"), "e2").select("a", F.explode("e2").alias("b"))
+        found.append(written(pairs.unionByName(more).unionByName(near).filter("a <> b").distinct(), "simhash-pairs"))
     pairs = reduce(DataFrame.unionByName, found).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     limit = int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * BITS * count)
     left = nodes.select(F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns])
@@ -172,7 +200,7 @@ def _groups(single: DataFrame, size: int, count: int, max_bits: int, similarity:
     return members.join(roots, "node", "left").select("_key", F.coalesce("root", "node").alias("root"))
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 5, count: int = 4, max_bits: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, size: int = 5, count: int = 8, max_bits: int = 3, similarity: float = 0.8) -> DataFrame:
     """The first document (smallest doc_id) of every group, with the columns of ``docs``; parameters as above.
 
     Rows that repeat both id and text are one document and leave one row. Texts without words, null ones

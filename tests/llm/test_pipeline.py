@@ -12,9 +12,9 @@ from test_tokens import brute as plain_tokens
 
 def without_copies(rows):
     """Ids that stay if every pair that shares a variant is verified on all bits."""
-    prints = {r["doc_id"]: [p & (1 << 64) - 1 for p in simhash.fingerprint(r["text"], 5, 4)] for r in rows}
-    limit = int(np.arccos(1.6 / 1.8) / np.pi * 256)
-    cuts = [0, 21, 43, 64]
+    prints = {r["doc_id"]: [p & (1 << 64) - 1 for p in simhash.fingerprint(r["text"], 5, 8)] for r in rows}
+    limit = int(np.arccos(1.6 / 1.8) / np.pi * 512)
+    cuts = [0, 32, 64]
     links = []
     ids = sorted(prints)
     for i, a in enumerate(ids):
