@@ -1,11 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items meet the corpus in blocks of at most ``BLOCK_WORDS`` words, the bound of what is sent to the
-tasks. For each block the corpus is read twice. First every n-gram of the items gets its document
-frequency over all documents. Each item's rarest n-grams become its seeds: by rank within the item, so an item
-that a third of all documents hold still has its seeds. Then the seeds that occur in a document tie
+tasks. Every n-gram of an item is a seed, so a copy is found from whatever n-gram of it is left: which ones an
+edited or partial copy keeps cannot be told beforehand. The seeds that occur in a document tie
 it to items, and a local alignment of the item's words with the document around its seeds scores the copy.
-Texts are never shuffled.
+An exact bound (shared words) spares most alignments that a common n-gram asks for. Texts are never shuffled.
+
+A caller may limit the seeds to each item's rarest; only then the corpus is read once more, for the document frequencies.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import WORD_TABLE, words_of, written
 
-#: Words per seed, seeds per item (all that tie with the last are seeds too), least similarity of a copy.
-GRAM, SEEDS, SIMILARITY = 3, 48, 0.5
+#: Words per seed, least similarity of a copy.
+GRAM, SIMILARITY = 3, 0.5
 #: Alignment scores: equal words, unequal words, a word left out on either side.
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 500_000
 #: Characters of texts that are worked on at a time, or one longer text.
 GROUP_CHARS = 1_000_000
+#: Seeds found in texts that are worked on at a time, or those of one text.
+GROUP_HITS = 1_000_000
 
 LINKS = "doc_id long, item_id long, similarity double, first_word int, last_word int"
 
@@ -91,16 +94,22 @@ class Items:
 
 
 class Matcher:
-    """Finds copies of a block's items in a text."""
+    """Finds copies of a block's items in a text.
+
+    With ``frequency`` and ``seeds`` only each item's ``seeds`` rarest n-grams that some document holds are looked for, and all that tie with the last.
+    """
 
-    def __init__(self, items: Items, frequency: np.ndarray, seeds: int, similarity: float):
+    def __init__(self, items: Items, similarity: float, frequency: np.ndarray | None = None, seeds: int | None = None):
         self.items, self.similarity = items, similarity
         entries = []
         for n, codes in enumerate(items.at):
-            if len(codes):
-                known = np.sort(frequency[np.unique(codes)])
-                limit = known[min(seeds, len(known)) - 1]
-                entries += [(c, n, p) for p, c in enumerate(codes.tolist()) if frequency[c] <= limit]
+            taken = np.ones(len(codes), bool)
+            if seeds is not None:
+                known = frequency[np.unique(codes)]
+                known = np.sort(known[known > 0])
+                limit = known[min(seeds, len(known)) - 1] if len(known) else 0
+                taken = frequency[codes] <= limit
+            entries += [(c, n, p) for p, c in enumerate(codes.tolist()) if taken[p]]
         entries.sort()
         self.present = np.zeros(items.base, bool)
         self.code, self.item, self.place = (np.array([e[k] for e in entries], np.int64) for k in range(3))
@@ -110,7 +119,20 @@ class Matcher:
         numbers, bounds = self.items.numbers(texts)
         code, at = self.items._grams(numbers)
         low, high = np.searchsorted(self.code, code), np.searchsorted(self.code, code, side="right")
-        hit = np.repeat(np.arange(len(code)), high - low)
+        order = np.argsort(at, kind="stable")
+        at, low, high = at[order], low[order], high[order]
+        hits = np.append(0, np.cumsum(high - low))[np.searchsorted(at, bounds)]  # before each text
+        out, first = [], 0
+        while first < len(texts):
+            stop = max(first + 1, int(np.searchsorted(hits, hits[first] + GROUP_HITS, side="right")) - 1)
+            part = slice(*np.searchsorted(at, bounds[[first, min(stop, len(texts))]]))
+            out += self._copies(numbers, bounds, at[part], low[part], high[part])
+            first = stop
+        return out
+
+    def _copies(self, numbers: np.ndarray, bounds: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple[int, int, float, int, int]]:
+        """The copies in those texts whose n-grams stand ``at`` these places; the seeds equal to each are ``low`` to ``high``."""
+        hit = np.repeat(np.arange(len(at)), high - low)
         if not len(hit):
             return []
         entry = np.arange(len(hit)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[hit]
@@ -218,14 +240,15 @@ def frequencies(docs: DataFrame, items: Items) -> np.ndarray:
     return out
 
 
-def matchers(docs: DataFrame, benchmark: DataFrame, gram: int, seeds: int, similarity: float) -> Iterator[Matcher]:
+def matchers(docs: DataFrame, benchmark: DataFrame, gram: int, seeds: int | None, similarity: float) -> Iterator[Matcher]:
     for items in item_blocks(benchmark, gram):
-        yield Matcher(items, frequencies(docs, items), seeds, similarity)
+        yield Matcher(items, similarity, None if seeds is None else frequencies(docs, items), seeds)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, seeds: int = SEEDS, similarity: float = SIMILARITY) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, seeds: int | None = None, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, similarity, first_word, last_word: each document and test item it holds a copy of.
 
+    With ``seeds`` only each item's rarest n-grams are looked for, which can miss edited and partial copies.
     Similarity is the best local alignment's score over that of a whole, exact copy. Items of fewer than ``gram`` words
     take no part. A null text is empty; repeated documents and repeated items give a row each; a null id stays null; empty
     tables give no rows; other columns are ignored.
@@ -250,7 +273,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, seeds: i
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], LINKS)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, seeds: int = SEEDS, similarity: float = SIMILARITY) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, seeds: int | None = None, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without a copy of any test item, with the columns of ``docs``; same rules as :func:`find_leaks`."""
     spark = docs.sparkSession
     place = docs.columns.index("text")

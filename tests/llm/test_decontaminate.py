@@ -108,3 +108,28 @@ def test_empty_tables(spark):
     assert dc.find_leaks(docs, items).collect() == []
     assert dc.find_leaks(docs, spark.createDataFrame([(1, "some words of an item", "")], ITEMS)).collect() == []
     assert dc.drop_leaks(spark.createDataFrame([(1, "t", "", "")], DOCS), items).count() == 1
+
+
+def test_long_items_edited_and_partial_copies(spark, monkeypatch):
+    """Copies that keep few of an item's n-grams, alone in the corpus and next to an exact copy."""
+    monkeypatch.setattr(dc, "GROUP_HITS", 50)
+    rng = random.Random(11)
+    cases = [(100, 6, 1.0), (80, 4, 1.0), (150, 8, 1.0), (200, 8, 1.0), (200, 0, 0.6), (300, 5, 0.9)]
+    items, docs = [], []
+    for n, (size, every, share) in enumerate(cases * 2):
+        words = ["w%d" % rng.randrange(2000) for _ in range(size)]
+        copy = ["edit" if every and k % every == every - 1 else w for k, w in enumerate(words)][: int(size * share)]
+        around = [["v%d" % rng.randrange(2000) for _ in range(50)] for _ in range(2)]
+        items.append((n, " ".join(words), ""))
+        docs.append((n, " ".join(around[0] + copy + around[1]), "", ""))
+        if n >= len(cases):
+            docs.append((100 + n, " ".join(words), "", ""))
+    want = set()
+    for d, t, *_ in docs:
+        for i, s, _ in items:
+            score, *_ = dc.align(*(np.array([int(w[1:]) + 1 if w[0] == "w" else -1 for w in x.split()]) for x in (t, s)))
+            if score >= len(s.split()):
+                want.add((d, i, score / 2 / len(s.split())))
+    assert {w[:2] for w in want} == {(d[0], d[0] % 100) for d in docs}
+    got = dc.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert {(r["doc_id"], r["item_id"], r["similarity"]) for r in got} == want
