@@ -117,3 +117,28 @@ def test_whole_table(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     got = QUERIES["op3_simhash_groups"](spark, sf).select("doc_id", "fingerprint", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def exact_first(rows):
+    """Ids that stay if all pairs are compared by exact Jaccard similarity of five-word shingles."""
+    sets = {}
+    for d, t in rows:
+        words = t.split()
+        sets[d] = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    ids = sorted(sets)
+    links = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    return {d for d, root in closure(links, ids).items() if d == root}
+
+
+def kept_ids(spark, rows):
+    df = spark.createDataFrame([(d, t, "r", "k", None) for d, t in rows], SCHEMA)
+    return {r[0] for r in simhash.drop_near_duplicates(df).select("doc_id").collect()}
+
+
+def test_pairs_at_the_least_similarity_are_found(spark):
+    """Sets of 200 shingles that share 178: similarity 178 / 222 = 0.802."""
+    rows = []
+    for g in range(40):
+        words = ["g%dw%d" % (g, k) for k in range(204)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[:182] + ["tail%d" % k for k in range(g * 22, g * 22 + 22)]))]
+    assert kept_ids(spark, rows) == exact_first(rows) == set(range(0, 80, 2))
