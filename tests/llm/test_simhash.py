@@ -142,3 +142,18 @@ def test_pairs_at_the_least_similarity_are_found(spark):
         words = ["g%dw%d" % (g, k) for k in range(204)]
         rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[:182] + ["tail%d" % k for k in range(g * 22, g * 22 + 22)]))]
     assert kept_ids(spark, rows) == exact_first(rows) == set(range(0, 80, 2))
+
+
+def test_copies_in_the_middle_of_a_crowd(spark):
+    """Short texts around one passage, near copies between unrelated first and last ones, and chains."""
+    rng = random.Random(5)
+    passage = ["p%d" % k for k in range(30)]
+    rows = []
+    for d in range(300):
+        if d % 3 or not rows:
+            words = passage + ["v%d" % rng.randrange(10**6) for _ in range(rng.randrange(3, 25))]
+        else:
+            words = rng.choice(rows)[1].split()
+            words = words[: len(words) - rng.randrange(4)] + ["e%d" % rng.randrange(10**6) for _ in range(rng.randrange(4))]
+        rows.append((d, " ".join(words)))
+    assert kept_ids(spark, rows) == exact_first(rows)
