@@ -157,3 +157,14 @@ def test_copies_in_the_middle_of_a_crowd(spark):
             words = words[: len(words) - rng.randrange(4)] + ["e%d" % rng.randrange(10**6) for _ in range(rng.randrange(4))]
         rows.append((d, " ".join(words)))
     assert kept_ids(spark, rows) == exact_first(rows)
+
+
+def test_the_threshold_is_exact(spark):
+    """Pairs just below the similarity stay, just above they go: sets of 200 that share 177 (0.794) or 178 (0.802)."""
+    rows = []
+    for g in range(60):
+        words = ["h%dw%d" % (g, k) for k in range(204)]
+        shared = 177 + g % 2
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[: shared + 4] + ["t%dx%d" % (g, k) for k in range(200 - shared)]))]
+    want = {2 * g for g in range(60)} | {2 * g + 1 for g in range(0, 60, 2)}
+    assert kept_ids(spark, rows) == exact_first(rows) == want
