@@ -85,3 +85,43 @@ select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_a
        coalesce(spans, '') as spans, coalesce(n_owned, 0) as n_owned, coalesce(n_single_owner, 0) as n_single_owner, coalesce(n_copied, 0) as n_copied
 from d left join g using (doc_id)
 """
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SEARCH_TERMS = r"regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLES["op12_ranked_search"] = f"""
+with d as (select doc_id, {_SEARCH_TERMS} as terms from documents where text is not null),
+h as (select doc_id, cast(len(terms) as bigint) as n, terms from d where len(terms) > 0),
+g as (select cast(count(*) as bigint) as nn, cast(sum(n) as bigint) as ll from h),
+q as (select distinct item_id, unnest({_SEARCH_TERMS}) as term from benchmark where text is not null),
+v as (select distinct term from q),
+p as (select doc_id, n, term, cast(count(*) as bigint) as tf from (select doc_id, n, unnest(terms) as term from h) semi join v using (term) group by all),
+w as (select term, cast(floor(1000 * ln((2 * max(nn) + 2) / (2 * count(*) + 1))) as bigint) as w from p, g group by term),
+s as (select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll)))) as bigint) as score
+      from q join w using (term) join p using (term), g group by all),
+r as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from s where score > 0)
+select * from r where rank <= 50
+"""
+
+_AUDIT_TERMS = r"regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLES["op13_source_divergence"] = f"""
+with d as (select row_number() over () as id, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+t as (select id, lang, source, term, count(*) as n from (select id, lang, source, unnest({_AUDIT_TERMS}) as term from d) group by all),
+k as (select lang, term, sum(n) as total from t group by lang, term having count(*) >= 10),
+c as (select lang, source, term, sum(n) as n from t join k using (lang, term) group by all),
+gr as (select distinct lang, source from d),
+kl as (select lang, count(*) as v, sum(total) as total from k group by lang),
+gs as (select gr.lang, gr.source, coalesce(kl.v, 0) as v, coalesce(kl.total, 0) as ltotal, coalesce((select sum(n) from c where c.lang = gr.lang and c.source = gr.source), 0) as total
+       from gr left join kl on kl.lang = gr.lang),
+p as (select gs.lang, gs.source, k.term, coalesce(c.n, 0) as n,
+             cast(1 + (cast(1000000000 as hugeint) * (coalesce(c.n, 0) + 2)) // (gs.total + 2 * gs.v) as bigint) as p,
+             cast(1 + (cast(1000000000 as hugeint) * (k.total + 2)) // (gs.ltotal + 2 * gs.v) as bigint) as q
+      from gs join k on k.lang = gs.lang left join c on c.lang = gs.lang and c.source = gs.source and c.term = k.term),
+x as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+      from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(x.value, 0) as bigint) as value
+          from gr a join gr b on a.lang = b.lang and a.source <> b.source left join x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, (p - q) * (p - q) // (p + q) as value from p where n > 0 and p > q),
+r as (select *, cast(row_number() over (partition by lang, source, part order by value desc, encode(item)) as integer) as rank
+      from (select * from pairs union all select * from terms))
+select lang, source, part, item, cast(value as bigint) as value, rank from r where part = 'pair' or rank <= 10
+"""

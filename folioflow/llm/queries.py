@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioflow.llm import decontaminate, html_crf, line_chunks, mixing, secrets, simhash, suffix_dedup, tokens, topk, toxicity
+from folioflow.llm import (
+    decontaminate,
+    divergence,
+    html_crf,
+    language_id,
+    line_chunks,
+    mixing,
+    ranked_search,
+    secrets,
+    simhash,
+    suffix_dedup,
+    tokens,
+    topk,
+    toxicity,
+)
 from folioflow.llm.common import table
 
 
@@ -50,6 +64,19 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False).drop("kept")
 
 
+def op11_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs, ~language_id.held_out(docs)))
+
+
+def op12_ranked_search(spark, sf_dir):
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_source_divergence(spark, sf_dir):
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -63,5 +90,8 @@ QUERIES = {
         op8_mix_sources,
         op9_line_chunks,
         op10_suffix_dedup,
+        op11_language_id,
+        op12_ranked_search,
+        op13_source_divergence,
     )
 }

@@ -17,6 +17,9 @@ COLUMNS = {
     6: "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
     8: "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     10: "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    11: "doc_id bigint, held_out boolean, lang_pred string, score double",
+    12: "item_id bigint, rank int, doc_id bigint, score bigint",
+    13: "lang string, source string, part string, item string, value bigint, rank int",
 }
 
 
