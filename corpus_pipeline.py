@@ -18,8 +18,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
-    return simhash.drop_near_duplicates(docs, size=5, similarity=0.8)
+    """The first document of every group that SimHash links: three-word shingles, fingerprints within two bits."""
+    return simhash.drop_near_duplicates(docs, size=3)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,14 +7,12 @@ variant. Rows meet by equality of (segment, position, value) and are verified by
 
 Nothing is paired within a large bucket. The aggregate that finds a bucket carries its size and its
 smallest and largest member, so a bucket of two is one pair. For larger ones see
-:func:`exact_links` (exact, at most 65 rows per fingerprint). :func:`near_duplicates` needs no
-fingerprints: it joins shingle sets exactly.
+:func:`exact_links` (exact, at most 65 rows per fingerprint).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
 from itertools import islice
 
 import numpy as np
@@ -28,10 +26,6 @@ from folioflow.llm.graph import components
 BITS = 64
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
 STEP = 1 << 15
-#: Texts whose common shingles set the order of all, shingles kept of them, texts whose shingle sets are in memory at a time.
-SAMPLE, COMMON, ROWS = 4000, 100_000, 256
-#: Fixed odd multipliers that turn one hash into independent ones for further fingerprints.
-MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 def _hashes(text: str, size: int) -> Iterator[np.ndarray]:
@@ -46,36 +40,24 @@ def _hashes(text: str, size: int) -> Iterator[np.ndarray]:
         yield part
 
 
-def _remixed(h: np.ndarray, n: int) -> np.ndarray:
-    """The n-th family of hashes made from the first."""
-    if n == 0:
-        return h
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(MIX[0]) + np.uint64(n * MIX[1] & (1 << 64) - 1)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(MIX[2])
-    return h ^ (h >> np.uint64(32))
-
-
-def fingerprint(text: str, size: int = 3, count: int = 1) -> list[int]:
-    """``count`` fingerprints as signed longs: a bit is 1 if set in over half of the hashes; no words: zero."""
-    ones, total = np.zeros((count, BITS), np.int64), 0
+def fingerprint(text: str, size: int = 3) -> int:
+    """The fingerprint as a signed long: a bit is 1 if set in over half of the hashes; no words: zero."""
+    ones, total = np.zeros(BITS, np.int64), 0
     for h in _hashes(text, size):
         total += len(h)
-        for n in range(count):
-            ones[n] += np.unpackbits(_remixed(h, n).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > total, axis=1, bitorder="little").view("<i8").ravel().tolist()
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > total, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3, count: int = 1, key: str = "doc_id") -> DataFrame:
-    """(key, f0 .. f<count - 1>) per row; a null text is empty."""
-    names = [f"f{n}" for n in range(count)]
+def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
+    """(doc_id, value) per row; a null text is empty."""
 
     def scan(batches):
         for batch in batches:
-            prints = np.array([fingerprint(t or "", size, count) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, count)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(prints[:, n]) for n in range(count))], names=[key, *names])
+            values = [fingerprint(t.as_py() or "", size) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "value"])
 
-    rows = docs.select(F.col(key).cast("long").alias(key), "text")
-    return rows.mapInArrow(scan, f"{key} long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, value long")
 
 
 def variants(value: Column, segments: int) -> Column:
@@ -130,140 +112,24 @@ def near_fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     a null doc_id keeps its row and never is a component id; an empty table gives no rows; other columns are ignored.
     """
     prints = written(fingerprints(docs, size), "simhash")
-    nodes = written(prints.groupBy(F.col("f0").alias("value")).agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    nodes = written(prints.groupBy("value").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     roots = components(exact_links(nodes))
     placed = nodes.join(roots, nodes["value"] == roots["node"], "left").select("value", "first", F.coalesce("root", "value").alias("root"))
     placed = written(placed, "simhash-roots")
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     placed = placed.join(smallest, "root").select("value", "component_id")
-    text = F.lpad(F.lower(F.hex("f0")), 16, "0")
-    return prints.join(placed, prints["f0"] == placed["value"]).select("doc_id", text.alias("fingerprint"), "component_id")
-
-
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(_key, root) of every document, root being the first document of its group of near-duplicates.
-
-    Two documents link if the Jaccard similarity of their sets of ``size``-word shingles is ``similarity`` or more, and links
-    chain: exactly these groups come out (up to collisions of 64-bit shingle hashes). ``_key`` is that of
-    :func:`folioflow.llm.common.keyed_documents`.
-
-    Shingles are put in one order for all texts, rare ones first. Of a set of n, a similar one holds at least
-    ``similarity * n``, so the two share one of the first ``n - similarity * n + 1`` of either: its prefix. Sets meet
-    by equality of a prefix shingle, equal sets being one node. All members of a bucket are compared with its first and its last.
-    What that leaves in several groups is compared pair by pair across them, unless sizes or places in the order rule the pair out.
-    """
-    return _groups(keyed_documents(docs)[1], size, similarity)
-
-
-def _common(single: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, weights) of the ``COMMON`` commonest shingles of a sample of texts. They only order shingles: any order gives the same groups."""
-    every = max(1, single.count() // SAMPLE)
-    sample = single.filter(F.pmod(F.xxhash64("_key"), F.lit(every)) == 0)
-    seen = _sets(sample, size).select(F.explode("shingles").alias("h")).groupBy("h").count().filter("count > 1")
-    rows = seen.orderBy(F.col("count").desc(), "h").limit(COMMON).collect()
-    hashes, weights = (np.array([r[k] for r in rows], np.int64) for k in range(2))
-    order = np.argsort(hashes)
-    return hashes[order], weights[order]
-
-
-def _set(text: str | None, size: int) -> np.ndarray:
-    """Hashes of a text's distinct shingles in ascending order."""
-    return np.unique(np.concatenate([np.zeros(0, np.int64), *(np.unique(h).view(np.int64) for h in _hashes(text or "", size))]))
-
-
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of ``docs`` (_key, text)."""
-
-    def scan(batches):
-        for batch in batches:
-            for part in (batch.slice(k, ROWS) for k in range(0, batch.num_rows, ROWS)):
-                sets = pa.array([_set(t, size) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["node", "shingles"])
-
-    return docs.select(F.col("_key").cast("long").alias("_key"), "text").mapInArrow(scan, "node long, shingles array<long>")
-
-
-def _prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(_key, digest, n, tokens): digest and size of each text's shingle set, and its prefix."""
-    sent = docs.sparkSession.sparkContext.broadcast(_common(docs, size))
-
-    def prefix(found):
-        hashes, weights = sent.value
-        weight = np.zeros(len(found), np.int64)
-        if len(hashes):
-            place = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-            weight = np.where(hashes[place] == found, weights[place], 0)
-        return found[np.lexsort((found, weight))[: len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1]]
-
-    def scan(batches):
-        names = ["_key", "digest", "n", "tokens"]
-        for batch in batches:
-            for part in (batch.slice(k, ROWS) for k in range(0, batch.num_rows, ROWS)):
-                sets = [_set(t, size) for t in part.column(1).to_pylist()]
-                digests = pa.array([sha256(x.tobytes()).digest() for x in sets], pa.binary())
-                sizes = pa.array([len(x) for x in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), digests, sizes, pa.array(map(prefix, sets), pa.list_(pa.int64()))], names=names)
-
-    rows = docs.select(F.col("_key").cast("long").alias("_key"), "text")
-    return rows.mapInArrow(scan, "_key long, digest binary, n long, tokens array<long>")
-
-
-def _reach(n: Column, at: Column, other_n: Column, other_at: Column, similarity: float) -> Column:
-    """Whether sets of these sizes can be similar if what they share begins at these places. A similar pair passes where that is so; elsewhere it may not."""
-    return F.least(n - at, other_n - other_at) * (1 + similarity) >= similarity * (n + other_n) - 1e-6
-
-
-def _similar(pairs: DataFrame, single: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose shingle sets have the similarity: counted, not estimated."""
-    pairs = written(pairs.distinct(), "near-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
-    sets = written(_sets(single.join(needed, "_key", "left_semi"), size), "near-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return written(both.filter(shared * (1 + similarity) >= similarity * (F.size("x") + F.size("y")) - 1e-6).select("a", "b"), "near-links")
-
-
-def _groups(single: DataFrame, size: int, similarity: float) -> DataFrame:
-    prints = written(_prefixes(single, size, similarity), "near-prefixes")
-    first = written(prints.groupBy("digest").agg(F.min("_key").alias("node")), "near-nodes")
-    nodes = prints.join(first.select(F.col("node").alias("_key")), "_key", "left_semi")
-    index = nodes.select(F.col("_key").alias("node"), "n", F.posexplode("tokens").alias("at", "token"))
-    end = F.struct("node", "n", "at")
-    buckets = index.groupBy("token").agg(F.count("*").alias("size"), F.min(end).alias("lo"), F.max(end).alias("hi")).filter("size > 1")
-    members = written(index.join(buckets, "token"), "near-members")
-
-    def ends(name):
-        near = _reach(F.col("n"), F.col("at"), F.col(f"{name}.n"), F.col(f"{name}.at"), similarity)
-        lo, hi = F.least("node", f"{name}.node"), F.greatest("node", f"{name}.node")
-        return members.filter((F.col("node") != F.col(f"{name}.node")) & near).select(hi.alias("a"), lo.alias("b"))
-
-    links = _similar(ends("lo").unionByName(ends("hi")), single, size, similarity)
-    roots = written(components(links), "near-roots")
-    placed = members.join(roots, "node", "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("root"))
-    placed = written(placed, "near-placed")
-    split = placed.groupBy("token")
-    split = split.agg(F.mode("root").alias("main"), F.min("root").alias("one"), F.max("root").alias("other"), F.count("*").alias("size"))
-    split = split.filter("one <> other and size > 2")
-    rest = written(placed.join(split.select("token", "main"), "token"), "near-rest")
-    # pairs inside a group are linked already; of two in different groups at least one is outside the bucket's main one
-    left = rest.filter("root <> main").select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "at", "root")])
-    across = (F.col("root") != F.col("_root")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("_node")))
-    across &= _reach(F.col("n"), F.col("at"), F.col("_n"), F.col("_at"), similarity)
-    more = left.join(rest, "token").filter(across).select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b"))
-    roots = components(links.unionByName(_similar(more, single, size, similarity)))
-    members = prints.select("_key", "digest").join(first, "digest").select("_key", "node")
-    return members.join(roots, "node", "left").select("_key", F.coalesce("root", "node").alias("root"))
+    text = F.lpad(F.lower(F.hex("value")), 16, "0")
+    return prints.join(placed, "value").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The first document (smallest doc_id) of every group, with the columns of ``docs``; parameters as above.
+def drop_near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
+    """The first document (smallest doc_id, a null one last) of every group of :func:`near_fingerprints`, with the columns of ``docs``.
 
-    Rows that repeat both id and text are one document and leave one row. Texts without words, null ones
-    included, are no copies of one another and all stay. An empty table gives no rows.
+    Rows that repeat both id and text are one document and leave one row. Texts without words, null ones included, share a
+    fingerprint like any others and leave one document. An empty table gives no rows.
     """
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"], docs["text"])
     single = keyed_documents(rows, "row")[1]
-    gone = _groups(single, size, similarity).filter("_key <> root").select("_key", F.lit(True).alias("_gone"))
-    wordless = ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return single.join(gone, "_key", "left").filter(F.col("_gone").isNull() | wordless).select("row.*")
+    groups = near_fingerprints(single.select(F.col("_key").alias("doc_id"), "text"), size)
+    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_key"))
+    return single.join(first, "_key", "left_semi").select("row.*")

@@ -2,28 +2,15 @@
 
 from collections import Counter
 
-import numpy as np
-
 import corpus_pipeline
-from folioflow.llm import decontaminate, mixing, simhash, toxicity
-from test_simhash import closure
+from folioflow.llm import decontaminate, mixing, toxicity
+from test_simhash import brute as groups_of_all_pairs
 from test_tokens import brute as plain_tokens
 
 
 def without_copies(rows):
-    """Ids that stay if every pair that shares a variant is verified on all bits."""
-    prints = {r["doc_id"]: [p & (1 << 64) - 1 for p in simhash.fingerprint(r["text"], 5, 8)] for r in rows}
-    limit = int(np.arccos(1.6 / 1.8) / np.pi * 512)
-    cuts = [0, 32, 64]
-    links = []
-    ids = sorted(prints)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            bits = [x ^ y for x, y in zip(prints[a], prints[b], strict=True)]
-            if sum(x.bit_count() for x in bits) <= limit:
-                near = any((x >> s & (1 << e - s) - 1).bit_count() <= 1 for x in bits for s, e in zip(cuts, cuts[1:], strict=False))
-                links += [(a, b)] if near else []
-    return {d for d, root in closure(links, ids).items() if d == root}
+    """Ids that stay if all pairs of fingerprints are compared."""
+    return {d for d, _, component in groups_of_all_pairs(rows) if d == component}
 
 
 def test_stages(spark, sf):
@@ -40,7 +27,7 @@ def test_stages(spark, sf):
             model = toxicity.fit(spark.createDataFrame(before), labels)
             assert {r["doc_id"] for r in seen[name]} == {r["doc_id"] for r in before if model.score(r["text"]) < 0.5}
         if name == "near_duplicates":
-            assert {r["doc_id"] for r in seen[name]} == without_copies(before)
+            assert {r["doc_id"] for r in seen[name]} == without_copies([(r["doc_id"], r["text"]) for r in before])
         if name == "decontamination":
             leaking = {r["doc_id"] for r in decontaminate.find_leaks(spark.createDataFrame(before), benchmark).collect()}
             assert leaking and {r["doc_id"] for r in seen[name]} == {r["doc_id"] for r in before} - leaking

@@ -94,21 +94,24 @@ def test_small_tables(spark, rows):
 
 def test_first_of_each_group_stays(spark):
     rng = random.Random(9)
-    words = lambda n: ["w%d" % rng.randrange(5000) for _ in range(n)]
-    rows, want = [], set()
+    rows = []
     for g in range(30):
-        text = words(300)
-        want.add(g * 10)
+        text = ["w%d" % rng.randrange(5000) for _ in range(300)]
         rows.append((g * 10, " ".join(text), "r", "k", None))
-        for c in range(1, 5):
+        for c in range(1, 6):
             copy = list(text)
-            if c > 1:
+            if c > 2:
                 copy[rng.randrange(300)] = "edit"
-            rows.append((g * 10 + c, " ".join(copy), "r", "k", None))
-    rows += [(1001, "", "", "", ""), (1002, None, "", "", ""), (1003, "short text", "", "", ""), (1003, "short text", "", "", "")]
-    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA))
+            rows.append((g * 10 + c, "\t".join(copy).upper(), "r", "k", None))
+    rows += [(1001, "", "", "", ""), (1002, None, "", "", ""), (1003, "short text", "", "", "")]
+    rows += [(1004, "word " * 200_000, "", "", ""), (1005, "WORD " * 199_000, "", "", "")]
+    want = [d for d, _, component in brute(rows) if d == component]
+    assert {g * 10 for g in range(30)} | {1001, 1003, 1004} <= set(want) and 60 < len(want) < 180
+    # rows without an id come after all others; a repeated row is one document
+    extra = [(None, "no id", "", "", ""), (None, "short text", "", "", ""), rows[-3]]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows + extra, SCHEMA))
     assert kept.columns == [c.split()[0] for c in SCHEMA.split(", ")]
-    assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(want | {1001, 1002, 1003})
+    assert sorted((r[0] for r in kept.select("doc_id").collect()), key=str) == sorted([*want, None], key=str)
 
 
 def test_whole_table(spark, sf):
@@ -117,54 +120,3 @@ def test_whole_table(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     got = QUERIES["op3_simhash_groups"](spark, sf).select("doc_id", "fingerprint", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
-
-
-def exact_first(rows):
-    """Ids that stay if all pairs are compared by exact Jaccard similarity of five-word shingles."""
-    sets = {}
-    for d, t in rows:
-        words = t.split()
-        sets[d] = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
-    ids = sorted(sets)
-    links = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
-    return {d for d, root in closure(links, ids).items() if d == root}
-
-
-def kept_ids(spark, rows):
-    df = spark.createDataFrame([(d, t, "r", "k", None) for d, t in rows], SCHEMA)
-    return {r[0] for r in simhash.drop_near_duplicates(df).select("doc_id").collect()}
-
-
-def test_pairs_at_the_least_similarity_are_found(spark):
-    """Sets of 200 shingles that share 178: similarity 178 / 222 = 0.802."""
-    rows = []
-    for g in range(40):
-        words = ["g%dw%d" % (g, k) for k in range(204)]
-        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[:182] + ["tail%d" % k for k in range(g * 22, g * 22 + 22)]))]
-    assert kept_ids(spark, rows) == exact_first(rows) == set(range(0, 80, 2))
-
-
-def test_copies_in_the_middle_of_a_crowd(spark):
-    """Short texts around one passage, near copies between unrelated first and last ones, and chains."""
-    rng = random.Random(5)
-    passage = ["p%d" % k for k in range(30)]
-    rows = []
-    for d in range(300):
-        if d % 3 or not rows:
-            words = passage + ["v%d" % rng.randrange(10**6) for _ in range(rng.randrange(3, 25))]
-        else:
-            words = rng.choice(rows)[1].split()
-            words = words[: len(words) - rng.randrange(4)] + ["e%d" % rng.randrange(10**6) for _ in range(rng.randrange(4))]
-        rows.append((d, " ".join(words)))
-    assert kept_ids(spark, rows) == exact_first(rows)
-
-
-def test_the_threshold_is_exact(spark):
-    """Pairs just below the similarity stay, just above they go: sets of 200 that share 177 (0.794) or 178 (0.802)."""
-    rows = []
-    for g in range(60):
-        words = ["h%dw%d" % (g, k) for k in range(204)]
-        shared = 177 + g % 2
-        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[: shared + 4] + ["t%dx%d" % (g, k) for k in range(200 - shared)]))]
-    want = {2 * g for g in range(60)} | {2 * g + 1 for g in range(0, 60, 2)}
-    assert kept_ids(spark, rows) == exact_first(rows) == want
