@@ -43,7 +43,7 @@ FILE_SEQUENCES = 65_536
 #: Entries of a worker's memo of encoded words (some 200 bytes each); in two generations.
 MEMO = 1_000_000
 #: Characters encoded in one call, or one longer text.
-CALL_CHARS = 1_000_000
+CALL_CHARS = 4_000_000
 
 #: Punctuation that is cut off a word of letters; letters from this character on are left to the tokenizer.
 ENDINGS, OTHER_SCRIPTS = string.punctuation, "\u0250"
@@ -219,12 +219,6 @@ def _groups(batches) -> Iterator[tuple[list[int | None], list[str]]]:
         yield ids, texts
 
 
-@cache
-def worker_encoder(path: str, end_id: int) -> Encoder:
-    """One encoder per Python worker, so that the memo lasts over its tasks."""
-    return Encoder(path, end_id)
-
-
 def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if re.match(r"\w+:", path) else (fs.LocalFileSystem(), path)
 
