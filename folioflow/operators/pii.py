@@ -140,7 +140,7 @@ DETECTORS = (
 
 _SPAN = "struct<text:string,start:int,stop:int>"
 _FINDING = "struct<category:string,count:bigint,examples:array<string>>"
-_OFFSET_BLOCK = 512
+_OFFSET_BLOCK = 64
 
 
 def _none(kind: str) -> Sql:
@@ -173,27 +173,29 @@ def _matches(detectors: tuple[Detector, ...], text: Sql, folded: Sql) -> Sql:
 def _spans(matches: Sql, gaps: Sql) -> Sql:
     """Candidate strings with positions, from the text between them.
 
-    Match ``i`` starts after gaps ``0..i`` and matches ``0..i-1``. The running
-    position is carried in blocks so that a text with very many matches does not
-    copy an ever longer array.
+    Match ``i`` ends after gaps and matches ``0..i``. These sums are carried in blocks:
+    an aggregate copies what it carries at every step, so blocks are short and hold numbers only.
     """
-    pieces = f"zip_with({matches}, slice({gaps}, 1, size({matches})), (m, g) -> {struct(m='m', g='g')})"
+    sizes = f"zip_with({matches}, slice({gaps}, 1, size({matches})), (m, g) -> length(g) + length(m))"
 
-    def walk(block: Sql, base: Sql) -> Sql:
-        zero = struct(at=base, spans=_none(_SPAN))
-        start = "s.at + length(p.g)"
-        span = struct(text="p.m", start=start, stop=f"{start} + length(p.m)")
-        step = struct(at=f"{start} + length(p.m)", spans=f"concat(s.spans, array({span}))")
-        return f"aggregate({block}, {zero}, (s, p) -> {step}, s -> s.spans)"
+    def ends(every: Sql) -> Sql:
+        firsts = f"sequence(1, size({every}), {_OFFSET_BLOCK})"
 
-    def numbered(every: Sql) -> Sql:
         def block(first: Sql) -> Sql:
-            before = f"aggregate(slice({every}, 1, {first} - 1), 0, (n, p) -> n + length(p.m) + length(p.g))"
-            return walk(f"slice({every}, {first}, {_OFFSET_BLOCK})", before)
+            return f"slice({every}, {first}, {_OFFSET_BLOCK})"
 
-        return f"flatten({each('transform', f'sequence(1, size({every}), {_OFFSET_BLOCK})', block)})"
+        def walked(totals: Sql) -> Sql:
+            def walk(first: Sql) -> Sql:
+                before = f"aggregate(slice({totals}, 1, ({first} - 1) div {_OFFSET_BLOCK}), 0, (n, t) -> n + t)"
+                step = struct(at="s.at + n", ends="concat(s.ends, array(s.at + n))")
+                return f"aggregate({block(first)}, {struct(at=before, ends=_none('int'))}, (s, n) -> {step}, s -> s.ends)"
 
-    return f"case when size({matches}) = 0 then {_none(_SPAN)} else {let(pieces, numbered)} end"
+            return f"flatten({each('transform', firsts, walk)})"
+
+        return let(each("transform", firsts, lambda first: f"aggregate({block(first)}, 0, (n, x) -> n + x)"), walked)
+
+    spans = f"zip_with({matches}, {let(sizes, ends)}, (m, stop) -> {struct(text='m', start='stop - length(m)', stop='stop')})"
+    return f"case when size({matches}) = 0 then {_none(_SPAN)} else {spans} end"
 
 
 def _placed(detector: Detector, matches: Sql, text: Sql) -> Sql:
@@ -235,28 +237,31 @@ def _claims(detectors: tuple[Detector, ...], spans: Sql) -> Sql:
     """Struct of accepted strings per detector.
 
     In priority order, a detector keeps what no stronger one has already taken.
+    What is taken never overlaps, and neither do a detector's own spans, so a span is free
+    if as many taken ones begin before its end as end up to its start. Both are its place in
+    a sorted array: of its detector's ends among taken starts, of its starts among taken ends.
     """
 
-    def free(mine: Sql, claimed: Sql) -> Sql:
-        return each(
-            "filter",
-            mine,
-            lambda s: "not " + each("exists", claimed, lambda c: f"{s}.start < {c}.stop and {s}.stop > {c}.start"),
-        )
-
-    def step(i: int, claimed: Sql, accepted: list[Sql]) -> Sql:
-        if i == len(detectors):
-            return struct(**{f"d{j}": f"{a}.text" for j, a in enumerate(accepted)})
-        mine = f"{spans}.d{i}"
-        kept = mine if claimed == "" else free(mine, claimed)
-
-        def taken(k: Sql) -> Sql:
-            union = k if claimed == "" else f"concat({claimed}, {k})"
-            return let(union, lambda t: step(i + 1, t, [*accepted, k]))
-
-        return let(kept, taken)
-
-    return step(0, "", [])
+    def places(mine: Sql, taken: Sql, odd: int) -> Sql:
+        """Where the numbers ``mine`` (ascending) come among them and ``taken``; of equal ones mine come last if ``odd``, else first."""
+        tagged = f"concat({each('transform', mine, lambda x: f'{x} * 2L + {odd}')}, {each('transform', taken, lambda x: f'{x} * 2L + {1 - odd}')})"
+        at = f"transform(sort_array({tagged}), (x, i) -> case when x % 2 = {odd} then i end)"
+        return each("filter", at, lambda i: f"{i} is not null")
+
+    def free(mine: Sql, taken: Sql) -> Sql:
+        ends, begins = (each("transform", mine, lambda s, f=f: f"{s}.{f}") for f in ("stop", "start"))
+        both = struct(e=places(ends, f"{taken}.starts", 0), b=places(begins, f"{taken}.stops", 1))
+        kept = let(both, lambda p: f"filter({mine}, (s, i) -> {p}.e[i] = {p}.b[i])")
+        return f"case when size({mine}) = 0 or size({taken}.starts) = 0 then {mine} else {kept} end"
+
+    def with_kept(k: Sql) -> Sql:
+        edges = {f"{f}s": f"concat(taken.{f}s, {each('transform', k, lambda s, f=f: f'{s}.{f}')})" for f in ("start", "stop")}
+        return struct(**edges, kept=f"concat(taken.kept, array({k}))")
+
+    zero = struct(starts=_none("int"), stops=_none("int"), kept=_none(f"array<{_SPAN}>"))
+    every = array([f"{spans}.d{i}" for i in range(len(detectors))])
+    claimed = f"aggregate({every}, {zero}, (taken, mine) -> {let(free('mine', 'taken'), with_kept)})"
+    return let(claimed, lambda c: struct(**{f"d{i}": f"{c}.kept[{i}].text" for i in range(len(detectors))}))
 
 
 def _roll_up(detectors: tuple[Detector, ...], accepted: Sql) -> Sql:

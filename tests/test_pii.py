@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -152,3 +153,15 @@ def test_custom_detector(spark):
     df = spark.createDataFrame([("see B-1234",)], "body string")
     found = pii.scan(df, "body", (*pii.DETECTORS, badge)).first().pii.findings
     assert [(f["category"], f["examples"]) for f in found] == [("Badge", ["B-****"])]
+
+
+def test_interleaved_matches_take_linear_time(spark):
+    unit = f"call (628) 555-0147 or r.lindt@post.example.com ssn 417-38-6120 ein 46-7041966 card 4532 7718 0946 2356 route {GOOD_ROUTE} born DOB 09/27/1961. "
+    seconds = {}
+    for n in (70, 700, 14_000):
+        start = time.time()
+        got = rows(spark, [unit * n])[0]
+        seconds[n] = time.time() - start
+        assert [(f["category"], f["count"]) for f in got.findings] == [(d.category, n) for d in pii.DETECTORS]
+    # twenty times the text, a quadratic scan would take four hundred times as long
+    assert seconds[14_000] < 60 * max(seconds[700], 0.2)
