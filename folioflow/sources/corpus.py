@@ -201,9 +201,19 @@ def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).unionByName(staff.selectExpr("2L as kind", "k", f"{CUSTOMER_SQL} as raw", f"{FORM_TITLE_SQL} as title"))
 
 
-def delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Input of the inspection: one row per requested file."""
-    rows = _keyed(spark, sf_dir).withColumn("path", F.expr(f"concat('/inbox/', kind, '/', k, '.', {FILE_TYPE_SQL})"))
+INBOX_SQL = f"concat('/inbox/', kind, '/', k, '.', {FILE_TYPE_SQL})"
+
+
+def inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path and content of the documents that lie in the inbox as files."""
+    docs = _keyed(spark, sf_dir).filter(f"kind = 0 and {DELIVERED_SQL['is_file']}")
+    return docs.selectExpr(f"{INBOX_SQL} as path", "raw as content")
+
+
+def delivered(spark: SparkSession, sf_dir: str, *kinds: int) -> DataFrame:
+    """Input of the inspection: one row per requested file, of these kinds or all."""
+    rows = _keyed(spark, sf_dir).withColumn("path", F.expr(INBOX_SQL))
+    rows = rows.filter(F.col("kind").isin(*kinds)) if kinds else rows
     d = DELIVERED_SQL
     return spread(rows, "path").selectExpr(
         "kind", "k", "k * 3 + kind as seq", "path", f"{d['is_file']} as is_file",

@@ -1,11 +1,11 @@
-"""Intake: requested paths, dropped URI lists, file scans and missing files."""
+"""Intake: requested paths, dropped URI lists and missing files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import basename, extension, lit, trim
+from folioflow.functions.text import extension, lit, trim
 from folioflow.operators.classify import in_list
 from folioflow.rules import SUPPORTED_EXTENSIONS
 
@@ -50,19 +50,6 @@ def dropped_paths(payloads: DataFrame, uri_list: str = "uri_list", seq: str = "s
     return paths.groupBy("path").agg(F.min(order).alias("at")).selectExpr("path", "at.payload as payload", "int(at.line) as line")
 
 
-def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Name, extension, size, time and fingerprint of files; bytes stay on the executors.
-
-    Local files come without their scheme, in the form in which paths are requested.
-    """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
-    return files.withColumn("path", F.expr("regexp_replace(path, '^file:/+', '/')")).selectExpr(
-        "path", f"{basename('path')} as name", f"{extension('path')} as extension", "length as size_bytes",
-        "modificationTime as modified_at", "sha2(content, 256) as sha256",
-    )
-
-
 def with_missing(requested: DataFrame, scanned: DataFrame) -> DataFrame:
     """Requested paths with what the scan found; unseen paths become Error rows."""
     found = scanned.withColumn("is_file", F.lit(True))
