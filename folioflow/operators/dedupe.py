@@ -20,13 +20,13 @@ def fingerprint_counts(df: DataFrame, key: str = "sha256") -> DataFrame:
 
 
 def with_copies(df: DataFrame, key: str = "sha256", row_id: str = "path", hot: int = HOT_KEYS) -> DataFrame:
-    """Append ``copies`` (rows sharing the fingerprint) and ``duplicate`` (more than one)."""
+    """Append ``copies`` (rows sharing the fingerprint) and ``duplicate`` (more than one); a row without a fingerprint is no copy."""
     repeated = fingerprint_counts(df, key).filter("copies > 1")
     heavy = repeated.orderBy(F.desc("copies"), key).limit(hot).select(F.col(key).alias("_hot_key"), F.col("copies").alias("_hot"))
     light = repeated.select(F.col(key).alias("_cold_key"), F.col("copies").alias("_cold"))
     marked = df.join(F.broadcast(heavy), df[key] == F.col("_hot_key"), "left")
-    # Rows already answered get a spread-out key that matches nothing.
-    probe = F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.concat(F.lit("hot:"), F.col(row_id)))
+    # Rows already answered, and rows without a fingerprint, get a spread-out key that matches nothing.
+    probe = F.coalesce(F.when(F.col("_hot").isNull(), F.col(key)), F.concat(F.lit("row:"), F.col(row_id).cast("string")), F.lit("row"))
     joined = marked.withColumn("_probe", probe).join(light, F.col("_probe") == F.col("_cold_key"), "left")
     return joined.select(
         *df.columns, F.coalesce("_hot", "_cold", F.lit(1)).cast("long").alias("copies")

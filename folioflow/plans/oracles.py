@@ -532,12 +532,21 @@ ORACLES: dict[str, str] = {
         " select path, arg_min(payload, (payload, line)) as payload, arg_min(line, (payload, line))::int as line from c group by path"
     ),
     "missing_files": (
-        "with a as (select distinct concat('/store/', event_id % 1500, '.pdf') as path from events),"
+        "with a as (select distinct concat('/store/', event_id, '.pdf') as path from events),"
         " s as (select concat('/store/', doc_id, '.pdf') as path, text from documents)"
         " select path, text is not null as is_file, coalesce(strlen(text), 0) as size_bytes, coalesce(sha256(text), '') as sha256,"
         " case when text is null then 'Error' else 'Metadata only' end as status,"
         " case when text is null then 'Inspection failed: path is not a regular file.' else '' end as note from a left join s using (path)"
     ),
+    "file_scan": "select doc_id || '.pdf' as name, 'PDF' as extension, strlen(text) as size_bytes, sha256(text) as sha256, cast(null as varchar) as error from documents",
+    "file_inspection": (
+        f"with {INSPECTED} select path, split_part(split_part(path, '/', 4), '.', 1)::bigint * 3 as seq, route, status,"
+        " case when route = 'l' then 'Inspection failed: No such file or directory' else note end as note,"
+        " case when route = 'l' then 0 else strlen(text) end as size_bytes, sha256, document_class, sensitivity,"
+        " case when route = 'l' then 'Inspection failed: No such file or directory' else summary end as summary,"
+        " case when route = 'l' then 'Inspection failed: No such file or directory' else extraction_summary end as extraction_summary, total_matches"
+        " from inspected join documents on path like '/inbox/0/%' and split_part(split_part(path, '/', 4), '.', 1)::bigint = doc_id"
+    ),
     "page_preview": (
         f"select doc_id, left({norm('array_to_string(string_split(text, chr(10))[1:2], chr(10))')}, {PREVIEW_CHARS}) as preview_text from documents"
     ),
@@ -598,7 +607,8 @@ ORACLES: dict[str, str] = {
     "queue_review_filter": f"select {_FLAT} from {light(0, 1, 2)} where review_status = 'Needs review'",
     "queue_remove": f"select {_FLAT} from {light(1)}",
     "queue_sorted": f"{_MERGE} select path, seq, row_number() over (order by batch_rank desc, seq) as position from ({_STAGED})",
-    "queue_sort_name": f"select name, path from {light(0, 1, 2)}",
+    # locale order: punctuation before digits, lower case before upper case
+    "queue_sort_name": f"select name, path, row_number() over (order by replace(lower(name), '_', ' '), name desc, seq) as position from {light(0, 1, 2)}",
     "queue_sort_size": f"select {_FLAT}, row_number() over (order by size_bytes desc, seq) as position from {light(0, 1, 2)}",
     "queue_sort_pages": f"select {_FLAT}, row_number() over (order by coalesce(page_count, 0) desc, seq) as position from {light(0, 1, 2)}",
     "queue_search": (

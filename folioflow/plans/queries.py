@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as t
 from folioflow.functions import validators as v
-from folioflow.operators import bind, classify, dedupe, ocr, pii, queue, report, routing, templates
+from folioflow.operators import bind, classify, dedupe, inspection, ocr, pii, queue, report, routing, templates
 from folioflow.rules import TEMPLATES
 from folioflow.session import scratch_dir, spread, stored
 from folioflow.sources import corpus as src
-from folioflow.sources import images, intake, sinks, workspace
+from folioflow.sources import files, images, intake, sinks, workspace
 from folioflow.streaming import intake as stream
+from folioflow.streaming import queue_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 NEEDLE = "  Net 30 "
@@ -93,18 +94,34 @@ def uri_list_paths(spark, sf):
 
 @_query
 def file_scan(spark, sf):
-    return intake.scan_files(spark, sf, "*.parquet").select("name", "extension", "size_bytes", "sha256")
+    root = scratch_dir(spark, "files")
+    docs = src.table(spark, sf, "documents").selectExpr("concat(source, '/', doc_id % 7, '/', doc_id, '.pdf') as path", "text as content")
+    files.write_files(docs, root)
+    return files.scan_files(spark, root).select("name", "extension", "size_bytes", "sha256", "error")
 
 
 @_query
 def missing_files(spark, sf):
-    asked = src.table(spark, sf, "events").selectExpr("concat('/store/', event_id % 1500, '.pdf') as path")
+    asked = src.table(spark, sf, "events").selectExpr("concat('/store/', event_id, '.pdf') as path")
     seen = src.table(spark, sf, "documents").selectExpr(
         "concat('/store/', doc_id, '.pdf') as path", "bigint(octet_length(text)) as size_bytes", "sha2(text, 256) as sha256"
     )
     return intake.with_missing(asked, seen)
 
 
+@_query
+def file_inspection(spark, sf):
+    """Documents lie in a folder as files, but for those that the request names in vain."""
+    root = files.plain(scratch_dir(spark, "inbox"))
+    given = src.delivered(spark, sf, 0).withColumn("path", F.expr(f"concat({t.lit(root)}, path)"))
+    files.write_files(src.inbox(spark, sf), root)
+    found = inspection.inspect_files(given.select("path", "seq"), given)
+    return found.selectExpr(
+        f"substring(path, {len(root) + 1}) as path", "seq", "route", "status", "note", "size_bytes", "sha256", "analysis.document_class",
+        "analysis.sensitivity", "analysis.summary", "extraction.summary as extraction_summary", "pii.total_matches",
+    )
+
+
 @_query
 def page_preview(spark, sf):
     return ocr.text_preview(src.page_lines(spark, sf).drop("text").withColumnRenamed("line", "text"))
@@ -211,8 +228,10 @@ def field_quality(spark, sf):
 
 @_query
 def field_validation(spark, sf):
-    fields = templates.fields_table(_extracted(spark, sf), "path").filter("value <> ''")
-    return fields.selectExpr("path", "key", "value", *[f"{check('value')} as is_{name}" for name, check in v.VALIDATORS.items()])
+    v.register(spark)
+    checks = ", ".join(f"is_{name}(value) as is_{name}" for name in v.VALIDATORS)
+    fields = templates.fields_table(_extracted(spark, sf), "path")
+    return spark.sql(f"select path, key, value, {checks} from {{fields}} where value <> ''", fields=fields)
 
 
 # --- classification ---------------------------------------------------------
@@ -322,7 +341,7 @@ def queue_sorted(spark, sf):
 
 @_query
 def queue_sort_name(spark, sf):
-    return queue.ordered(src.light_queue(spark, sf, 0, 1, 2), "name").select("name", "path")
+    return queue.positions(src.light_queue(spark, sf, 0, 1, 2), "name").select("name", "path", "position")
 
 
 @_query
@@ -491,8 +510,11 @@ def stream_pii(spark, sf):
 @_query
 def stream_duplicates(spark, sf):
     root, schema = _landed(spark, sf, "stream-duplicates")
-    rows = src.describe_documents(stream.arriving(spark, f"{root}/landing", schema, 2))
-    stream.run_duplicate_counts(rows, f"{root}/out", f"{root}/checkpoint")
+    # every document is delivered a second time, and counts once
+    spark.read.parquet(f"{root}/landing").repartition(6, "doc_id").write.mode("append").parquet(f"{root}/landing")
+    arriving = stream.arriving(spark, f"{root}/landing", schema, 4)
+    rows = src.describe_documents(arriving).select("path", "sha256", F.timestamp_seconds("size_bytes").alias("modified_at"))
+    stream.run_duplicate_counts(rows, f"{root}/out", f"{root}/checkpoint", row_id="path", time="modified_at", delay="3650 days")
     return stream.current_counts(spark, f"{root}/out")
 
 
@@ -506,7 +528,10 @@ def stream_queue_merge(spark, sf):
     for version in (0, 1):
         rows = docs.selectExpr("path", f"n_chars + {version} as n_chars", f"{version}L as version")
         rows.repartition(6, "path").write.mode("append").parquet(f"{root}/landing")
+    known = src.light_queue(spark, sf, 0)
+    reviews = known.selectExpr("path", "coalesce(review.reviewed_at, timestamp'2026-01-01') as ts", "seq as event_id", "review.status as status", "review.notes as notes")
+    reviews.repartition(4, "path").write.parquet(f"{root}/reviews")
     arriving = stream.arriving(spark, f"{root}/landing", rows.schema, 6)
-    stream.run_upserts(arriving, f"{root}/out", f"{root}/checkpoint")
-    current = stream.current_rows(spark, f"{root}/out", "path", "version")
-    return queue.stage(current, src.light_queue(spark, sf, 0)).selectExpr("path", "n_chars", "review.status as review_status")
+    reviewed = stream.arriving(spark, f"{root}/reviews", reviews.schema, 2)
+    queue_table.run(arriving, reviewed, f"{root}/queue", f"{root}/checkpoint", seq="version")
+    return queue_table.current(spark, f"{root}/queue").selectExpr("path", "n_chars", "review.status as review_status")

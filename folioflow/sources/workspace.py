@@ -12,6 +12,7 @@ from folioflow.functions.text import Sql, basename, clamp_percent, each, extensi
 from folioflow.operators.classify import in_list
 from folioflow.operators.pii import DETECTORS
 from folioflow.rules import REVIEW_STATUSES, SUPPORTED_EXTENSIONS
+from folioflow.sources.states import state_documents
 
 VERSION = 1
 NO_ANALYSIS = "No local analysis was available for this document."
@@ -136,22 +137,12 @@ def sanitize_documents(df: DataFrame, doc: str, keep: tuple[str, ...] = ()) -> D
     )
 
 
-def parse_states(df: DataFrame, raw: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Saved states (JSON text) that are readable objects: version, filter, documents.
+def load_documents(df: DataFrame, raw: str, keep: tuple[str, ...], cap: int | None = None) -> DataFrame:
+    """Documents of saved states (JSON text) in their order; ``cap`` keeps the first ones of each state.
 
-    Malformed or non-object text yields no row.
+    A state may have any size. Text that is no JSON object yields no row.
     """
-    parsed = df.select(*keep, F.expr(f"try_parse_json({raw})").alias("_state")).filter(F.expr(c.is_object("_state")))
-    return parsed.selectExpr(
-        *keep, f"{VERSION} as version", f"{c.text('_state', 'filterValue', lit(''))} as filter_value",
-        f"{c.elements('_state', 'documents')} as documents",
-    )
-
-
-def load_documents(df: DataFrame, raw: str, keep: tuple[str, ...], cap: int | None = None) -> DataFrame:
-    """Documents of saved states in their order; ``cap`` keeps the first ones of each state."""
-    states = parse_states(df, raw, keep)
-    rows = states.select(*keep, "filter_value", F.posexplode("documents").alias("position", "doc"))
+    rows = state_documents(df, raw, keep).withColumn("doc", F.expr("try_parse_json(doc)"))
     clean = sanitize_documents(rows, "doc", (*keep, "filter_value", "position"))
     if cap is None:
         return clean

@@ -166,3 +166,13 @@ def test_hostile_texts_neither_crash_nor_hang(spark):
     assert got[0].pii.total_matches == 1
     amount = [f.value for f in got[1].extraction.fields if f.key == "amountDue"]
     assert amount[0].startswith("1,123,123") and len(amount[0]) == 120_004
+
+
+def test_validators_are_sql_functions(spark):
+    v.register(spark)
+    assert set(v.FUNCTIONS) >= {"is_tin", "is_date", "is_card", "is_routing", "is_ssn", "passes_luhn"}
+    got = spark.sql("select is_tin('12-3456789') a, is_date('13/01/2024') b, is_zip(' 12345-6789 ') c, is_card('4532771809462356') d, is_tax_year(null) e").first()
+    assert tuple(got) == (True, False, True, True, False)
+    for name, check in v.FUNCTIONS.items():
+        for value in ("12-3456789", "417-38-6120", "01/02/2024", "(628) 555-0147", "2024", "314077266", "net 30", "a@b.co", "J45.1", "Single"):
+            assert spark.sql(f"select {name}('{value}') as x").first().x == spark.range(1).selectExpr(f"{check(t.lit(value))} as x").first().x

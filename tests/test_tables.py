@@ -11,8 +11,9 @@ from folioflow.functions import text as t
 from folioflow.operators import dedupe, ocr, queue, report, routing
 from folioflow.operators.routing import page_budget
 from folioflow.plans.queries import QUERIES
-from folioflow.sources import corpus, images, intake, sinks, workspace
+from folioflow.sources import corpus, files, images, intake, sinks, states, workspace
 from folioflow.streaming import intake as stream
+from folioflow.streaming import queue_table
 
 
 def test_intake_order_and_cap(spark):
@@ -48,7 +49,7 @@ def test_a_snapshot_keeps_its_filter_and_is_not_overwritten(spark, tmp_path):
 
 def test_file_scan(spark, tmp_path):
     (tmp_path / "x.PDF").write_bytes(b"hello")
-    row = intake.scan_files(spark, str(tmp_path)).first()
+    row = files.scan_files(spark, str(tmp_path)).first()
     assert (row["name"], row.extension, row.size_bytes, row.sha256) == ("x.PDF", "PDF", 5, hashlib.sha256(b"hello").hexdigest())
 
 
@@ -104,6 +105,14 @@ def test_copies_with_a_hot_fingerprint(spark):
     assert got.join(want, "sha256").filter("copies <> n or duplicate <> (n > 1)").count() == 0
 
 
+def test_rows_without_a_fingerprint_are_no_copies_and_lie_apart(spark):
+    df = spark.range(600).selectExpr("string(id) as path", "case when id >= 500 then 'x' end as sha256")
+    got = dedupe.with_copies(df)
+    assert {(r.sha256, r.copies, r.duplicate) for r in got.collect()} == {("x", 100, True), (None, 1, False)}
+    probe = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "coalesce(" in probe and "row:" in probe
+
+
 def test_name_order_is_locale_aware(spark):
     df = spark.createDataFrame([(i, n) for i, n in enumerate(["b", "Z", "a10", "B", "A", "a", "\u00e4"])], "seq long, name string")
     assert [r["name"] for r in queue.ordered(df, "name").collect()] == ["a", "A", "\u00e4", "a10", "b", "B", "Z"]
@@ -191,6 +200,36 @@ def test_scan_cleanup(spark):
         assert out == (0 if x <= 92 else 255 if x >= 188 else round(x))
 
 
+def test_states_are_read_like_a_json_parser_does(spark):
+    doc = '{"path": "/a.pdf", "name": "[,]} \\\\\\" {"}'
+    raws = [
+        f' {{"filterValue" : "f" ,\n "documents":[ {doc} , 3,[1,[2]],"x",null ]}}\t', f'{{"documents":[{doc}]', f'{{"documents":[{doc},]}}', f'[{{"documents":[{doc}]}}]',
+        f'{{"documents":[{doc}]}} x', f'{{"documents":5,"documents":[{doc}],"filterValue":7}}', f'{{"documents":[{doc}],"documents":{{}}}}', '{"documents":[NaN]}',
+        f'{{"documents":[],"x":{doc}}}', "{}", "", None, f'{{"documents":[{doc} {doc}]}}', '{"filterValue":"\\ud800","documents":[1]}', "[" * 100_000,
+    ]
+    want = []
+    for k, raw in enumerate(raws):
+        try:
+            state = json.loads(raw or "", parse_constant=lambda c: 1 / 0)
+        except (ValueError, ZeroDivisionError, RecursionError):
+            continue
+        if isinstance(state, dict) and isinstance(state.get("documents"), list):
+            shown = state["filterValue"] if isinstance(state.get("filterValue"), str) else ""
+            want += [(k, "?" if k == 13 else shown, i, d) for i, d in enumerate(state["documents"])]
+    df = spark.createDataFrame(list(enumerate(raws)), "k int, raw string")
+    got = [(r.k, r.filter_value, r.position, json.loads(r.doc)) for r in states.state_documents(df, "raw", ("k",)).collect()]
+    assert sorted(got, key=lambda r: r[:3]) == want and {k for k, *_ in want} == {0, 5, 13}
+
+
+def test_a_state_beyond_the_variant_limit(spark):
+    filler = "word " * 1000
+    raw = json.dumps({"filterValue": "big", "documents": [{"path": f"/{i}.pdf", "previewText": filler} for i in range(30_000)]})
+    assert len(raw) > 150_000_000
+    df = spark.createDataFrame([(1, raw)], "k int, raw string")
+    got = workspace.load_documents(df, "raw", ("k",)).agg(F.count("*"), F.countDistinct("path"), F.max("position"), F.sum(F.length("preview_text"))).first()
+    assert tuple(got) == (30_000, 30_000, 29_999, 30_000 * len(filler))
+
+
 def test_stream_restart_adds_only_new_rows(spark, tmp_path):
     root = str(tmp_path)
     df = spark.range(10).selectExpr("string(id) as path", "id as seq", "string(id % 3) as sha256")
@@ -208,6 +247,79 @@ def test_stream_restart_adds_only_new_rows(spark, tmp_path):
     assert counts == {"0": 6, "1": 5, "2": 4}
 
 
+def test_redelivered_rows_count_once_and_state_is_forgotten(spark, tmp_path):
+    root = str(tmp_path)
+    schema = "path string, sha256 string, at timestamp"
+
+    def arrive(day, rows):
+        spark.createDataFrame(rows, "path string, sha256 string").selectExpr("*", f"timestamp'2026-01-{day:02d} 10:00:00' as at").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        got = stream.run_duplicate_counts(
+            stream.arriving(spark, f"{root}/in", rows_schema), f"{root}/counts", f"{root}/ck", row_id="path", time="at", delay="2 days"
+        )
+        return [p["stateOperators"][0]["numRowsTotal"] for p in got.recentProgress if p["stateOperators"]][-1]
+
+    rows_schema = spark.createDataFrame([], schema).schema
+    first = [(f"/{i}", f"s{i % 10}") for i in range(500)]
+    assert arrive(1, first) == 500
+    arrive(2, first[:100] + [("/new", "s0")])
+    arrive(20, [("/late", "s1")])
+    # the watermark has passed the first days: their rows are forgotten
+    assert arrive(20, [("/later", "s1")]) < 10
+    counts = {r.sha256: r.copies for r in stream.current_counts(spark, f"{root}/counts").collect()}
+    assert counts == {f"s{k}": 50 for k in range(2, 10)} | {"s0": 51, "s1": 52}
+
+
+def _reviews(spark, *rows):
+    return spark.createDataFrame(rows, "path string, ts string, event_id long, status string, notes string").withColumn("ts", F.to_timestamp("ts"))
+
+
+def test_queue_table_merges_documents_and_reviews(spark, tmp_path):
+    root = str(tmp_path)
+    docs = spark.range(300).selectExpr("concat('/', id) as path", "id as seq", "concat('v0-', id) as body")
+    said = _reviews(spark, ("/1", "2026-01-01", 1, "Approved", None), ("/1", "2026-01-02", 2, None, "n1"), ("/absent", "2026-01-01", 3, "Rejected", None))
+
+    def run(new_docs=None, new_reviews=None):
+        if new_docs is not None:
+            new_docs.coalesce(1).write.mode("append").parquet(f"{root}/docs")
+        if new_reviews is not None:
+            new_reviews.coalesce(1).write.mode("append").parquet(f"{root}/reviews")
+        queue_table.run(
+            stream.arriving(spark, f"{root}/docs", docs.schema), stream.arriving(spark, f"{root}/reviews", said.schema), f"{root}/queue", f"{root}/ck", buckets=16
+        )
+        return {r.path: (r.body, r.review.status, r.review.notes) for r in queue_table.current(spark, f"{root}/queue").collect()}
+
+    assert queue_table.current(spark, f"{root}/queue") is None
+    got = run(docs, said)
+    assert len(got) == 300 and got["/1"] == ("v0-1", "Approved", "n1") and got["/2"] == ("v0-2", "Pending", "")
+    before = queue_table._places(spark, f"{root}/queue")
+    # one document again, one that was reviewed before it came: only their buckets are written anew
+    got = run(docs.filter("seq = 1").withColumn("body", F.lit("v1")).unionByName(spark.range(1).selectExpr("'/absent' as path", "9L as seq", "'b' as body")))
+    assert got["/1"] == ("v1", "Approved", "n1") and got["/absent"] == ("b", "Rejected", "") and len(got) == 301
+    after = queue_table._places(spark, f"{root}/queue")
+    assert 1 <= sum(after[b] != before[b] for b in after) <= 2
+    for k in range(6):
+        got = run(None, _reviews(spark, ("/7", f"2026-02-0{k + 1}", 10 + k, "Needs review" if k % 2 else "Pending", f"k{k}")))
+    assert got["/7"] == ("v0-7", "Needs review", "k5")
+    # reads do not grow with the number of batches: one folder per bucket
+    assert len({f.rpartition("/")[0] for f in queue_table.current(spark, f"{root}/queue").inputFiles()}) == 16
+
+
+def test_a_replayed_batch_replaces_itself(spark, tmp_path):
+    root = str(tmp_path)
+    row = "struct(bigint({seq}) as seq) as order, struct('{body}' as body) as document, cast(null as struct<at:struct<ts:timestamp,event_id:bigint>,status:string>) as status, cast(null as struct<at:struct<ts:timestamp,event_id:bigint>,notes:string>) as notes"
+
+    def batch(n, body):
+        return spark.sql(f"select concat('/', id) as path, {row.format(seq=1, body=body)} from range({n})")
+
+    queue_table.merge_batch(batch(20, "a"), 0, root, 4)
+    queue_table.merge_batch(batch(10, "b"), 1, root, 4)
+    want = {r.path: r.body for r in queue_table.current(spark, root).collect()}
+    for _ in range(2):
+        queue_table.merge_batch(batch(10, "b"), 1, root, 4)
+    assert {r.path: r.body for r in queue_table.current(spark, root).collect()} == want
+    assert sorted(want.values()) == ["a"] * 10 + ["b"] * 10
+
+
 def test_binary_stream(spark, tmp_path):
     for i in range(5):
         (tmp_path / f"{i}.pdf").write_text(f"body {i % 2}")
@@ -256,7 +368,7 @@ def test_a_real_folder(spark, tmp_path):
     (tmp_path / "in/folder.pdf").mkdir()
     wanted = [f"{tmp_path}/in/{n}" for n in ("with blank.pdf", "folder.pdf", "absent.pdf")]
     requests = intake.accept_paths(spark.createDataFrame(list(enumerate(wanted)), "seq long, path string"))
-    got = {r.path: (r.is_file, r.size_bytes, r.sha256) for r in intake.with_missing(requests, intake.scan_files(spark, f"{tmp_path}/in")).collect()}
+    got = {r.path: (r.is_file, r.size_bytes, r.sha256) for r in intake.with_missing(requests, files.scan_files(spark, f"{tmp_path}/in")).collect()}
     assert got == {wanted[0]: (True, 3, hashlib.sha256(b"abc").hexdigest()), wanted[1]: (False, 0, ""), wanted[2]: (False, 0, "")}
 
 
