@@ -43,6 +43,15 @@ FALLBACKS = {
 }
 
 
+#: Parts of an intelligence record. What is left out is not planned and costs nothing.
+PARTS = ("analysis", "extraction", "pii")
+
+
+def chosen_parts(parts: tuple[str, ...], **made: Sql) -> Sql:
+    """Struct of the parts asked for."""
+    return struct(**{name: made[name] for name in PARTS if name in parts})
+
+
 def in_list(value: Sql, options: tuple[str, ...]) -> Sql:
     return f"{value} in ({', '.join(map(lit, options))})"
 
@@ -128,11 +137,12 @@ def summary(doc_class: Sql, level: Sql, found: Sql) -> Sql:
     return f"concat('Likely ', lower({doc_class}), '. ', {level}, ' handling recommended.', {first})"
 
 
-def fallback(ext: Sql) -> Sql:
+def fallback(ext: Sql, parts: tuple[str, ...] = PARTS) -> Sql:
     """Intelligence record of a file without analysable text."""
     def record(kind: str) -> Sql:
         doc_class, level, confidence, text, extraction_text = FALLBACKS[kind]
-        return struct(
+        return chosen_parts(
+            parts,
             analysis=analysis_struct(lit(doc_class), lit(level), str(confidence), lit(text)),
             extraction=no_extraction(lit(extraction_text)),
             pii=no_pii(),
@@ -153,43 +163,57 @@ def intelligence(
     templates: tuple[Template, ...] = TEMPLATES,
     profiles: tuple[Profile, ...] = PROFILES,
     rules: tuple[Signal, ...] = SIGNALS,
+    parts: tuple[str, ...] = PARTS,
 ) -> Sql:
-    """struct<analysis, extraction, pii> of one document, over its whole text."""
+    """struct<analysis, extraction, pii> of one document, over its whole text, or the ``parts`` asked for.
+
+    Extraction needs the chosen template only, the scan neither template nor keywords; the analysis needs both, but no fields.
+    """
+
+    def assemble(source: Sql, low: Sql, found: Sql) -> Sql:
+        made = {"pii": f"{found}.pii"}
+        if "extraction" in parts:
+            made["extraction"] = template_ops.extraction(source, low, f"{found}.choice", templates)
+        if "analysis" not in parts:
+            return chosen_parts(parts, **made)
 
-    def assemble(source: Sql, low: Sql, parts: Sql) -> Sql:
         def finish(more: Sql) -> Sql:
             doc_class = f"{more}.kind.document_class"
-            return struct(
-                analysis=analysis_struct(
-                    doc_class, f"{more}.level", f"{more}.kind.confidence",
-                    summary(doc_class, f"{more}.level", f"{more}.signals"), f"{more}.signals",
-                ),
-                extraction=template_ops.extraction(source, low, f"{parts}.choice", templates),
-                pii=f"{parts}.pii",
+            analysis = analysis_struct(
+                doc_class, f"{more}.level", f"{more}.kind.confidence",
+                summary(doc_class, f"{more}.level", f"{more}.signals"), f"{more}.signals",
             )
+            return chosen_parts(parts, analysis=analysis, **made)
 
-        profile = f"case when {parts}.choice is null then {best_profile(low, profiles)} end"
+        profile = f"case when {found}.choice is null then {best_profile(low, profiles)} end"
         derived = struct(
-            kind=let(profile, lambda p: classify(ext, f"{parts}.choice", p, templates, profiles)),
-            signals=signals(low, f"{parts}.pii", rules),
-            level=sensitivity(low, f"{parts}.pii"),
+            kind=let(profile, lambda p: classify(ext, f"{found}.choice", p, templates, profiles)),
+            signals=signals(low, f"{found}.pii", rules),
+            level=sensitivity(low, f"{found}.pii"),
         )
         return let(derived, finish)
 
     def analysed(source: Sql) -> Sql:
         def folded(low: Sql) -> Sql:
-            return with_words(low, keyword_patterns(templates, profiles, rules), known)
+            return with_words(low, keyword_patterns(templates, profiles, rules), known) if set(parts) != {"pii"} else known(low)
 
         def known(low: Sql) -> Sql:
-            parts = struct(pii=pii_ops.scan_of(source, low, detectors), choice=template_ops.choose(low, templates))
-            return let(parts, lambda p: assemble(source, low, p))
+            found = {}
+            if {"pii", "analysis"} & set(parts):
+                found["pii"] = pii_ops.scan_of(source, low, detectors)
+            if {"extraction", "analysis"} & set(parts):
+                found["choice"] = template_ops.choose(low, templates)
+            return let(struct(**found), lambda p: assemble(source, low, p))
 
         return let(fold(source), folded)
 
     readable = f"coalesce({text}, '') <> '' and {in_list(ext, TEXT_EXTENSIONS)}"
-    return f"case when {readable} then {let(source_text(text, title, subject), analysed)} else {fallback(ext)} end"
+    return f"case when {readable} then {let(source_text(text, title, subject), analysed)} else {fallback(ext, parts)} end"
 
 
-def with_intelligence(df: DataFrame, ext: str = "extension", text: str = "text", title: str = "title", subject: str = "subject") -> DataFrame:
-    """Append ``analysis``, ``extraction`` and ``pii`` to documents."""
-    return bind(df, "_record", intelligence(ext, text, title, subject)).select(*df.columns, "_record.analysis", "_record.extraction", "_record.pii")
+def with_intelligence(
+    df: DataFrame, ext: str = "extension", text: str = "text", title: str = "title", subject: str = "subject", parts: tuple[str, ...] = PARTS
+) -> DataFrame:
+    """Append ``analysis``, ``extraction`` and ``pii`` to documents, or the ``parts`` of them that are needed."""
+    bound = bind(df, "_record", intelligence(ext, text, title, subject, parts=parts))
+    return bound.select(*df.columns, *[f"_record.{part}" for part in PARTS if part in parts])

@@ -40,8 +40,9 @@ def _extracted(spark: SparkSession, sf: str) -> DataFrame:
     return templates.extract(texts, "source").drop("source")
 
 
-def _records(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.with_intelligence(src.corpus(spark, sf)).select("path", "analysis", "extraction", "pii")
+def _records(spark: SparkSession, sf: str, *parts: str) -> DataFrame:
+    parts = parts or classify.PARTS
+    return classify.with_intelligence(src.corpus(spark, sf), parts=parts).select("path", *parts)
 
 
 def _folded(spark: SparkSession, sf: str) -> DataFrame:
@@ -245,17 +246,17 @@ def doc_class(spark, sf):
 
 @_query
 def doc_signals(spark, sf):
-    return _records(spark, sf).selectExpr("path", "array_join(analysis.signals, ' | ') as signals")
+    return _records(spark, sf, "analysis").selectExpr("path", "array_join(analysis.signals, ' | ') as signals")
 
 
 @_query
 def doc_sensitivity(spark, sf):
-    return _records(spark, sf).selectExpr("path", "pii.risk_level", "analysis.sensitivity")
+    return _records(spark, sf, "analysis", "pii").selectExpr("path", "pii.risk_level", "analysis.sensitivity")
 
 
 @_query
 def doc_summary(spark, sf):
-    return _records(spark, sf).selectExpr("path", "analysis.summary")
+    return _records(spark, sf, "analysis").selectExpr("path", "analysis.summary")
 
 
 @_query
@@ -306,7 +307,8 @@ def _merged(spark, sf):
 
 @_query
 def queue_merge(spark, sf):
-    return queue.merge(*_merged(spark, sf)).selectExpr(
+    current, incoming = _merged(spark, sf)
+    return queue.merge(queue.by_path(current), incoming).selectExpr(
         "path", "name", "seq", "size_bytes", "review.status as review_status", "review.notes as notes",
         f"{t.iso_timestamp('review.reviewed_at')} as reviewed_at", "bigint(batch_rank) as batch_rank",
     )
@@ -381,7 +383,7 @@ def fingerprint_counts(spark, sf):
 
 @_query
 def report_summary(spark, sf):
-    return report.summary(src.queue(spark, sf), " net 30 ")
+    return report.summary(src.queue(spark, sf, ("analysis", "pii")), " net 30 ")
 
 
 @_query

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import basename, extension, let, normalize, struct
+from folioflow.operators.classify import PARTS
 from folioflow.operators.routing import inspect
 from folioflow.session import spread
 
@@ -226,9 +227,9 @@ def delivered(spark: SparkSession, sf_dir: str, *kinds: int) -> DataFrame:
     )
 
 
-def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+def queue(spark: SparkSession, sf_dir: str, parts: tuple[str, ...] = PARTS) -> DataFrame:
     """Inspected documents with their review: the working queue."""
-    records = inspect(delivered(spark, sf_dir), keep=("kind", "k", "seq"))
+    records = inspect(delivered(spark, sf_dir), keep=("kind", "k", "seq"), parts=parts)
     review = ", ".join(f"'{name}', {value}" for name, value in REVIEW_SQL.items())
     return records.withColumn("review", F.expr(f"named_struct({review})"))
 

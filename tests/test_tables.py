@@ -200,6 +200,31 @@ def test_scan_cleanup(spark):
         assert out == (0 if x <= 92 else 255 if x >= 188 else round(x))
 
 
+def test_large_rasters_are_cleaned_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(images, "BLOCK", 1000)
+    raster = np.random.default_rng(2).integers(0, 256, (300, 211, 3), dtype=np.uint8)
+    whole = images._clean(raster.ravel(), 3)
+    import pyarrow as pa
+
+    blocks = images._cleaned(pa.scalar(raster.tobytes()), 300, 211, 3)
+    assert blocks[0].as_py() == whole.tobytes()
+
+
+def test_many_large_rasters_in_bounded_memory(spark):
+    """A hundred rasters of 14 megapixels through one task's function: beside the input it holds one gray copy and a block."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    data = pa.scalar(bytes(3500 * 4000 * 3))
+    tracemalloc.start()
+    for _ in range(100):
+        assert len(images._cleaned(data, 4000, 3500, 3)[0].as_buffer()) == 14_000_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
 def test_states_are_read_like_a_json_parser_does(spark):
     doc = '{"path": "/a.pdf", "name": "[,]} \\\\\\" {"}'
     raws = [
