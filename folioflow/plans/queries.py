@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as t
 from folioflow.functions import validators as v
-from folioflow.operators import bind, classify, dedupe, inspection, ocr, pii, queue, report, routing, templates
+from folioflow.operators import bind, classify, dedupe, inspection, ocr, pii, queue, report, routing, search, templates
 from folioflow.rules import TEMPLATES
 from folioflow.session import scratch_dir, spread, stored
 from folioflow.sources import corpus as src
@@ -358,7 +358,9 @@ def queue_sort_pages(spark, sf):
 
 @_query
 def queue_search(spark, sf):
-    return queue.search(_queue(spark, sf), NEEDLE).selectExpr("path", "status", "review.status as review_status")
+    root = scratch_dir(spark, "searchable")
+    search.store(src.queue(spark, sf), root)
+    return search.search(spark, root, NEEDLE).selectExpr("path", "status", "review.status as review_status")
 
 
 @_query
