@@ -1,19 +1,25 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text, one on what toxic texts hold beyond it. A
-text is cut into windows of ``WINDOW`` words. Each window is compressed with the ordinary dictionary and with
-both; the bytes that the toxic one saves are the distance. The largest and the summed distance of a text's windows
-are turned into a probability by a logistic calibration on labelled texts that trained no dictionary.
+Two zstandard dictionaries are trained, one on ordinary text, one on toxic text. A text is cut into windows of
+``WINDOW`` words, and the lengths that each window has without a dictionary, with the toxic one, with the ordinary one and
+with both are compared: what the toxic dictionary saves on its own, and what it saves beyond the ordinary one. Largest
+saving, sum and mean of a whole text's windows become a probability by a logistic calibration on labelled texts that
+trained no dictionary.
+
+Toxic texts are mostly ordinary prose, and short windows save whole bytes only, so a dictionary of all their words tells
+little. The toxic one is trained on beginnings of words that significantly more toxic than ordinary texts hold.
 
 Everything is fitted on a bounded sample: at most ``SAMPLE_TOXIC`` and ``SAMPLE_ORDINARY`` labelled rows, the first in the
-order of a hash of their id, and of these the first ``SAMPLE_WORDS`` words. Scoring reads whole texts and nothing else.
+order of a hash of their id, and for the dictionaries ``SAMPLE_WINDOWS`` windows of each, chosen by a hash from anywhere
+in the text. Calibration and scoring read whole texts, on executors.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 from itertools import islice
 
@@ -22,30 +28,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import words_of
-
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_WORDS = 2_500, 5_000, 400
-WINDOW = 24
-TOXIC_BYTES, ORDINARY_BYTES = 4_096, 65_536
-#: A word is toxic text's own if this share of toxic texts hold it, relatively that many times more than
-#: ordinary ones, with chance below exp(-OWN_ODDS).
-OWN_SHARE, OWN_TIMES, OWN_ODDS = 0.009, 20, 18
-#: One sample text in so many calibrates instead of training.
-CALIBRATE = 4
+from folioflow.llm.common import words_of, written
+
+SAMPLE_TOXIC, SAMPLE_ORDINARY = 2_500, 5_000
+#: Windows of a sample text that train, of ``SAMPLE_WINDOW`` words each; words of ordinary text that train.
+SAMPLE_WINDOWS, SAMPLE_WINDOW, SAMPLE_WORDS = 20, 24, 400_000
+#: Words of a window that is scored.
+WINDOW = 8
+TOXIC_BYTES, ORDINARY_BYTES = 2_048, 65_536
+#: Bytes of a word's beginning, with the blank before it; shorter words count with the blank behind them.
+STEM = range(5, 10)
+#: A beginning is toxic text's own if relatively that many times more toxic texts hold it than ordinary ones, with
+#: chance below exp(-OWN_ODDS).
+OWN_TIMES, OWN_ODDS = 10, 14
+#: One sample text in so many calibrates instead of training; texts that begin alike are on the same side.
+CALIBRATE, ALIKE = 4, 8
 
 SCORES = "doc_id long, held_out boolean, score double"
 
 
-def windows(words: list[bytes]) -> Iterator[bytes]:
-    for i in range(0, len(words), WINDOW):
-        yield b" " + b" ".join(words[i : i + WINDOW]) + b" "
+def windows(words: list[bytes], size: int = WINDOW) -> Iterator[bytes]:
+    for i in range(0, len(words), size):
+        yield b" " + b" ".join(words[i : i + size]) + b" "
+
+
+def _stems(word: bytes) -> list[bytes]:
+    """Beginnings of a word, the longest first."""
+    whole = b" " + word + b" "
+    return [whole[:n] for n in reversed(STEM) if n <= len(whole)]
 
 
 def _is_own(n: int, m: int, toxic: int, plain: int) -> bool:
-    """Whether n toxic and m ordinary texts with a word are far from chance, by the Chernoff bound."""
-    if n < OWN_SHARE * toxic or n / toxic <= OWN_TIMES * (m + 1) / plain:
+    """Whether n toxic and m ordinary texts with a beginning are far from chance, by the Chernoff bound."""
+    if n / toxic <= OWN_TIMES * (m + 0.5) / plain:
         return False
     chance, share = toxic / (toxic + plain), n / (n + m)
+    if share <= chance:
+        return False
     odds = share * np.log(share / chance) + (0 if m == 0 else (1 - share) * np.log((1 - share) / (1 - chance)))
     return (n + m) * odds >= OWN_ODDS
 
@@ -54,7 +73,7 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
     """Content of a dictionary trained on the samples; where they are too few to train on, the distinct samples themselves."""
     import zstandard
 
-    joined = [b"".join(samples[i : i + 2]) for i in range(0, len(samples), 2)]
+    joined = [b"".join(samples[i : i + 4]) for i in range(0, len(samples), 4)]
     try:
         return zstandard.train_dictionary(size, joined).as_bytes()
     except zstandard.ZstdError:
@@ -70,25 +89,34 @@ class Model:
     weights: tuple[float, ...] = ()
 
     @cached_property
-    def compressors(self):
+    def lengths(self):
+        """Functions that give a window's compressed length: without a dictionary, with the toxic one, the ordinary one, both."""
         import zstandard as z
 
-        made = []
-        for content in (self.toxic + self.ordinary, self.ordinary):
+        setup = z.ZstdCompressionParameters.from_level(
+            3, window_log=17, min_match=6, strategy=z.STRATEGY_BTOPT, write_checksum=False, write_content_size=False, write_dict_id=False
+        )
+        made = [z.ZstdCompressor(compression_params=setup)]
+        for content in (self.toxic, self.ordinary, self.toxic + self.ordinary):
             data = z.ZstdCompressionDict(content or b" " * 8, dict_type=z.DICT_TYPE_RAWCONTENT)
-            plain = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
-            setup = z.ZstdCompressionParameters.from_level(3, window_log=17, min_match=5, strategy=z.STRATEGY_BTOPT, **plain)
             data.precompute_compress(compression_params=setup)
             made.append(z.ZstdCompressor(compression_params=setup, dict_data=data))
-        return made
+        return [lambda w, c=c.compress: len(c(w)) for c in made]
 
     def __getstate__(self):
         return {"toxic": self.toxic, "ordinary": self.ordinary, "weights": self.weights}
 
     def features(self, text: str) -> np.ndarray:
-        both, ordinary = (c.compress for c in self.compressors)
-        saved = np.array([len(ordinary(w)) - len(both(w)) for w in windows(words_of(text))] or [0])
-        return np.array([1.0, saved.max(), np.log1p(saved[saved >= 2].sum())])
+        plain, toxic, ordinary, both = self.lengths
+        n, alone, beyond = 0, [0], [0]
+        for w in windows(words_of(text)):
+            n += 1
+            alone.append(max(plain(w) - toxic(w), 0))
+            beyond.append(max(ordinary(w) - both(w), 0))
+        out = [1.0, np.log1p(n)]
+        for saved in (alone, beyond):
+            out += [max(saved), np.log1p(sum(saved)), sum(saved) / max(n, 1)]
+        return np.array(out)
 
     def score(self, text: str) -> float:
         if not self.weights:
@@ -97,38 +125,41 @@ class Model:
 
 
 def _calibrated(features: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
-    """Logistic regression with a small ridge, by Newton steps."""
-    w = np.zeros(features.shape[1])
-    ridge = np.diag([1e-6, *[1e-2] * (features.shape[1] - 1)])
+    """Logistic regression with a ridge on the standardised features, by Newton steps."""
+    mean, spread = features.mean(axis=0), features.std(axis=0)
+    mean[0], spread = 0, np.where(spread > 0, spread, 1)
+    x = (features - mean) / spread
+    w = np.zeros(x.shape[1])
+    ridge = np.diag([1e-6, *[1.0] * (x.shape[1] - 1)])
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
-        gradient = features.T @ (p - labels) + ridge @ w
-        w -= np.linalg.solve(features.T @ (features * (p * (1 - p))[:, None]) + ridge + 1e-9 * np.eye(len(w)), gradient)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (p - labels) + ridge @ w
+        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge + 1e-9 * np.eye(len(w)), gradient)
+    w = w / spread
+    w[0] -= w @ mean
     return tuple(w.tolist())
 
 
-def train(sample: list[tuple[str, int]]) -> Model:
-    """A model from (text, label) pairs; without examples of both kinds every score is 0."""
-    seen, texts = set(), []
-    for text, label in sample:  # texts that begin alike are copies
-        words = words_of(text)[:SAMPLE_WORDS]
-        if words and (start := (label, *words[:8])) not in seen:
-            seen.add(start)
-            texts.append((words, label))
-    held = [t for i, t in enumerate(texts) if i % CALIBRATE == 0]
-    toxic = [w for i, (w, y) in enumerate(texts) if y and i % CALIBRATE]
-    plain = [w for i, (w, y) in enumerate(texts) if not y and i % CALIBRATE]
-    if not toxic or not plain or len({y for _, y in held}) < 2:
+def sample_of(text: str) -> tuple[bytes, bool, bytes]:
+    """(beginning, whether it calibrates, words of the windows that train) of a sample text."""
+    words = words_of(text)
+    start = b" ".join(words[:ALIKE])
+    chosen = sorted(windows(words, SAMPLE_WINDOW), key=lambda w: (zlib.crc32(w), w))[:SAMPLE_WINDOWS]
+    return start, zlib.crc32(start) % CALIBRATE == 0, b"".join(chosen)
+
+
+def train(toxic: list[bytes], plain: list[bytes]) -> Model:
+    """Dictionaries from the words of toxic and of ordinary texts; a side without texts leaves both empty."""
+    if not toxic or not plain:
         return Model(b"", b"")
-    in_toxic, in_plain = (Counter(w for t in texts for w in set(t)) for texts in (toxic, plain))
-    own = {w for w, n in in_toxic.items() if _is_own(n, in_plain[w], len(toxic), len(plain))}
-    model = Model(
-        _dictionary([b" " + w + b" " for t in toxic for w in t if w in own], TOXIC_BYTES),
-        _dictionary(list(islice((b" " + w + b" " for t in plain for w in t), 400_000)), ORDINARY_BYTES),
-    )
-    features = np.array([model.features(b" ".join(w).decode("utf-8", "replace")) for w, _ in held])
-    model.weights = _calibrated(features, np.array([y for _, y in held], float))
-    return model
+    in_toxic = Counter(s for t in toxic for s in {s for w in set(t.split()) for s in _stems(w)})
+    in_toxic = {s: n for s, n in in_toxic.items() if n > 1 or len(toxic) < 4}
+    in_plain = Counter(s for t in plain for s in {s for w in set(t.split()) for s in _stems(w) if s in in_toxic})
+    own = {s for s, n in in_toxic.items() if _is_own(n, in_plain[s], len(toxic), len(plain))}
+    marks = [next(filter(own.__contains__, _stems(w)), b"") for t in toxic for w in dict.fromkeys(t.split())]
+    marks = [m for m in marks if m]  # the longest own beginning of each word
+    words = list(islice((b" " + w + b" " for t in plain for w in t.split()), SAMPLE_WORDS))
+    return Model(_dictionary(marks, TOXIC_BYTES), _dictionary(words, ORDINARY_BYTES))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -136,25 +167,51 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 == 0
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """The bounded sample: ids are chosen first, so at most that many (text, label) pairs come to the driver."""
+def sample_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The bounded sample, (_id, _toxic, text): ids are chosen first; texts are whole."""
     marks = labels.filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     marks = marks.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
     order = [F.xxhash64("_id"), F.col("_id")]
     chosen = marks.filter("_toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(marks.filter("_toxic = 0").orderBy(*order).limit(SAMPLE_ORDINARY))
-    texts = docs.select("doc_id", F.substring("text", 1, 16 * SAMPLE_WORDS).alias("text"))
-    joined = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["_id"]).groupBy("_id", "_toxic").agg(F.min("text").alias("text"))
-    return [(r["text"] or "", r["_toxic"]) for r in joined.orderBy(*order).collect()]
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"])
+    return joined.groupBy("_id", "_toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    return train(sample_rows(docs, labels))
+    """A model from the sample; without examples of both kinds for training and calibration every score is 0."""
+    rows = written(sample_rows(docs, labels), "toxicity-sample")
+
+    def pieces(batches):
+        for batch in batches:
+            found = list(zip(*map(sample_of, batch.column(2).to_pylist()), strict=True)) or [[], [], []]
+            columns = [pa.array(c, k) for c, k in zip(found, (pa.binary(), pa.bool_(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["_id", "_toxic", "start", "calibrates", "words"])
+
+    kinds = f"_id {rows.schema['_id'].dataType.simpleString()}, _toxic int"
+    sample = written(rows.mapInArrow(pieces, kinds + ", start binary, calibrates boolean, words binary"), "toxicity-words")
+    # texts of one kind that begin alike are copies; texts without words teach nothing
+    single = sample.filter(F.length("start") > 0).groupBy("start", "_toxic", "calibrates").agg(F.min(F.struct("_id", "words")).alias("first"))
+    trains = single.filter("not calibrates").select("_toxic", "first.*").orderBy("_id").select("_toxic", "words").collect()
+    model = train(*([bytes(r["words"]) for r in trains if r["_toxic"] == y] for y in (1, 0)))
+    held = rows.join(F.broadcast(single.filter("calibrates").select(F.col("first._id").alias("_id"))), "_id", "left_semi").select("_id", "_toxic", "text")
+
+    def measured(batches):
+        for batch in batches:
+            values = pa.array([model.features(t).tolist() for t in batch.column(2).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), values], names=["_id", "_toxic", "features"])
+
+    if not model.toxic:
+        return model
+    found = held.mapInArrow(measured, kinds + ", features array<double>").orderBy("_id").collect()
+    if len({r["_toxic"] for r in found}) < 2:
+        return Model(b"", b"")
+    return replace(model, weights=_calibrated(np.array([r["features"] for r in found]), np.array([r["_toxic"] for r in found], float)))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted per row of ``docs``; the text is the only input of a score.
 
-    A null text is empty and scores like one; repeated rows get a score each; a null id counts as held out;
+    A null text is empty and scores like one; very long texts are scored whole; repeated rows get a score each; a null id counts as held out;
     an empty table gives no rows; other columns are ignored.
     """
 

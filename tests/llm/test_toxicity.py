@@ -23,10 +23,47 @@ def test_held_out_rows_of_the_table(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     scores = toxicity.score_documents(docs, toxicity.fit(docs, labels))
-    rows = scores.filter("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").collect()
-    # some 250 toxic training texts here; on check_s, with five times as many, the same test gives 0.996 and 0.992
-    assert auc([r["score"] for r in rows], [r["toxic"] for r in rows]) > 0.72
-    assert np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.88
+    rows = scores.filter("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").select("score", "predicted", "toxic", "lang").collect()
+    # some 360 toxic training texts here, 27 of them Spanish
+    assert auc([r["score"] for r in rows], [r["toxic"] for r in rows]) > 0.93
+    for lang in {r["lang"] for r in rows if r["lang"]}:
+        part = [r for r in rows if r["lang"] == lang]
+        assert auc([r["score"] for r in part], [r["toxic"] for r in part]) > 0.85, lang
+    assert np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.94
+
+
+def test_features_against_plain_compression():
+    import zstandard as z
+
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(b" dreadful horrid nasty beastly", b" the of and water under bridge house garden")
+    setup = z.ZstdCompressionParameters.from_level(
+        3, window_log=17, min_match=6, strategy=z.STRATEGY_BTOPT, write_checksum=False, write_content_size=False, write_dict_id=False
+    )
+
+    def length(window, content):
+        raw = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT) if content else None
+        return len(z.ZstdCompressor(compression_params=setup, dict_data=raw).compress(window))
+
+    for n in (0, 1, 7, 8, 9, 100, 3000):
+        words = rng.choice(["Dreadful", "horridly", "the", "WATER", "garden", "of", "bridges", "x1"], n).tolist()
+        cut = [(" " + " ".join(words[i : i + 8]).lower() + " ").encode() for i in range(0, n, 8)]
+        alone = [max(length(w, b"") - length(w, model.toxic), 0) for w in cut]
+        beyond = [max(length(w, model.ordinary) - length(w, model.toxic + model.ordinary), 0) for w in cut]
+        want = [1, np.log1p(len(cut))]
+        for saved in (alone, beyond):
+            want += [max(saved, default=0), np.log1p(sum(saved)), sum(saved) / max(len(cut), 1)]
+        np.testing.assert_allclose(model.features(", ".join(words)), want)
+
+
+def test_training_windows_come_from_the_whole_text():
+    words = ["w%d" % (i % 1000) for i in range(20_000)]
+    start, _, sample = toxicity.sample_of(" ".join(words))
+    taken = sample.split()
+    assert start == b"w0 w1 w2 w3 w4 w5 w6 w7" and len(taken) <= toxicity.SAMPLE_WINDOWS * toxicity.SAMPLE_WINDOW
+    places = [i for i in range(0, 20_000, toxicity.SAMPLE_WINDOW) if " ".join(words[i : i + 5]).encode() + b" " in sample]
+    assert max(places) > 10_000
+    assert toxicity.sample_of("")[2] == b"" and toxicity.sample_of("one")[2] == b" one "
 
 
 @pytest.fixture(scope="module")
