@@ -2,19 +2,31 @@
 
 Lines are hashed, a rolling hash over ``WINDOW`` line hashes marks the lines after which a chunk ends,
 so boundaries depend on nearby content alone and an insertion shifts no chunk beyond it. Chunks of
-at least ``MIN_LINES`` lines that occur more than once in the corpus keep their first occurrence. Only chunks
-whose hash repeats are grouped by their bytes, so a hash collision removes nothing.
+at least ``MIN_LINES`` lines that occur more than once in the corpus keep their first occurrence.
+
+A passage of few lines seldom holds a whole chunk, and a longer one's ends lie outside its chunks. So the lines that
+repeated chunks leave are compared once more, by every window of ``MIN_LINES`` lines: what is removed in
+the end are the lines of all windows that occur earlier. A window inside a removed chunk is left out, as it occurs in the
+chunk's first occurrence, which stays.
+
+Only chunks and windows whose hash repeats are grouped by their bytes, so a hash collision removes nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from folioflow.llm.common import keyed_documents, written
 
 #: Lines in the rolling hash; one position in ``SPREAD`` ends a chunk; shorter chunks are never removed.
 WINDOW, SPREAD, MIN_LINES = 2, 4, 2
+#: Hashes with more than one in ``HOT`` of all repeated pieces are fewer than ``HOT``; each is dealt to ``SALTS`` tasks.
+HOT, SALTS = 1024, 32
+#: Lines without any character but white space, and two of them in a row.
+BLANK = r"^[\x20\x09-\x0D]*$"
+BLANK_PAIR = r"(^|\n)[\x20\x09\x0B-\x0D]*\n[\x20\x09\x0B-\x0D]*(\n|$)"
 
 
 def _let(value: Column, body) -> Column:
@@ -55,34 +67,80 @@ def chunk_table(texts: DataFrame, window: int = WINDOW, spread: int = SPREAD) ->
     return texts.select("_key", F.inline(_chunks(F.col("text"), window, spread)))
 
 
-def repeated_chunks(texts: DataFrame, window: int = WINDOW, spread: int = SPREAD, min_lines: int = MIN_LINES) -> DataFrame:
-    """(_key, first, n_lines) of every chunk that repeats an earlier one: smaller _key, or earlier in the same text."""
-    chunks = chunk_table(texts, window, spread).filter((F.col("n_lines") >= min_lines) & F.col("content").rlike(r"[^\x20\x09-\x0D]"))
-    chunks = chunks.withColumn("hash", F.xxhash64("content"))
-    hot = chunks.groupBy("hash").agg(F.count("*").alias("copies")).filter("copies > 1").select("hash")
-    # only chunks whose hash repeats travel with their text; equal bytes make a group
-    again = written(chunks.join(written(hot, "chunk-hashes"), "hash", "left_semi"), "chunk-repeats")
-    place = F.struct("_key", "first")
-    starts = again.groupBy("hash", "content").agg(F.min(place).alias("kept"))
-    later = again.join(starts, ["hash", "content"]).filter((F.col("kept._key") != F.col("_key")) | (F.col("kept.first") != F.col("first")))
+def window_table(texts: DataFrame, size: int = MIN_LINES) -> DataFrame:
+    """(_key, first, n_lines, content) of the windows of ``size`` lines of ``texts`` (_key, text, gone) that lie in no span of ``gone``."""
+
+    def starts(lines, spans):
+        def between(k):
+            before, after = F.element_at(spans, F.greatest(k, F.lit(1))), F.element_at(spans, F.least(k + 1, F.size(spans)))
+            low = F.when(k == 0, F.lit(0)).otherwise(before["first"] + before["n_lines"] - (size - 1))
+            high = F.least(F.size(lines) - size, F.when(k == F.size(spans), F.size(lines)).otherwise(after["first"] - 1))
+            return F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+
+        alone = F.when(F.size(lines) >= size, F.sequence(F.lit(0), F.greatest(F.size(lines) - size, F.lit(0))))
+        return F.when(F.size(spans) == 0, alone).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), between)))
+
+    def cut(lines):
+        piece = lambda i: F.struct(i.alias("first"), F.lit(size).alias("n_lines"), F.array_join(F.slice(lines, i + 1, size), "\n").alias("content"))
+        return F.transform(_let(F.array_sort(F.coalesce("gone", F.array().cast("array<struct<first:int,n_lines:int>>"))), lambda spans: starts(lines, spans)), piece)
+
+    return texts.select("_key", F.inline(_let(F.split("text", "\n", -1), cut)))
+
+
+def later_ones(pieces: DataFrame, label: str) -> DataFrame:
+    """(_key, first, n_lines) of every piece that equals an earlier one: smaller _key, or earlier in the same text."""
+    pieces = pieces.withColumn("hash", F.xxhash64("content"))
+    counts = written(pieces.groupBy("hash").agg(F.count("*").alias("copies")).filter("copies > 1"), f"{label}-hashes")
+    total = counts.agg(F.sum("copies")).first()[0] or 0
+    # fewer than HOT by their share of the total
+    hot = F.broadcast(counts.filter(F.col("copies") > total / HOT).select("hash", F.lit(True).alias("hot")))
+    # only pieces whose hash repeats travel with their text; equal bytes make a group
+    again = pieces.join(hot, "hash", "left")
+    again = again.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("_key", "first"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    known = counts.select("hash").join(hot, "hash", "left").select("hash", F.explode(salts).alias("salt"))
+    again = written(again.join(known, ["hash", "salt"], "left_semi"), f"{label}-repeats")
+    # least places are combined before the shuffle; their rows, one per group, are repeated for hot hashes only
+    starts = again.groupBy("hash", "content").agg(F.min(F.struct("_key", "first")).alias("kept"), F.max("hot").alias("hot"))
+    starts = starts.select("hash", "content", "kept", F.explode(salts).alias("salt"))
+    later = again.drop("hot").join(starts, ["hash", "content", "salt"]).filter((F.col("kept._key") != F.col("_key")) | (F.col("kept.first") != F.col("first")))
     return later.select("_key", "first", "n_lines")
 
 
+def _merged(spans: DataFrame) -> DataFrame:
+    """(_key, gone): each text's spans in order; spans that overlap or meet are one."""
+    before = W.partitionBy("_key").orderBy("first", "n_lines").rowsBetween(W.unboundedPreceding, -1)
+    upto = W.partitionBy("_key").orderBy("first", "n_lines").rowsBetween(W.unboundedPreceding, W.currentRow)
+    end = F.col("first") + F.col("n_lines")
+    parted = spans.withColumn("new", (F.col("first") > F.coalesce(F.max(end).over(before), F.lit(-1))).cast("int"))
+    runs = parted.withColumn("run", F.sum("new").over(upto)).groupBy("_key", "run").agg(F.min("first").alias("first"), F.max(end).alias("end"))
+    span = F.struct("first", (F.col("end") - F.col("first")).cast("int").alias("n_lines"))
+    return runs.groupBy("_key").agg(F.array_sort(F.collect_list(span)).alias("gone"))
+
+
+def repeated_lines(texts: DataFrame, window: int = WINDOW, spread: int = SPREAD, min_lines: int = MIN_LINES) -> DataFrame:
+    """(_key, gone) of every text of ``texts`` (_key, text) that repeats lines: the runs of lines that lie in windows which occur earlier."""
+    chunks = chunk_table(texts, window, spread).filter((F.col("n_lines") >= min_lines) & ~F.col("content").rlike(BLANK_PAIR))
+    by_chunk = written(later_ones(chunks.drop("chunk"), "chunk"), "chunk-later")
+    left = texts.join(_merged(by_chunk), "_key", "left")
+    windows = window_table(left, min_lines).filter(~F.col("content").rlike(BLANK))
+    return _merged(by_chunk.unionByName(later_ones(windows, "window")))
+
+
 def dedup_lines(docs: DataFrame, window: int = WINDOW, spread: int = SPREAD, min_lines: int = MIN_LINES) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_chunks_removed, text (what is left) per row of ``docs``.
+    """doc_id, n_lines, n_removed, n_chunks_removed (runs of removed lines), text (what is left) per row of ``docs``.
 
-    Removed are the lines of multi-line chunks that equal an earlier chunk, byte by byte: at a smaller doc_id (nulls
-    last, equal ids by text digest) or earlier in the same text; chunks of white space only stay. A null text is
-    empty and an empty text has one empty line; exact repeats of id and text are one document and get its result
-    each; an empty table gives no rows; other columns are ignored.
+    Removed are the lines of all ``min_lines`` lines in a row that equal earlier ones, byte by byte: at a smaller doc_id (nulls
+    last, equal ids by text digest) or earlier in the same text; lines of white space only stay where as many stand
+    together. A null text is empty and an empty text has one empty line; very long texts are compared whole; exact repeats of
+    id and text are one document and get its result each; an empty table gives no rows; other columns are ignored.
     """
     texts, single = keyed_documents(docs)
-    gone = repeated_chunks(single.select("_key", "text"), window, spread, min_lines)
-    gone = written(gone.groupBy(F.col("_key").alias("_gone_key")).agg(F.collect_list(F.struct("first", "n_lines")).alias("gone")), "chunk-removals")
+    gone = written(repeated_lines(single.select("_key", "text"), window, spread, min_lines).withColumnRenamed("_key", "_gone_key"), "chunk-removals")
     rows = texts.join(gone, texts["_key"] == gone["_gone_key"], "left")
 
     def kept(lines, spans):
-        """Lines between the removed spans, which are in order and do not meet inside a chunk."""
+        """Lines between the removed spans, which are in order and do not meet."""
 
         def between(k):
             before, after = F.element_at(spans, F.greatest(k, F.lit(1))), F.element_at(spans, F.least(k + 1, F.size(spans)))
@@ -92,7 +150,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, spread: int = SPREAD, min
 
         return F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), between))
 
-    rest = _let(F.split("text", "\n", -1), lambda lines: _let(F.array_sort("gone"), lambda spans: F.array_join(kept(lines, spans), "\n")))
+    rest = _let(F.split("text", "\n", -1), lambda lines: _let(F.col("gone"), lambda spans: F.array_join(kept(lines, spans), "\n")))
     removed = F.aggregate("gone", F.lit(0), lambda s, x: s + x["n_lines"])
     return rows.select(
         F.col("doc_id").cast("long").alias("doc_id"),
