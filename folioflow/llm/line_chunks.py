@@ -9,7 +9,7 @@ repeated chunks leave are compared once more, by every window of ``MIN_LINES`` l
 the end are the lines of all windows that occur earlier. A window inside a removed chunk is left out, as it occurs in the
 chunk's first occurrence, which stays.
 
-Only chunks and windows whose hash repeats are grouped by their bytes, so a hash collision removes nothing.
+Only chunks and windows whose hash repeats travel with their bytes, which are compared, so a hash collision removes nothing.
 """
 
 from __future__ import annotations
@@ -88,23 +88,33 @@ def window_table(texts: DataFrame, size: int = MIN_LINES) -> DataFrame:
 
 
 def later_ones(pieces: DataFrame, label: str) -> DataFrame:
-    """(_key, first, n_lines) of every piece that equals an earlier one: smaller _key, or earlier in the same text."""
+    """(_key, first, n_lines) of every piece that equals an earlier one: smaller _key, or earlier in the same text.
+
+    Bytes are compared by the least and the greatest content of a hash, which are combined before they travel; pieces whose
+    hash stands for several contents, if there are any, are grouped by content.
+    """
     pieces = pieces.withColumn("hash", F.xxhash64("content"))
-    counts = written(pieces.groupBy("hash").agg(F.count("*").alias("copies")).filter("copies > 1"), f"{label}-hashes")
+    places = written(pieces.select("hash", "_key", "first", "n_lines"), f"{label}-places")
+    counts = written(places.groupBy("hash").agg(F.count("*").alias("copies")).filter("copies > 1"), f"{label}-hashes")
+    again = pieces.join(counts.select("hash"), "hash", "left_semi")
+    place = F.struct("_key", "first")
+    groups = again.groupBy("hash").agg(F.min(place).alias("kept"), F.min("content").alias("least"), F.max("content").alias("greatest"))
+    groups = written(groups.select("hash", "kept", (F.col("least") == F.col("greatest")).alias("equal")), f"{label}-groups")
+    later = (F.col("kept._key") != F.col("_key")) | (F.col("kept.first") != F.col("first"))
+    # hashes with more than their share of the total are fewer than HOT; their rows are dealt to SALTS tasks
     total = counts.agg(F.sum("copies")).first()[0] or 0
-    # fewer than HOT by their share of the total
     hot = F.broadcast(counts.filter(F.col("copies") > total / HOT).select("hash", F.lit(True).alias("hot")))
-    # only pieces whose hash repeats travel with their text; equal bytes make a group
-    again = pieces.join(hot, "hash", "left")
-    again = again.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("_key", "first"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    known = counts.select("hash").join(hot, "hash", "left").select("hash", F.explode(salts).alias("salt"))
-    again = written(again.join(known, ["hash", "salt"], "left_semi"), f"{label}-repeats")
-    # least places are combined before the shuffle; their rows, one per group, are repeated for hot hashes only
-    starts = again.groupBy("hash", "content").agg(F.min(F.struct("_key", "first")).alias("kept"), F.max("hot").alias("hot"))
-    starts = starts.select("hash", "content", "kept", F.explode(salts).alias("salt"))
-    later = again.drop("hot").join(starts, ["hash", "content", "salt"]).filter((F.col("kept._key") != F.col("_key")) | (F.col("kept.first") != F.col("first")))
-    return later.select("_key", "first", "n_lines")
+    same = groups.filter("equal").join(hot, "hash", "left").select("hash", "kept", F.explode(salts).alias("salt"))
+    dealt = F.when(F.col("hot"), F.pmod(F.xxhash64("_key", "first"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    rows = places.join(hot, "hash", "left").withColumn("salt", dealt).join(same, ["hash", "salt"]).filter(later)
+    mixed = groups.filter("not equal").select("hash")
+    if not mixed.take(1):
+        return rows.select("_key", "first", "n_lines")
+    apart = written(pieces.join(mixed, "hash", "left_semi"), f"{label}-mixed")
+    starts = apart.groupBy("hash", "content").agg(F.min(place).alias("kept"))
+    rest = apart.join(starts, ["hash", "content"]).filter(later)
+    return rows.select("_key", "first", "n_lines").unionByName(rest.select("_key", "first", "n_lines"))
 
 
 def _merged(spans: DataFrame) -> DataFrame:

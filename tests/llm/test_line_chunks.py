@@ -68,6 +68,13 @@ def test_hot_pieces_and_longer_windows(spark, monkeypatch):
     assert three == {i: 3 if i else 0 for i in range(60)}
 
 
+def test_equal_hashes_of_unequal_lines(spark, monkeypatch):
+    real = line_chunks.F.xxhash64
+    monkeypatch.setattr(line_chunks.F, "xxhash64", lambda *c: real(*c) % 3 if isinstance(c[0], str) and c[0] == "content" else real(*c))
+    rows = [(i, "\n".join("l%d" % (i * 7 % (k + 3)) for k in range(6))) for i in range(12)]
+    assert sorted(map(tuple, line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == brute(rows)
+
+
 def test_native_plan(spark):
     plan = line_chunks.dedup_lines(spark.createDataFrame([(1, "a\nb"), (2, "a\nb")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
