@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.session import scratch_dir
@@ -69,6 +69,23 @@ def keyed_documents(docs: DataFrame, *columns: str) -> tuple[DataFrame, DataFram
     return rows, rows.dropDuplicates(["_key"])
 
 
+def meet(rows: DataFrame, per_key: DataFrame, key: str, hot: int, salts: int, *deal_by: str) -> DataFrame:
+    """``rows`` joined with ``per_key``, which has one row per ``key`` and the number of its rows in ``copies``.
+
+    Keys with more than one in ``hot`` of all rows are fewer than ``hot``; they are sent out, and the rows of each are dealt to
+    ``salts`` tasks by the hash of ``deal_by``.
+    """
+    total = per_key.agg(F.sum("copies")).first()[0] or 0
+    often = F.broadcast(per_key.filter(F.col("copies") > total / hot).select(key, F.lit(True).alias("_hot")))
+
+    def salted(side: DataFrame, if_hot: Column, otherwise: Column) -> DataFrame:
+        return side.join(often, key, "left").withColumn("_salt", F.when(F.col("_hot"), if_hot).otherwise(otherwise)).drop("_hot")
+
+    dealt = salted(rows, F.pmod(F.xxhash64(*deal_by), F.lit(salts)).cast("int"), F.lit(0))
+    copied = salted(per_key.drop("copies"), F.sequence(F.lit(0), F.lit(salts - 1)), F.array(F.lit(0))).withColumn("_salt", F.explode("_salt"))
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+
+
 def words_of(text: str) -> list[bytes]:
     """Words in lower case; punctuation parts them and does not count."""
     return text.lower().encode("utf-8", "surrogatepass").translate(WORD_TABLE).split()

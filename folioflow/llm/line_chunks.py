@@ -9,7 +9,8 @@ repeated chunks leave are compared once more, by every window of ``MIN_LINES`` l
 the end are the lines of all windows that occur earlier. A window inside a removed chunk is left out, as it occurs in the
 chunk's first occurrence, which stays.
 
-Only chunks and windows whose hash repeats travel with their bytes, which are compared, so a hash collision removes nothing.
+Texts travel whole at most once a join; of chunks and windows only those whose hash repeats travel with their bytes, which
+are compared, so a hash collision removes nothing.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from folioflow.llm.common import keyed_documents, written
+from folioflow.llm.common import keyed_documents, meet, written
 
 #: Lines in the rolling hash; one position in ``SPREAD`` ends a chunk; shorter chunks are never removed.
 WINDOW, SPREAD, MIN_LINES = 2, 4, 2
@@ -87,31 +88,33 @@ def window_table(texts: DataFrame, size: int = MIN_LINES) -> DataFrame:
     return texts.select("_key", F.inline(_let(F.split("text", "\n", -1), cut)))
 
 
-def later_ones(pieces: DataFrame, label: str) -> DataFrame:
-    """(_key, first, n_lines) of every piece that equals an earlier one: smaller _key, or earlier in the same text.
+def later_ones(texts: DataFrame, pieces: DataFrame, label: str) -> DataFrame:
+    """(_key, first, n_lines) of every piece of ``texts`` that equals an earlier one: smaller _key, or earlier in the same text.
 
-    Bytes are compared by the least and the greatest content of a hash, which are combined before they travel; pieces whose
-    hash stands for several contents, if there are any, are grouped by content.
+    Only hashes and places of all pieces travel. Those whose hash repeats are cut from their texts once more, and bytes are
+    compared by the least and the greatest content of a hash, which are combined before they travel; pieces whose hash
+    stands for several contents, if there are any, are grouped by content.
     """
-    pieces = pieces.withColumn("hash", F.xxhash64("content"))
-    places = written(pieces.select("hash", "_key", "first", "n_lines"), f"{label}-places")
+    places = written(pieces.select(F.xxhash64("content").alias("hash"), "_key", "first", "n_lines"), f"{label}-places")
     counts = written(places.groupBy("hash").agg(F.count("*").alias("copies")).filter("copies > 1"), f"{label}-hashes")
-    again = pieces.join(counts.select("hash"), "hash", "left_semi")
+    repeats = written(meet(places, counts, "hash", HOT, SALTS, "_key", "first"), f"{label}-repeats")
+    marked = repeats.groupBy("_key").agg(F.collect_list(F.struct("first", "n_lines", "hash")).alias("at"))
+
+    def cut(lines):
+        return F.transform("at", lambda p: F.struct(p["hash"], p["first"], p["n_lines"], F.array_join(F.slice(lines, p["first"] + 1, p["n_lines"]), "\n").alias("content")))
+
+    again = texts.join(marked, "_key").select("_key", F.inline(_let(F.split("text", "\n", -1), cut)))
     place = F.struct("_key", "first")
-    groups = again.groupBy("hash").agg(F.min(place).alias("kept"), F.min("content").alias("least"), F.max("content").alias("greatest"))
-    groups = written(groups.select("hash", "kept", (F.col("least") == F.col("greatest")).alias("equal")), f"{label}-groups")
+    groups = again.groupBy("hash").agg(
+        F.min(place).alias("kept"), F.min("content").alias("least"), F.max("content").alias("greatest"), F.count("*").alias("copies")
+    )
+    groups = written(groups.select("hash", "kept", "copies", (F.col("least") == F.col("greatest")).alias("equal")), f"{label}-groups")
     later = (F.col("kept._key") != F.col("_key")) | (F.col("kept.first") != F.col("first"))
-    # hashes with more than their share of the total are fewer than HOT; their rows are dealt to SALTS tasks
-    total = counts.agg(F.sum("copies")).first()[0] or 0
-    hot = F.broadcast(counts.filter(F.col("copies") > total / HOT).select("hash", F.lit(True).alias("hot")))
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    same = groups.filter("equal").join(hot, "hash", "left").select("hash", "kept", F.explode(salts).alias("salt"))
-    dealt = F.when(F.col("hot"), F.pmod(F.xxhash64("_key", "first"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    rows = places.join(hot, "hash", "left").withColumn("salt", dealt).join(same, ["hash", "salt"]).filter(later)
+    rows = meet(repeats, groups.filter("equal").drop("equal"), "hash", HOT, SALTS, "_key", "first").filter(later)
     mixed = groups.filter("not equal").select("hash")
     if not mixed.take(1):
         return rows.select("_key", "first", "n_lines")
-    apart = written(pieces.join(mixed, "hash", "left_semi"), f"{label}-mixed")
+    apart = written(again.join(mixed, "hash", "left_semi"), f"{label}-mixed")
     starts = apart.groupBy("hash", "content").agg(F.min(place).alias("kept"))
     rest = apart.join(starts, ["hash", "content"]).filter(later)
     return rows.select("_key", "first", "n_lines").unionByName(rest.select("_key", "first", "n_lines"))
@@ -131,10 +134,10 @@ def _merged(spans: DataFrame) -> DataFrame:
 def repeated_lines(texts: DataFrame, window: int = WINDOW, spread: int = SPREAD, min_lines: int = MIN_LINES) -> DataFrame:
     """(_key, gone) of every text of ``texts`` (_key, text) that repeats lines: the runs of lines that lie in windows which occur earlier."""
     chunks = chunk_table(texts, window, spread).filter((F.col("n_lines") >= min_lines) & ~F.col("content").rlike(BLANK_PAIR))
-    by_chunk = written(later_ones(chunks.drop("chunk"), "chunk"), "chunk-later")
+    by_chunk = written(later_ones(texts, chunks.drop("chunk"), "chunk"), "chunk-later")
     left = texts.join(_merged(by_chunk), "_key", "left")
     windows = window_table(left, min_lines).filter(~F.col("content").rlike(BLANK))
-    return _merged(by_chunk.unionByName(later_ones(windows, "window")))
+    return _merged(by_chunk.unionByName(later_ones(texts, windows, "window")))
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW, spread: int = SPREAD, min_lines: int = MIN_LINES) -> DataFrame:
