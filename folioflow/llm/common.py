@@ -73,7 +73,7 @@ def meet(rows: DataFrame, per_key: DataFrame, key: str, hot: int, salts: int, *d
     """``rows`` joined with ``per_key``, which has one row per ``key`` and the number of its rows in ``copies``.
 
     Keys with more than one in ``hot`` of all rows are fewer than ``hot``; they are sent out, and the rows of each are dealt to
-    ``salts`` tasks by the hash of ``deal_by``.
+    ``salts`` tasks by the hash of ``deal_by``. The other keys grow with the data and are never sent out, however few they are.
     """
     total = per_key.agg(F.sum("copies")).first()[0] or 0
     often = F.broadcast(per_key.filter(F.col("copies") > total / hot).select(key, F.lit(True).alias("_hot")))
@@ -83,7 +83,7 @@ def meet(rows: DataFrame, per_key: DataFrame, key: str, hot: int, salts: int, *d
 
     dealt = salted(rows, F.pmod(F.xxhash64(*deal_by), F.lit(salts)).cast("int"), F.lit(0))
     copied = salted(per_key.drop("copies"), F.sequence(F.lit(0), F.lit(salts - 1)), F.array(F.lit(0))).withColumn("_salt", F.explode("_salt"))
-    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+    return dealt.join(copied.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def words_of(text: str) -> list[bytes]:

@@ -9,7 +9,7 @@ repeated chunks leave are compared once more, by every window of ``MIN_LINES`` l
 the end are the lines of all windows that occur earlier. A window inside a removed chunk is left out, as it occurs in the
 chunk's first occurrence, which stays.
 
-Texts travel whole at most once a join; of chunks and windows only those whose hash repeats travel with their bytes, which
+Texts travel whole once a join (their marks grow with the corpus, so they are joined by merging at every size); of chunks and windows only those whose hash repeats travel with their bytes, which
 are compared, so a hash collision removes nothing.
 """
 
@@ -103,7 +103,7 @@ def later_ones(texts: DataFrame, pieces: DataFrame, label: str) -> DataFrame:
     def cut(lines):
         return F.transform("at", lambda p: F.struct(p["hash"], p["first"], p["n_lines"], F.array_join(F.slice(lines, p["first"] + 1, p["n_lines"]), "\n").alias("content")))
 
-    again = texts.join(marked, "_key").select("_key", F.inline(_let(F.split("text", "\n", -1), cut)))
+    again = texts.join(marked.hint("merge"), "_key").select("_key", F.inline(_let(F.split("text", "\n", -1), cut)))
     place = F.struct("_key", "first")
     groups = again.groupBy("hash").agg(
         F.min(place).alias("kept"), F.min("content").alias("least"), F.max("content").alias("greatest"), F.count("*").alias("copies")
@@ -135,7 +135,7 @@ def repeated_lines(texts: DataFrame, window: int = WINDOW, spread: int = SPREAD,
     """(_key, gone) of every text of ``texts`` (_key, text) that repeats lines: the runs of lines that lie in windows which occur earlier."""
     chunks = chunk_table(texts, window, spread).filter((F.col("n_lines") >= min_lines) & ~F.col("content").rlike(BLANK_PAIR))
     by_chunk = written(later_ones(texts, chunks.drop("chunk"), "chunk"), "chunk-later")
-    left = texts.join(_merged(by_chunk), "_key", "left")
+    left = texts.join(_merged(by_chunk).hint("merge"), "_key", "left")
     windows = window_table(left, min_lines).filter(~F.col("content").rlike(BLANK))
     return _merged(by_chunk.unionByName(later_ones(texts, windows, "window")))
 
@@ -150,7 +150,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, spread: int = SPREAD, min
     """
     texts, single = keyed_documents(docs)
     gone = written(repeated_lines(single.select("_key", "text"), window, spread, min_lines).withColumnRenamed("_key", "_gone_key"), "chunk-removals")
-    rows = texts.join(gone, texts["_key"] == gone["_gone_key"], "left")
+    rows = texts.join(gone.hint("merge"), texts["_key"] == gone["_gone_key"], "left")
 
     def kept(lines, spans):
         """Lines between the removed spans, which are in order and do not meet."""
