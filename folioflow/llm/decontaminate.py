@@ -1,12 +1,15 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-Test items meet the corpus in blocks of at most ``BLOCK_WORDS`` words, the bound of what is sent to the
-tasks. Every n-gram of an item is a seed, so a copy is found from whatever n-gram of it is left: which ones an
-edited or partial copy keeps cannot be told beforehand. The seeds that occur in a document tie
-it to items, and a local alignment of the item's words with the document around its seeds scores the copy.
-An exact bound (shared words) spares most alignments that a common n-gram asks for. Texts are never shuffled.
-
-A caller may limit the seeds to each item's rarest; only then the corpus is read once more, for the document frequencies.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+Test items meet the corpus in blocks of at most ``BLOCK_WORDS`` words, the bound of what is sent to the tasks. Seeds are
+pairs of words with at most one word between them, on either side. A copy may keep no longer n-gram (every other word changed
+or a word put in between), but it always keeps pairs: take an item of n words and an alignment of similarity s or more. It has
+at least s n equal words, and what parts them costs at most 2 (equal words - s n). A step from one equal word to the next that is
+no such pair costs two or more, so at least ceil(s n) - 1 steps are pairs, each from another word of the item. Of the n - 1 words
+that begin a pair any n + 1 - ceil(s n) therefore hold one of the copy's: the rarest in the corpus are taken, and no copy is missed.
+
+The corpus is read twice: for the number of documents that hold each pair, and for the copies. Seeds that occur in a document
+tie it to items, and a local alignment of the item's words with the document around its seeds scores the copy. An
+exact bound (shared words) spares most alignments that a common seed asks for. Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cached_property, reduce
 from itertools import repeat
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +26,10 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import WORD_TABLE, words_of, written
 
-#: Words per seed, least similarity of a copy.
-GRAM, SIMILARITY = 3, 0.5
+#: Least similarity of a copy.
+SIMILARITY = 0.5
+#: Distances of the two words of a seed.
+STEPS = (1, 2)
 #: Alignment scores: equal words, unequal words, a word left out on either side.
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 500_000
@@ -36,57 +42,58 @@ LINKS = "doc_id long, item_id long, similarity double, first_word int, last_word
 
 
 class Items:
-    """A block of test items as word numbers, and its n-grams."""
+    """A block of test items as word numbers, and their pairs of words that stand near each other."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], gram: int):
-        self.gram = gram
+    def __init__(self, items: list[tuple[int, list[bytes]]]):
         self.number: dict[bytes, int] = {}
         self.ids = [i for i, _ in items]
         self.words = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in ws], np.int64) for _, ws in items]
-        # number of the n-gram that ends in each word: prefixes numbered one word at a time
-        self.steps: list[np.ndarray] = []
-        everything = np.concatenate([np.append(w, 0) for w in self.words]) if items else np.zeros(0, np.int64)
         self.base = len(self.number) + 1
-        grams, _ = self._grams(everything, learn=True)
-        self.codes = np.unique(grams)
-        self.at = [self._grams(w)[0] for w in self.words]
+        # an item of one word has no pair; the word itself is its seed
+        self.single = np.zeros(self.base, bool)
+        self.single[[int(w[0]) for w in self.words if len(w) == 1]] = True
+        self.codes = np.unique(np.concatenate([np.zeros(0, np.int64), *(self.pairs(w)[0] for w in self.words)]))
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "known"}
 
-    def _grams(self, numbers: np.ndarray, learn: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """(codes, positions) of the n-grams without unknown words that the items have; codes count from 0 at each length."""
-        at = np.flatnonzero(numbers)
-        code = numbers[at] - 1
-        for k in range(1, self.gram):
-            fits = at + k < len(numbers)
-            at, code = at[fits], code[fits]
-            nxt = numbers[at + k]
-            pair = code * self.base + nxt
-            at, pair = at[nxt > 0], pair[nxt > 0]
-            if learn:
-                self.steps.append(np.unique(pair))
-            known = self.steps[k - 1]
-            place = np.searchsorted(known, pair)
-            found = place < len(known)
-            found[found] = known[place[found]] == pair[found]
-            at, code = at[found], place[found]
-        return code, at
+    def pairs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, positions) of the pairs of known words, and of the words that are items; positions below 0 part texts."""
+        codes, places = [], []
+        for step in STEPS:
+            here, there = numbers[:-step], numbers[step:]
+            fits = (here > 0) & (there > 0)
+            for between in range(1, step):
+                fits &= numbers[between : len(numbers) - step + between] >= 0
+            at = np.flatnonzero(fits)
+            codes.append(here[at] * self.base + there[at])
+            places.append(at)
+        if self.single.any():
+            at = np.flatnonzero(self.single[np.maximum(numbers, 0)])
+            codes.append(numbers[at])  # below ``base``, as no pair is
+            places.append(at)
+        return np.concatenate(codes), np.concatenate(places)
+
+    def known_pairs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``codes``, positions) of those pairs of a text that some item has."""
+        code, at = self.pairs(numbers)
+        place = np.searchsorted(self.codes, code)
+        found = np.flatnonzero(place < len(self.codes))
+        found = found[self.codes[place[found]] == code[found]]
+        return place[found], at[found]
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of some texts one after another, 0 for unknown words and between texts; where each text starts, and the end."""
+        """Word numbers of some texts one after another, 0 for unknown words, -1 between texts; where each text starts, and the end."""
         data = b" \1 ".join([t.lower().encode("utf-8", "surrogatepass").translate(WORD_TABLE) for t in texts])
         words = data.split()
         out = np.fromiter(map(self.known.get, words, repeat(0)), np.int64, len(words))
-        between = np.flatnonzero(out < 0)
-        out[between] = 0
-        return out, np.concatenate([[0], between + 1, [len(out) + 1]])
+        return out, np.concatenate([[0], np.flatnonzero(out < 0) + 1, [len(out) + 1]])
 
-    def grams_of(self, texts: list[str]) -> np.ndarray:
-        """Codes of the n-grams in some texts, each once per text that has it."""
+    def pairs_of(self, texts: list[str]) -> np.ndarray:
+        """Places in ``codes`` of the pairs in some texts, each once per text that has it."""
         numbers, bounds = self.numbers(texts)
-        code, at = self._grams(numbers)
-        return np.unique(np.searchsorted(bounds, at, side="right") * (len(self.codes) + 1) + code) % (len(self.codes) + 1)
+        place, at = self.known_pairs(numbers)
+        return np.unique(np.searchsorted(bounds, at, side="right") * (len(self.codes) + 1) + place) % (len(self.codes) + 1)
 
     @cached_property
     def known(self) -> dict[bytes, int]:
@@ -94,22 +101,21 @@ class Items:
 
 
 class Matcher:
-    """Finds copies of a block's items in a text.
-
-    With ``frequency`` and ``seeds`` only each item's ``seeds`` rarest n-grams that some document holds are looked for, and all that tie with the last.
-    """
+    """Finds copies of a block's items in a text; ``frequency`` is the number of documents that hold each pair of the block."""
 
-    def __init__(self, items: Items, similarity: float, frequency: np.ndarray | None = None, seeds: int | None = None):
+    def __init__(self, items: Items, similarity: float, frequency: np.ndarray):
         self.items, self.similarity = items, similarity
+        #: Items too short for a pair to be certain (two words at a similarity of one half) count as whole copies only.
+        self.least = [similarity if _shared(len(w), similarity) > 1 else 1.0 for w in items.words]
         entries = []
-        for n, codes in enumerate(items.at):
-            taken = np.ones(len(codes), bool)
-            if seeds is not None:
-                known = frequency[np.unique(codes)]
-                known = np.sort(known[known > 0])
-                limit = known[min(seeds, len(known)) - 1] if len(known) else 0
-                taken = frequency[codes] <= limit
-            entries += [(c, n, p) for p, c in enumerate(codes.tolist()) if taken[p]]
+        for n, (words, least) in enumerate(zip(items.words, self.least, strict=True)):
+            place, at = items.known_pairs(words)
+            weight = np.bincount(at, frequency[place], minlength=len(words))
+            begins = np.unique(at)
+            seeds = len(words) + 1 - _shared(len(words), least)
+            taken = np.zeros(len(words), bool)
+            taken[begins[np.argsort(weight[begins], kind="stable")][:seeds]] = True
+            entries += [(c, n, p) for c, p in zip(place.tolist(), at.tolist(), strict=True) if taken[p]]
         entries.sort()
         self.present = np.zeros(items.base, bool)
         self.code, self.item, self.place = (np.array([e[k] for e in entries], np.int64) for k in range(3))
@@ -117,7 +123,7 @@ class Matcher:
     def __call__(self, texts: list[str]) -> list[tuple[int, int, float, int, int]]:
         """(text, item_id, similarity, first word, last word) of each item's best copy in each text."""
         numbers, bounds = self.items.numbers(texts)
-        code, at = self.items._grams(numbers)
+        code, at = self.items.known_pairs(numbers)
         low, high = np.searchsorted(self.code, code), np.searchsorted(self.code, code, side="right")
         order = np.argsort(at, kind="stable")
         at, low, high = at[order], low[order], high[order]
@@ -131,7 +137,7 @@ class Matcher:
         return out
 
     def _copies(self, numbers: np.ndarray, bounds: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple[int, int, float, int, int]]:
-        """The copies in those texts whose n-grams stand ``at`` these places; the seeds equal to each are ``low`` to ``high``."""
+        """The copies in those texts whose pairs stand ``at`` these places; the seeds equal to each are ``low`` to ``high``."""
         hit = np.repeat(np.arange(len(at)), high - low)
         if not len(hit):
             return []
@@ -145,13 +151,13 @@ class Matcher:
         for a, b in zip(new, [*new[1:], len(order)], strict=True):
             t, n = int(text[a]), int(item[a])
             best = max(self._around(numbers[bounds[t] : bounds[t + 1] - 1], self.items.words[n], np.unique(start[a:b])), default=(0.0, 0, 0))
-            if best[0] >= self.similarity:
+            if best[0] >= self.least[n]:
                 out.append((t, self.items.ids[n], *best))
         return out
 
     def _around(self, numbers: np.ndarray, words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[float, int, int]]:
         """Alignments with the text around supposed starts of the item; regions that meet are one."""
-        slack = len(words) // 2 + 2
+        slack = int(2 * (1 - self.similarity) * len(words)) + 1  # words that a copy can have beside the item's
         lows, highs = np.maximum(starts - slack, 0), np.minimum(starts + len(words) + slack, len(numbers))
         breaks = np.flatnonzero(lows[1:] > highs[:-1]) + 1
         for first, stop in zip(np.append(0, breaks), np.append(breaks, len(starts)), strict=True):
@@ -166,6 +172,11 @@ class Matcher:
             yield score / (MATCH * len(words)), low + a, low + b
 
 
+def _shared(size: int, similarity: float) -> int:
+    """Words of an item of ``size`` words that a copy of this similarity shares at least."""
+    return ceil(similarity * size - 1e-9)
+
+
 def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
     """(number of the first, texts), some ``GROUP_CHARS`` characters at a time."""
     first, size = 0, 0
@@ -206,57 +217,58 @@ def align(text: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def item_blocks(benchmark: DataFrame, gram: int, limit: int = BLOCK_WORDS) -> Iterator[Items]:
-    """The items with at least ``gram`` words, read in order and gathered into blocks of some ``limit`` words."""
+def item_blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[Items]:
+    """The items with any word, read in order and gathered into blocks of some ``limit`` words."""
     block, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     for row in rows.orderBy("item_id", "text").toLocalIterator():
         words = words_of(row["text"])
-        if len(words) < gram:
+        if not words:
             continue
         block.append((row["item_id"], words))
         size += len(words)
         if size >= limit:
-            yield Items(block, gram)
+            yield Items(block)
             block, size = [], 0
     if block:
-        yield Items(block, gram)
+        yield Items(block)
 
 
 def frequencies(docs: DataFrame, items: Items) -> np.ndarray:
-    """Number of documents that hold each n-gram of the block: counted per batch, then summed; at most a block's n-grams come back."""
+    """Number of documents that hold each pair of the block: counted per batch, then summed; at most a block's pairs come back."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def count(batches):
         for batch in batches:
-            found = [sent.value.grams_of(texts) for _, texts in _groups(batch.column(0).to_pylist())]
+            found = [sent.value.pairs_of(texts) for _, texts in _groups(batch.column(0).to_pylist())]
             codes, n = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], names=["code", "n"])
 
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "code long, n long")
     out = np.zeros(len(items.codes), np.int64)
-    for row in rows.groupBy("code").agg(F.sum("n").alias("n")).toLocalIterator():
+    for row in rows.groupBy("code").agg(F.sum("n").alias("n")).collect():
         out[row["code"]] = row["n"]
+    sent.destroy()
     return out
 
 
-def matchers(docs: DataFrame, benchmark: DataFrame, gram: int, seeds: int | None, similarity: float) -> Iterator[Matcher]:
-    for items in item_blocks(benchmark, gram):
-        yield Matcher(items, similarity, None if seeds is None else frequencies(docs, items), seeds)
+def matchers(docs: DataFrame, benchmark: DataFrame, similarity: float) -> Iterator[Matcher]:
+    for items in item_blocks(benchmark):
+        yield Matcher(items, similarity, frequencies(docs, items))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, seeds: int | None = None, similarity: float = SIMILARITY) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, similarity, first_word, last_word: each document and test item it holds a copy of.
 
-    With ``seeds`` only each item's rarest n-grams are looked for, which can miss edited and partial copies.
-    Similarity is the best local alignment's score over that of a whole, exact copy. Items of fewer than ``gram`` words
-    take no part. A null text is empty; repeated documents and repeated items give a row each; a null id stays null; empty
-    tables give no rows; other columns are ignored.
+    Similarity is the best local alignment's score over that of a whole, exact copy. Items too short for that (one or two
+    words at one half) are found as whole copies, items without words never. A null text is empty and very long texts are
+    searched whole; repeated documents and repeated items give a row each; a null id stays null; empty tables give
+    no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = []
-    for matcher in matchers(docs, benchmark, gram, seeds, similarity):
+    for matcher in matchers(docs, benchmark, similarity):
         sent = spark.sparkContext.broadcast(matcher)
 
         def scan(batches, sent=sent):
@@ -270,14 +282,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, seeds: i
                 )
 
         found.append(written(rows.mapInArrow(scan, LINKS), "leaks"))
+        sent.destroy()
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], LINKS)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, seeds: int | None = None, similarity: float = SIMILARITY) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without a copy of any test item, with the columns of ``docs``; same rules as :func:`find_leaks`."""
     spark = docs.sparkSession
     place = docs.columns.index("text")
-    for matcher in matchers(docs, benchmark, gram, seeds, similarity):
+    for matcher in matchers(docs, benchmark, similarity):
         sent = spark.sparkContext.broadcast(matcher)
 
         def clean(batches, sent=sent):
