@@ -73,16 +73,19 @@ x as ({_MATCHES}),
 e as (select *, cast(sum(before + length(m)) over (partition by doc_id, kind order by i) as bigint) as "end" from x),
 c as (select doc_id, source, kind, rank, "end" - length(m) as start, "end", v from e
       where case when kind = 'owned' then regexp_matches(v, '[0-9]') and regexp_matches(v, '[a-z]') and regexp_matches(v, '[A-Z]') else length(v) >= least end),
-o as (select v, count(distinct coalesce(source, '')) as owners from c group by v),
-j as (select c.*, owners from c join o using (v)),
-k as (select * from j where kind <> 'owned' or owners = 1 and not exists (
+h as (select v, count(distinct coalesce(source, '')) as owners, count(distinct doc_id) as repositories from c group by v),
+o as (select *, case when owners >= 3 or repositories >= 6 then 'copied' when owners = 1 then 'specific' else 'shared' end as class from h),
+j as (select c.*, class, repositories from c join o using (v)),
+k as (select * from j where kind <> 'owned' or class = 'specific' and not exists (
         select 1 from j b where b.doc_id = j.doc_id and b.kind <> 'owned' and b.start < j."end" and b."end" > j.start)),
 g as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
-             count(*) filter (kind = 'owned') as n_owned, count(*) filter (owners = 1) as n_single_owner, count(*) filter (owners >= 3) as n_copied,
+             count(*) filter (kind = 'owned') as n_owned, count(*) filter (class = 'specific') as n_specific, count(*) filter (class = 'shared') as n_shared,
+             count(*) filter (class = 'copied') as n_copied, max(repositories) as most_repositories,
              string_agg(kind || ':' || start || ':' || "end", ',' order by start, rank) filter (kind <> 'owned') as base,
              string_agg(kind || ':' || start || ':' || "end", ',' order by start, rank) as spans from k group by doc_id)
 select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256,
-       coalesce(spans, '') as spans, coalesce(n_owned, 0) as n_owned, coalesce(n_single_owner, 0) as n_single_owner, coalesce(n_copied, 0) as n_copied
+       coalesce(spans, '') as spans, coalesce(n_owned, 0) as n_owned, coalesce(n_specific, 0) as n_specific, coalesce(n_shared, 0) as n_shared,
+       coalesce(n_copied, 0) as n_copied, coalesce(most_repositories, 0) as most_repositories
 from d left join g using (doc_id)
 """
 

@@ -2,8 +2,9 @@
 
 Fixed patterns find base spans in whole texts. A wider net takes further token-like strings, which a text
 alone cannot tell from identifiers. Every candidate's digest is counted over the corpus: by
-distinct repository and owner, combined in steps before each shuffle. A value that many owners hold is a
-copied example; a wide-net value that only one owner holds is added as an ``owned`` span.
+distinct repository and owner, combined in steps before each shuffle. Every value then has one of three classes: ``copied``
+(many owners or many repositories hold it: a widely copied example), ``specific`` (one owner, few repositories: it looks live) or
+``shared`` (few repositories of several owners). A wide-net value that is specific is added as an ``owned`` span.
 
 Texts are read once and never shuffled. Positions come from the lengths of matches and of the pieces between
 them, by a running sum over the matches of one text.
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from folioflow.llm.common import written
+from folioflow.llm.common import meet, written
 
 # The base patterns, in the order in which kinds are listed; the group whose length counts, the least length.
 BASE = {
@@ -28,8 +29,11 @@ OWNED = "owned"
 #: The wider net: long runs of token characters with a digit and letters of either case.
 WIDE = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = (*BASE, OWNED)
-#: Owners from which on a value counts as a widely copied example.
-COPIED_OWNERS = 3
+CLASSES = ("specific", "shared", "copied")
+#: Owners, or repositories, from which on a value counts as a widely copied example.
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 6
+#: Values with more than one in ``HOT`` of all candidates are fewer than ``HOT``; the rows of each are dealt to ``SALTS`` tasks.
+HOT, SALTS = 1024, 32
 
 
 def _found(text: str, pattern: str, group: int) -> Column:
@@ -74,10 +78,12 @@ def candidates(scanned: DataFrame) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(digest, owners, repositories): distinct holders of each value; a null owner or repository counts as one holder."""
-    held = found.groupBy("digest", "owner", "repository").agg(F.lit(1).alias("one"))
-    by_owner = held.groupBy("digest", "owner").agg(F.count("*").alias("repositories"))
-    return by_owner.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
+    """(digest, owners, repositories, copies, class): distinct holders and rows of each value; a null owner or repository is one holder."""
+    held = found.groupBy("digest", "owner", "repository").agg(F.count("*").alias("copies"))
+    by_owner = held.groupBy("digest", "owner").agg(F.count("*").alias("repositories"), F.sum("copies").alias("copies"))
+    counted = by_owner.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("copies").alias("copies"))
+    many = (F.col("owners") >= COPIED_OWNERS) | (F.col("repositories") >= COPIED_REPOSITORIES)
+    return counted.withColumn("class", F.when(many, "copied").when(F.col("owners") == 1, "specific").otherwise("shared"))
 
 
 def _joined(spans: Column) -> Column:
@@ -86,29 +92,31 @@ def _joined(spans: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_single_owner, n_copied per row of ``docs``.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_specific, n_shared, n_copied, most_repositories per row of ``docs``.
 
-    ``owned`` spans are wide-net matches that overlap no base span and whose value a single owner holds.
-    n_single_owner and n_copied count all spans whose value one owner, or at least ``COPIED_OWNERS`` owners, hold.
+    ``owned`` spans are wide-net matches that overlap no base span and whose value is specific to its owner.
+    n_specific, n_shared and n_copied count all spans by the class of their value, most_repositories is the largest number of
+    repositories that hold one of them (0 without spans). Wide-net matches that are shared or copied are no spans and count nowhere.
     A null text is empty; texts without spans have empty lists; repeated rows each get their result; an empty table
     gives no rows; other columns are ignored.
     """
     scanned = scan(docs, owner, repository)
     found = written(candidates(scanned), "secret-candidates")
-    counted = found.join(ownership(found), "digest").select("_row", "kind", "start", "end", "owners")
+    holders = written(ownership(found), "secret-holders")
+    counted = meet(found, holders, "digest", HOT, SALTS, "_row", "start").select("_row", "kind", "start", "end", "class", "repositories")
     by_row = W.partitionBy("_row").orderBy("start")
     base = F.col("kind") != OWNED
     reached = F.max(F.when(base, F.col("end"))).over(by_row.rangeBetween(W.unboundedPreceding, W.currentRow))
     coming = F.min(F.when(base, F.col("start"))).over(by_row.rangeBetween(W.currentRow, W.unboundedFollowing))
     counted = counted.withColumns({"reached": F.coalesce(reached, F.lit(-1)), "coming": F.coalesce(coming, F.col("end"))})
-    kept = counted.filter(base | ((F.col("owners") == 1) & (F.col("reached") <= F.col("start")) & (F.col("coming") >= F.col("end"))))
+    kept = counted.filter(base | ((F.col("class") == "specific") & (F.col("reached") <= F.col("start")) & (F.col("coming") >= F.col("end"))))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     span = F.struct("start", rank.alias("rank"), "end", "kind")
     base_spans = F.collect_list(F.when(base, span))
     lists = kept.groupBy("_row").agg(
         *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in KINDS],
-        F.count(F.when(F.col("owners") == 1, 1)).alias("n_single_owner"),
-        F.count(F.when(F.col("owners") >= COPIED_OWNERS, 1)).alias("n_copied"),
+        *[F.count(F.when(F.col("class") == c, 1)).alias(f"n_{c}") for c in CLASSES],
+        F.max("repositories").alias("most_repositories"),
         _joined(base_spans).alias("base"),
         _joined(F.collect_list(span)).alias("spans"),
     )
@@ -120,5 +128,5 @@ def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
         *map(zero, numbers),
         F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"),
         F.coalesce("spans", F.lit("")).alias("spans"),
-        *map(zero, [f"n_{OWNED}", "n_single_owner", "n_copied"]),
+        *map(zero, [f"n_{OWNED}", *(f"n_{c}" for c in CLASSES), "most_repositories"]),
     )

@@ -65,11 +65,39 @@ def test_base_spans_stay_and_owned_ones_come(got):
     assert "owned" not in spans[1] and "owned" not in spans[2] and "owned" not in spans[3]
 
 
+def found(spark, rows):
+    return {r["doc_id"]: r for r in secrets.find_secrets(spark.createDataFrame([(d, t, o, "", "") for d, t, o in rows], SCHEMA)).collect()}
+
+
+def classes(row):
+    return row["n_specific"], row["n_shared"], row["n_copied"], row["most_repositories"]
+
+
 def test_a_value_of_one_owner_is_owned(spark):
-    rows = [(1, f"x {A} y", "o1", "", ""), (2, f"z {A}", "o1", "", ""), (3, B, "o1", "", ""), (4, B, "o2", "", ""), (5, B, "o3", "", "")]
-    got = {r["doc_id"]: r for r in secrets.find_secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got[1]["spans"] == f"owned:2:{2 + len(A)}" and got[2]["n_owned"] == 1 and got[1]["n_single_owner"] == 1
-    assert got[3]["spans"] == "" and got[3]["n_single_owner"] == 0
+    got = found(spark, [(1, f"x {A} y", "o1"), (2, f"z {A}", "o1"), (3, B, "o1"), (4, B, "o2"), (5, B, "o3")])
+    assert got[1]["spans"] == f"owned:2:{2 + len(A)}" and got[2]["n_owned"] == 1 and classes(got[1]) == (1, 0, 0, 2)
+    assert got[3]["spans"] == "" and classes(got[3]) == (0, 0, 0, 0)
+
+
+def test_many_repositories_make_a_copied_example(spark):
+    """One owner pastes a value into 50 documents, another value into five, twice in one of them."""
+    rows = [(i, f"{A} token={C}", "o1") for i in range(50)] + [(100 + i, f"{B} {B}" if i == 0 else B, "o1") for i in range(5)]
+    got = found(spark, rows)
+    assert all("owned" not in got[i]["spans"] and classes(got[i]) == (0, 0, 2, 50) for i in range(50))
+    assert all(got[100 + i]["n_owned"] == 1 + (i == 0) and got[100 + i]["most_repositories"] == 5 for i in range(5))
+
+
+def test_two_owners_share(spark):
+    got = found(spark, [(1, f"token={C}", "o1"), (2, f"secret: {C}", "o2"), (3, f"{A}", "o1"), (4, f"{A}", None)])
+    assert classes(got[1]) == classes(got[2]) == (0, 2, 0, 2)  # the assignment and its hexadecimal digits
+    assert got[3]["spans"] == got[4]["spans"] == ""
+
+
+def test_values_that_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "HOT", 3)
+    rows = [(i, f"é token={C} {A if i < 3 else ''}", f"o{i % 4}") for i in range(40)]
+    got = found(spark, rows)
+    assert all(got[d]["base_sha256"] == hashlib.sha256(line(base_spans(t)).encode()).hexdigest() and got[d]["n_copied"] == 2 for d, t, _ in rows)
 
 
 def test_native_plan_and_empty_table(spark):
