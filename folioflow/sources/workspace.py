@@ -9,6 +9,7 @@ from pyspark.sql.utils import AnalysisException
 
 from folioflow.functions import coerce as c
 from folioflow.functions.text import Sql, basename, clamp_percent, each, extension, half_up, lit, struct
+from folioflow.operators import bind
 from folioflow.operators.classify import in_list
 from folioflow.operators.pii import DETECTORS
 from folioflow.rules import REVIEW_STATUSES, SUPPORTED_EXTENSIONS
@@ -110,7 +111,8 @@ def sanitize_documents(df: DataFrame, doc: str, keep: tuple[str, ...] = ()) -> D
     Non-objects, relative paths and unsupported types are rejected; every other
     wrong value falls back to its default.
     """
-    staged = df.withColumn("_path", F.expr(c.text(doc, "path")))
+    # Bound: a filter above a projection would have the saved text parsed again at every place it names the record.
+    staged = bind(bind(df.withColumnRenamed(doc, "_doc"), doc, "_doc").drop("_doc"), "_path", c.text(doc, "path"))
     valid = f"{c.is_object(doc)} and startswith(_path, '/') and {in_list(extension('_path'), SUPPORTED_EXTENSIONS)}"
     return staged.filter(F.expr(valid)).selectExpr(
         *keep,
