@@ -9,13 +9,17 @@ from folioflow.functions.text import iso_timestamp
 from folioflow.operators import report
 
 
-def write_report(queue: DataFrame, path: str, active_filter: str = "") -> None:
-    """``documents/`` holds one JSON line per document, ``summary/`` the single summary row."""
+def write_report(queue: DataFrame, path: str, active_filter: str = "", compression: str = "gzip") -> None:
+    """``documents/`` holds one JSON line per document, ``summary/`` the single summary row.
+
+    A line names every member of its record, so plain JSON takes many times the room of the queue; readers of JSON lines
+    unpack ``.json.gz`` themselves.
+    """
     rows = report.report_documents(queue).withColumnRenamed("copies", "duplicate_count")
     rows = rows.withColumn("modified_at", F.expr(iso_timestamp("modified_at")))
-    rows.write.mode("overwrite").json(f"{path}/documents")
+    rows.write.mode("overwrite").json(f"{path}/documents", compression=compression)
     stamped = report.summary(queue, active_filter).withColumn("generated_at", F.expr(iso_timestamp("current_timestamp()")))
-    stamped.write.mode("overwrite").json(f"{path}/summary")
+    stamped.write.mode("overwrite").json(f"{path}/summary", compression=compression)
 
 
 def write_csv(queue: DataFrame, path: str) -> None:

@@ -1,11 +1,14 @@
 """Rendered rows are dealt over the cores however the key tables are split, and costly steps run once, where needed."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as t
 from folioflow.plans.queries import QUERIES
 from folioflow.sources import corpus as src
+from folioflow.sources import sinks
 from test_queries import plan
 
 
@@ -44,3 +47,18 @@ def test_trim_and_ocr_gate_look_at_edges_first(spark):
     for r in rows.selectExpr(f"{t.needs_ocr('v')} as x", f"{t.signal_chars('v')} < 120 as y").collect():
         assert r.x == r.y
     assert "left(" in t.needs_ocr("v") and "case when" in t.trim("v")
+
+
+def test_report_takes_no_more_room_than_the_queue(spark, tables, tmp_path):
+    queue = src.queue(spark, tables)
+    queue.write.parquet(f"{tmp_path}/queue")
+    stored = spark.read.parquet(f"{tmp_path}/queue")
+    sinks.write_report(stored, f"{tmp_path}/report", "net 30")
+
+    def room(folder):
+        return sum(f.stat().st_size for f in Path(tmp_path, folder).rglob("part-*"))
+
+    assert room("report/documents") < 2 * room("queue")
+    read = spark.read.json(f"{tmp_path}/report/documents")
+    assert sorted(r.path for r in read.select("path").collect()) == sorted(r.path for r in stored.select("path").collect())
+    assert spark.read.json(f"{tmp_path}/report/summary").first().documents_selected == stored.count()
