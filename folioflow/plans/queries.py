@@ -55,6 +55,15 @@ def _queue(spark: SparkSession, sf: str) -> DataFrame:
     return stored(src.queue(spark, sf), "queue")
 
 
+def _sheet_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """The columns of the inspected queue that a sheet shows, as a stored table."""
+    parts = [F.struct(f"{name}.{member}").alias(name) for name, member in (("ocr", "status"), ("extraction", "template"))]
+    shown = ("path", "name", "extension", "size_bytes", "page_count", "status", "sha256", "review")
+    analysis = F.struct("analysis.document_class", "analysis.sensitivity", "analysis.confidence").alias("analysis")
+    pii_part = F.struct("pii.risk_level", "pii.total_matches").alias("pii")
+    return stored(src.queue(spark, sf).select(*shown, *parts, analysis, pii_part), "queue")
+
+
 def findings_text(findings: str) -> str:
     return "array_join(" + t.each(
         "transform", findings, lambda f: f"concat({f}.category, ' x', {f}.count, ': ', array_join({f}.examples, '; '))"
@@ -400,7 +409,7 @@ def class_profile(spark, sf):
 
 @_query
 def queue_csv(spark, sf):
-    return report.csv_lines(_queue(spark, sf))
+    return report.csv_lines(_sheet_queue(spark, sf))
 
 
 @_query
@@ -420,7 +429,7 @@ def report_docs(spark, sf):
 @_query
 def csv_sheet(spark, sf):
     root = scratch_dir(spark, "csv")
-    sinks.write_csv(_queue(spark, sf), root)
+    sinks.write_csv(_sheet_queue(spark, sf), root)
     return sinks.read_csv(spark, root).selectExpr(
         "`Path` as path", "`Name` as name", "`Pages` as pages", "`Document class` as document_class", "`Reviewed at` as reviewed_at",
         "`Duplicate` as duplicate", "`SHA-256` as sha256",
@@ -503,7 +512,9 @@ def stream_intake(spark, sf):
 @_query
 def stream_pii(spark, sf):
     root, schema = _landed(spark, sf, "stream-pii")
-    rows = src.describe_documents(stream.arriving(spark, f"{root}/landing", schema, 2))
+    # Two files a batch are few tasks, and the scan is much work a row.
+    arriving = stream.arriving(spark, f"{root}/landing", schema, 2).repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    rows = src.describe_documents(arriving)
     scanned = pii.scan(rows.selectExpr("path", f"{t.source_text('text', 'title', 'subject')} as source"), "source").drop("source")
     stream.run_to_table(scanned, f"{root}/out", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/out").selectExpr(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as t
+from folioflow.plans import queries
 from folioflow.plans.queries import QUERIES
 from folioflow.sources import corpus as src
 from folioflow.sources import sinks
@@ -62,3 +63,15 @@ def test_report_takes_no_more_room_than_the_queue(spark, tables, tmp_path):
     read = spark.read.json(f"{tmp_path}/report/documents")
     assert sorted(r.path for r in read.select("path").collect()) == sorted(r.path for r in stored.select("path").collect())
     assert spark.read.json(f"{tmp_path}/report/summary").first().documents_selected == stored.count()
+
+
+def test_arriving_documents_are_scanned_on_all_cores(spark, tables):
+    found = QUERIES["stream_pii"](spark, tables)
+    assert found.count() == 64
+    assert len(found.inputFiles()) > 2 * spark.sparkContext.defaultParallelism
+
+
+def test_sheet_queue_holds_no_texts(spark, tables):
+    stored = queries._sheet_queue(spark, tables)
+    assert not {"content", "preview_text", "metadata"} & set(stored.columns)
+    assert stored.select("extraction.*").columns == ["template"] and stored.select("ocr.*").columns == ["status"]
