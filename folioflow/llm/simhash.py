@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import keyed_documents, written
+from folioflow.llm.common import keyed_documents, scanned, written
 from folioflow.llm.graph import components
 
 BITS = 64
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
             values = [fingerprint(t.as_py() or "", size) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "value"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, value long")
+    return scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scan, "doc_id long, value long")
 
 
 def variants(value: Column, segments: int) -> Column:

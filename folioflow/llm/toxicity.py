@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import words_of, written
+from folioflow.llm.common import scanned, words_of, written
 
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 2_500, 5_000
 #: Windows of a sample text that train, of ``SAMPLE_WINDOW`` words each; words of ordinary text that train.
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["_id", "_toxic", "start", "calibrates", "words"])
 
     kinds = f"_id {rows.schema['_id'].dataType.simpleString()}, _toxic int"
-    sample = written(rows.mapInArrow(pieces, kinds + ", start binary, calibrates boolean, words binary"), "toxicity-words")
+    sample = written(scanned(rows, pieces, kinds + ", start binary, calibrates boolean, words binary"), "toxicity-words")
     # texts of one kind that begin alike are copies; texts without words teach nothing
     single = sample.filter(F.length("start") > 0).groupBy("start", "_toxic", "calibrates").agg(F.min(F.struct("_id", "words")).alias("first"))
     trains = single.filter("not calibrates").select("_toxic", "first.*").orderBy("_id").select("_toxic", "words").collect()
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     if not model.toxic:
         return model
-    found = held.mapInArrow(measured, kinds + ", features array<double>").orderBy("_id").collect()
+    found = scanned(held, measured, kinds + ", features array<double>").orderBy("_id").collect()
     if len({r["_toxic"] for r in found}) < 2:
         return Model(b"", b"")
     return replace(model, weights=_calibrated(np.array([r["features"] for r in found]), np.array([r["_toxic"] for r in found], float)))
@@ -221,7 +221,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scores], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return rows.mapInArrow(scan, SCORES).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return scanned(rows, scan, SCORES).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -232,4 +232,4 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([model.score(t or "") < 0.5 for t in batch.column(place).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return scanned(docs, clean, docs.schema)

@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import pyarrow as pa
+
 import corpus_pipeline
 from folioflow.llm import decontaminate, mixing, toxicity
 from test_simhash import brute as groups_of_all_pairs
@@ -44,3 +46,17 @@ def test_run_and_empty_table(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.count() == 0
+
+
+def test_texts_go_to_python_in_batches_of_bounded_bytes(spark):
+    from folioflow.llm import simhash, toxicity
+    from folioflow.llm.common import BATCH_BYTES, scanned
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    docs = spark.range(0, 96, 1, 1).selectExpr("id as doc_id", "repeat('word ', 100000) as text")
+    found = [r.size for r in scanned(docs, sizes, "size long").collect()]
+    assert sum(found) > 48_000_000 and max(found) < 2 * BATCH_BYTES
+    assert {"scanned"} <= set(simhash.fingerprints.__code__.co_names) & set(toxicity.drop_toxic.__code__.co_names)
