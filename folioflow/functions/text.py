@@ -31,6 +31,9 @@ _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
 PREVIEW_CHARS = 5000
 MIN_SIGNAL_CHARS = 120
 
+#: Parts that several keywords share and most texts lack: where one is absent, none of its keywords is searched.
+SHARED_PARTS = ("tax", "employ", "insur", "citizen", "medica", "sign", "form", "income", "alien", "internal revenue", "withholding")
+
 _names = itertools.count()
 
 
@@ -99,9 +102,15 @@ def fold(text: Sql) -> Sql:
 
     U+0130 and U+212A are the only non-ASCII characters whose lower case holds an
     ASCII letter; blanking them first keeps the tests ASCII-case-insensitive.
+    ASCII texts, which take as many bytes as characters, are not searched for them.
     """
     dotted, kelvin, nul = lit(chr(0x130)), lit(chr(0x212A)), lit(chr(0))
-    return f"lower(replace(replace({text}, {dotted}, {nul}), {kelvin}, {nul}))"
+
+    def lowered(t: Sql) -> Sql:
+        plain = f"replace(replace({t}, {dotted}, {nul}), {kelvin}, {nul})"
+        return f"lower(case when octet_length({t}) = length({t}) then {t} else {plain} end)"
+
+    return lowered(text) if _NAME.fullmatch(text) else let(text, lowered)
 
 
 def required_word(pattern: str) -> str:
@@ -177,10 +186,12 @@ def hit(folded: Sql, pattern: str) -> Sql:
 def with_words(folded: Sql, patterns: list[str], body: Callable[[Sql], Sql]) -> Sql:
     """Search each distinct word of ``patterns`` once and bind the answers for ``body``.
 
-    A word that contains a shorter one ("invoice number", "invoice") is searched
-    only where the shorter one was found.
+    A word that contains a shorter one ("invoice number", "invoice"), or one of ``SHARED_PARTS``,
+    is searched only where that was found.
     """
-    words = sorted({b if plain else required_word(b) for p in patterns for b, plain in _branches(p)} - {""}, key=lambda w: (len(w), w))
+    words = {b if plain else required_word(b) for p in patterns for b, plain in _branches(p)} - {""}
+    words |= {part for part in SHARED_PARTS if sum(part in w for w in words) > 1}
+    words = sorted(words, key=lambda w: (len(w), w))
     stems: list[str] = []
     longer: dict[str, str] = {}
     for word in words:
@@ -234,8 +245,10 @@ def normalize(text: Sql) -> Sql:
         cut = f"regexp_replace({t}, '\\n{{3,}}', '\\n\\n')"
         return trim(f"case when contains({t}, '\\n\\n\\n') then {cut} else {t} end")
 
-    unix = f"replace({text}, {lit(chr(13) + chr(10))}, {lit(chr(10))})"
-    return let(let(unix, tails), gaps)
+    def unix(t: Sql) -> Sql:
+        return f"case when contains({t}, {lit(chr(13))}) then replace({t}, {lit(chr(13) + chr(10))}, {lit(chr(10))}) else {t} end"
+
+    return let(let(unix(text) if _NAME.fullmatch(text) else let(text, unix), tails), gaps)
 
 
 def collapse_spaces(text: Sql) -> Sql:

@@ -38,6 +38,8 @@ class Detector:
     valid: Callable[[Sql], Sql] = lambda m: "true"
     ignore_case: bool = False
     core: Callable[[Sql], Sql] | None = None
+    #: Regex that some run of nine or more digits and separators must hold for a match.
+    shape: str = ""
 
     @property
     def compiled(self) -> Sql:
@@ -87,6 +89,7 @@ DETECTORS = (
         high_risk=True,
         gate=_has_number,
         valid=lambda m: is_card(_digits(m)),
+        shape=r"(?:[0-9][ -]?){12}[0-9]",
     ),
     Detector(
         "Bank routing number",
@@ -95,6 +98,7 @@ DETECTORS = (
         high_risk=True,
         gate=_has_number,
         valid=is_routing,
+        shape=r"[0-9]{9}",
     ),
     Detector(
         "Social Security number",
@@ -103,6 +107,7 @@ DETECTORS = (
         high_risk=True,
         gate=_has_number,
         valid=is_ssn,
+        shape=r"[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}",
     ),
     Detector(
         "Employer identification number",
@@ -111,6 +116,7 @@ DETECTORS = (
         high_risk=False,
         gate=_has_number,
         valid=lambda m: f"left({m}, 2) not in ({', '.join(map(lit, UNASSIGNED_EIN_PREFIXES))})",
+        shape=r"[0-9]{2}-[0-9]{7}",
     ),
     Detector(
         "Phone number",
@@ -118,6 +124,7 @@ DETECTORS = (
         _tail("(***) ***-"),
         high_risk=False,
         gate=_has_number,
+        shape=r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}",
     ),
     Detector(
         "Email address",
@@ -141,6 +148,9 @@ DETECTORS = (
 _SPAN = "struct<text:string,start:int,stop:int>"
 _FINDING = "struct<category:string,count:bigint,examples:array<string>>"
 _OFFSET_BLOCK = 64
+#: Up to so many spans of a text are compared in pairs, without sorting.
+_FEW_SPANS = 16
+_RUN = "[0-9][0-9() .-]{8,}"
 
 
 def _none(kind: str) -> Sql:
@@ -154,18 +164,28 @@ def _total(terms: list[Sql]) -> Sql:
 def _matches(detectors: tuple[Detector, ...], text: Sql, folded: Sql) -> Sql:
     """Struct of candidate-string arrays, one per detector, left to right in the text.
 
-    Detectors that share a gate test it once.
+    Detectors that share a gate test it once. Those with a shape look for it in the text's runs of digits
+    and separators, which are few and short, before they read the text.
     """
     gates = list(dict.fromkeys(d.gate for d in detectors))
 
     def found(opened: Sql) -> Sql:
-        return struct(
-            **{
-                f"d{i}": f"case when {opened}.g{gates.index(d.gate)}"
-                f" then regexp_extract_all({text}, {d.compiled}, 0) else {_none('string')} end"
-                for i, d in enumerate(detectors)
-            }
-        )
+        def listed(runs: Sql) -> Sql:
+            def is_open(d: Detector) -> Sql:
+                return f"{opened}.g{gates.index(d.gate)}" + (f" and {runs} rlike {regex(d.shape)}" if d.shape else "")
+
+            return struct(
+                **{
+                    f"d{i}": f"case when {is_open(d)} then regexp_extract_all({text}, {d.compiled}, 0) else {_none('string')} end"
+                    for i, d in enumerate(detectors)
+                }
+            )
+
+        shaped = [f"{opened}.g{j}" for j, gate in enumerate(gates) if any(d.shape and d.gate is gate for d in detectors)]
+        if not shaped:
+            return listed("''")
+        runs = f"array_join(regexp_extract_all({text}, {regex(_RUN)}, 0), '|')"
+        return let(f"case when {' or '.join(shaped)} then {runs} else '' end", listed)
 
     return let(struct(**{f"g{j}": gate(text, folded) for j, gate in enumerate(gates)}), found)
 
@@ -199,7 +219,12 @@ def _spans(matches: Sql, gaps: Sql) -> Sql:
 
 
 def _placed(detector: Detector, matches: Sql, text: Sql) -> Sql:
-    spans = _spans(matches, f"split({text}, {detector.compiled}, -1)")
+    def single(at: Sql) -> Sql:
+        return array([struct(text=f"{matches}[0]", start=at, stop=f"{at} + length({matches}[0])")])
+
+    only = let(f"length(split({text}, {detector.compiled}, 2)[0])", single)
+    every = _spans(matches, f"split({text}, {detector.compiled}, -1)")
+    spans = f"case when size({matches}) = 1 then {only} else {every} end"
     if detector.core is None:
         return spans
 
@@ -260,8 +285,12 @@ def _claims(detectors: tuple[Detector, ...], spans: Sql) -> Sql:
 
     zero = struct(starts=_none("int"), stops=_none("int"), kept=_none(f"array<{_SPAN}>"))
     every = array([f"{spans}.d{i}" for i in range(len(detectors))])
-    claimed = f"aggregate({every}, {zero}, (taken, mine) -> {let(free('mine', 'taken'), with_kept)})"
-    return let(claimed, lambda c: struct(**{f"d{i}": f"{c}.kept[{i}].text" for i in range(len(detectors))}))
+    sorted_claims = f"aggregate({every}, {zero}, (taken, mine) -> {let(free('mine', 'taken'), with_kept)}, taken -> taken.kept)"
+    clear = "not exists(flatten(kept), t -> t.start < s.stop and s.start < t.stop)"
+    paired_claims = f"aggregate({every}, {_none(f'array<{_SPAN}>')}, (kept, mine) -> concat(kept, array(filter(mine, s -> {clear}))))"
+    few = _total([f"size({spans}.d{i})" for i in range(len(detectors))]) + f" <= {_FEW_SPANS}"
+    claimed = f"case when {few} then {paired_claims} else {sorted_claims} end"
+    return let(claimed, lambda c: struct(**{f"d{i}": f"{c}[{i}].text" for i in range(len(detectors))}))
 
 
 def _roll_up(detectors: tuple[Detector, ...], accepted: Sql) -> Sql:
