@@ -45,11 +45,13 @@ FALLBACKS = {
 
 #: Parts of an intelligence record. What is left out is not planned and costs nothing.
 PARTS = ("analysis", "extraction", "pii")
+#: Asked for by name only: the template's name without the fields.
+TEMPLATE = "template"
 
 
 def chosen_parts(parts: tuple[str, ...], **made: Sql) -> Sql:
     """Struct of the parts asked for."""
-    return struct(**{name: made[name] for name in PARTS if name in parts})
+    return struct(**{name: made[name] for name in (*PARTS, TEMPLATE) if name in parts})
 
 
 def in_list(value: Sql, options: tuple[str, ...]) -> Sql:
@@ -93,11 +95,10 @@ def classify(
     return struct(document_class=f"case {' '.join(label)} else {general} end", confidence=confidence)
 
 
-def keyword_patterns(templates: tuple[Template, ...], profiles: tuple[Profile, ...], rules: tuple[Signal, ...]) -> list[str]:
-    """Every keyword pattern the record tests against the text."""
+def keyword_patterns(templates: tuple[Template, ...], rules: tuple[Signal, ...]) -> list[str]:
+    """Every keyword pattern the record tests against any text; those of profiles count only where no template is found."""
     return [
         *(p for t in templates for p in (*t.anchors, *t.supports)),
-        *(p for profile in profiles for p in profile.patterns),
         *(r.pattern for r in rules),
         RESTRICTED_WORDS,
         BUSINESS_WORDS,
@@ -146,6 +147,7 @@ def fallback(ext: Sql, parts: tuple[str, ...] = PARTS) -> Sql:
             analysis=analysis_struct(lit(doc_class), lit(level), str(confidence), lit(text)),
             extraction=no_extraction(lit(extraction_text)),
             pii=no_pii(),
+            template="cast(null as string)",
         )
 
     return (
@@ -174,6 +176,8 @@ def intelligence(
         made = {"pii": f"{found}.pii"}
         if "extraction" in parts:
             made["extraction"] = template_ops.extraction(source, low, f"{found}.choice", templates)
+        if TEMPLATE in parts:
+            made[TEMPLATE] = template_ops.name_of(f"{found}.choice", templates)
         if "analysis" not in parts:
             return chosen_parts(parts, **made)
 
@@ -195,13 +199,13 @@ def intelligence(
 
     def analysed(source: Sql) -> Sql:
         def folded(low: Sql) -> Sql:
-            return with_words(low, keyword_patterns(templates, profiles, rules), known) if set(parts) != {"pii"} else known(low)
+            return with_words(low, keyword_patterns(templates, rules), known) if set(parts) != {"pii"} else known(low)
 
         def known(low: Sql) -> Sql:
             found = {}
             if {"pii", "analysis"} & set(parts):
                 found["pii"] = pii_ops.scan_of(source, low, detectors)
-            if {"extraction", "analysis"} & set(parts):
+            if {"extraction", "analysis", TEMPLATE} & set(parts):
                 found["choice"] = template_ops.choose(low, templates)
             return let(struct(**found), lambda p: assemble(source, low, p))
 
@@ -216,4 +220,4 @@ def with_intelligence(
 ) -> DataFrame:
     """Append ``analysis``, ``extraction`` and ``pii`` to documents, or the ``parts`` of them that are needed."""
     bound = bind(df, "_record", intelligence(ext, text, title, subject, parts=parts))
-    return bound.select(*df.columns, *[f"_record.{part}" for part in PARTS if part in parts])
+    return bound.select(*df.columns, *[f"_record.{part}" for part in (*PARTS, TEMPLATE) if part in parts])

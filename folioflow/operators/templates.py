@@ -118,6 +118,11 @@ def extraction(source: Sql, folded: Sql, choice: Sql, templates: tuple[Template,
     return f"case {arms} else {no_extraction(lit(NO_TEMPLATE_SUMMARY))} end"
 
 
+def name_of(choice: Sql, templates: tuple[Template, ...] = TEMPLATES) -> Sql:
+    """Name of the chosen template, null if there is none."""
+    return f"case {' '.join(f'when {choice}.order = {-i} then {lit(t.name)}' for i, t in enumerate(templates))} end"
+
+
 def extract(df: DataFrame, text: str, templates: tuple[Template, ...] = TEMPLATES, out: str = "extraction") -> DataFrame:
     """Append the structured extraction of column ``text`` as ``out``."""
     def of(source: Sql) -> Sql:

@@ -404,7 +404,8 @@ def review_counts(spark, sf):
 
 @_query
 def class_profile(spark, sf):
-    return report.class_profile(_records(spark, sf))
+    records = _records(spark, sf, "analysis", "pii", classify.TEMPLATE)
+    return report.class_profile(records.withColumn("extraction", F.struct(classify.TEMPLATE)))
 
 
 @_query

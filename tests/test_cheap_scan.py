@@ -3,7 +3,11 @@
 import pytest
 
 from folioflow.functions import text as t
-from folioflow.operators import pii
+from folioflow.operators import classify, pii
+from folioflow.plans.queries import QUERIES
+from folioflow.rules import PROFILES, SIGNALS, TEMPLATES
+from test_dealing import tables  # noqa: F401
+from test_queries import plan
 
 TEXTS = [
     "", None, "4532 7718 0946 2356", "x 4532-7718-0946-2356-", "-123456780 then 314077266", "314077266 314077266", "417-38-6120 46-7041966 (628) 555-0147",
@@ -43,3 +47,14 @@ def test_fold_and_normalize_equal_their_plain_forms(spark):
     for r in rows.selectExpr(f"{t.fold('v')} as x", f"{t.fold('concat(v)')} as y", f"{plain} as z", f"{t.normalize('v')} as n", f"{t.normalize(unix)} as m").collect():
         assert r.x == r.y == r.z and r.n == r.m
     assert "octet_length" in t.fold("v")
+
+
+def test_profile_words_are_searched_only_without_a_template():
+    words = classify.keyword_patterns(TEMPLATES, SIGNALS)
+    assert "governing law" in {p for x in PROFILES for p in x.patterns} and "governing law" not in words
+
+
+def test_class_profile_extracts_no_fields(spark, tables):  # noqa: F811
+    assert "invoiceNumber" in plan(QUERIES["document_intelligence"](spark, tables))
+    assert "invoiceNumber" not in plan(QUERIES["class_profile"](spark, tables))
+    assert {r.template for r in QUERIES["class_profile"](spark, tables).collect()} >= {"Invoice", "IRS W-9", None}
