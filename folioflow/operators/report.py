@@ -27,25 +27,31 @@ SUMMARY_CONDITIONS = {
 }
 
 
-def summary(queue: DataFrame, active_filter: str = "") -> DataFrame:
+def summary(queue: DataFrame, active_filter: str = "", counted: bool = False) -> DataFrame:
     """One row of 16 members.
 
     Every counter is summed per fingerprint first and then in total. Both steps
     pre-aggregate map-side, so members of copy groups are counted without a
     window or a join and a hot fingerprint never meets in one task as rows.
+    ``counted`` rows (of :func:`report_documents`) know whether they are duplicates: they are summed
+    by that alone, and no fingerprint travels again.
     """
-    per_copy = queue.groupBy("sha256").agg(
+    sums = [
         F.count("*").alias("documents"),
         F.sum(F.coalesce("page_count", F.lit(0))).alias("pages"),
         *[F.count_if(F.expr(condition)).alias(name) for name, condition in SUMMARY_CONDITIONS.items()],
-    )
+    ]
+    # Rows without a fingerprint are one group either way.
+    group = F.expr("case when sha256 is null or duplicate then sha256 is null end").alias("_group") if counted else F.col("sha256").alias("_group")
+    copied = F.col("documents") > 1
+    per_copy = queue.groupBy(group).agg(*sums)
 
     def total(column: Column) -> Column:
         return F.coalesce(F.sum(column), F.lit(0)).cast("long")
 
     return per_copy.agg(
         total(F.col("documents")).alias("documents_selected"),
-        total(F.when(F.col("documents") > 1, F.col("documents"))).alias("duplicates"),
+        total(F.when(copied & F.col("_group").isNotNull() if counted else copied, F.col("documents"))).alias("duplicates"),
         total(F.col("pages")).alias("total_pages"),
         *[total(F.col(name)).alias(name) for name in SUMMARY_CONDITIONS],
     ).withColumn("active_filter", F.lit(active_filter.strip() or None).cast("string"))

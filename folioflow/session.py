@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A local session for tests and benches; a cluster brings its own session."""
@@ -57,6 +61,24 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(tasks, *keys)
 
 
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of each write inside are dropped as soon as it has committed, so steps do not add up on disk."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+#: How scratch tables are packed: level 9 takes a tenth less room than the default and hardly more time.
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared scratch folder and read it back.
 
@@ -64,5 +86,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     a lost executor costs a re-read, not a recomputation.
     """
     path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    with tidied(df.sparkSession):
+        df.write.options(**PACKED).parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.text import iso_timestamp
 from folioflow.operators import report
+from folioflow.session import tidied
 
 
 def write_report(queue: DataFrame, path: str, active_filter: str = "", compression: str = "gzip") -> None:
@@ -15,10 +16,11 @@ def write_report(queue: DataFrame, path: str, active_filter: str = "", compressi
     A line names every member of its record, so plain JSON takes many times the room of the queue; readers of JSON lines
     unpack ``.json.gz`` themselves.
     """
-    rows = report.report_documents(queue).withColumnRenamed("copies", "duplicate_count")
-    rows = rows.withColumn("modified_at", F.expr(iso_timestamp("modified_at")))
-    rows.write.mode("overwrite").json(f"{path}/documents", compression=compression)
-    stamped = report.summary(queue, active_filter).withColumn("generated_at", F.expr(iso_timestamp("current_timestamp()")))
+    counted = report.report_documents(queue)
+    rows = counted.withColumnRenamed("copies", "duplicate_count").withColumn("modified_at", F.expr(iso_timestamp("modified_at")))
+    with tidied(queue.sparkSession):
+        rows.write.mode("overwrite").json(f"{path}/documents", compression=compression)
+    stamped = report.summary(counted, active_filter, counted=True).withColumn("generated_at", F.expr(iso_timestamp("current_timestamp()")))
     stamped.write.mode("overwrite").json(f"{path}/summary", compression=compression)
 
 
