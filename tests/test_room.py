@@ -6,10 +6,12 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators import dedupe, report
-from folioflow.session import stored, tidied
+from folioflow.operators import dedupe, queue, report, search
+from folioflow.session import stored, stored_in_blocks, tidied
 from folioflow.sources import corpus, sinks
 
+NEEDLES = ["  Net 30 ", "é", "w-9", "Internal memo 1", "never to be found zzz", ""]
+
 
 @pytest.fixture(scope="module")
 def rows(spark, sf):
@@ -99,6 +101,38 @@ def test_report_leaves_no_shuffle_files(spark, rows, tmp_path):
     assert comes_down_to(spark, before + 50_000)
 
 
+def test_searchable_blocks_hold_every_row_once(spark, rows, tmp_path, monkeypatch):
+    seen = []
+
+    def blocks(df, label):
+        seen.extend(stored_in_blocks(df, label, most=3, at_least=1))
+        return seen
+
+    monkeypatch.setattr(search, "stored_in_blocks", blocks)
+    before = shuffle_bytes(spark)
+    root = str(tmp_path / "searchable")
+    search.store(rows, root)
+    assert len(seen) == 3 and all("search_text" not in block.columns for block in seen)
+    assert sum(block.count() for block in seen) == rows.count() == spark.read.parquet(f"{root}/rows").count()
+    assert comes_down_to(spark, before + 50_000)
+    for needle in NEEDLES:
+        found = sorted(r.path for r in search.search(spark, root, needle).select("path").collect())
+        assert found == sorted(r.path for r in queue.search(rows, needle).select("path").collect())
+
+
+@pytest.mark.parametrize("files,most,at_least,count", [(8, 3, 1, 3), (8, 20, 1, 8), (8, 3, 1 << 30, 1), (1, 8, 1, 1)])
+def test_blocks_are_whole_files_in_order(spark, files, most, at_least, count):
+    blocks = stored_in_blocks(spark.range(0, 8000, 1, files), "blocks", most=most, at_least=at_least)
+    parts = [sorted(r.id for r in block.collect()) for block in blocks]
+    assert len(parts) == count and [x for part in parts for x in part] == list(range(8000))
+
+
+def test_blocks_of_an_empty_table(spark, rows, tmp_path):
+    assert [b.count() for b in stored_in_blocks(spark.range(0), "none")] == [0]
+    search.store(rows.limit(0), str(tmp_path / "none"))
+    assert search.search(spark, str(tmp_path / "none"), "net 30").count() == 0
+
+
 def test_setting_of_the_session_is_kept(spark):
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     with pytest.raises(ValueError), tidied(spark):
